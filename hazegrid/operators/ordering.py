@@ -39,15 +39,15 @@ def with_position(
     offsets = sizes.select(
         *keys, "_bin",
         (F.sum("_n").over(along) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_size"),
     )
     inside = Window.partitionBy(*keys, "_bin").orderBy(*order)
     numbered = binned.withColumn("_rn", F.row_number().over(inside))
     out = join_on(numbered, offsets, [*keys, "_bin"])  # reuses the window's partitioning
     out = out.withColumn(pos, F.col("_rn") + F.col("_before"))
     if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_bin", "_rn", "_before", "_total")
+        out = out.withColumn(total, F.col("_size"))
+    return out.drop("_bin", "_rn", "_before", "_size")
 
 
 def blocks_by_position(

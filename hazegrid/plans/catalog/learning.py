@@ -1,0 +1,71 @@
+"""Models. Fits are iterative, so these have no SQL; tests compare them with known answers."""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+
+from hazegrid.operators import forecast
+from hazegrid.plans.catalog.registry import query
+from hazegrid.session import cut_lineage, scratch_path
+
+
+def split_of(t):
+    """Features of every station with the training flag, written once."""
+    return cut_lineage(forecast.chronological_split(forecast.feature_frame(t.enriched)), "split")
+
+
+def predictions(t, name: str):
+    data = split_of(t)
+    return forecast.score(forecast.fit(data, forecast.candidates()[name]), data)
+
+
+@query("m03_linear_regression")
+def m03(t):
+    return predictions(t, "LinearRegression")
+
+
+@query("m04_random_forest")
+def m04(t):
+    return predictions(t, "RandomForest")
+
+
+@query("m05_gradient_boosting")
+def m05(t):
+    return predictions(t, "GBT")
+
+
+@query("m07_model_comparison")
+def m07(t):
+    return forecast.compare(forecast.chronological_split(forecast.feature_frame(t.enriched)))[0]
+
+
+@query("m08_feature_importance")
+def m08(t):
+    return forecast.feature_importance(forecast.fit(split_of(t), forecast.candidates()["RandomForest"]))
+
+
+@query("m09_batch_scoring")
+def m09(t):
+    data = split_of(t)
+    # The baseline may win; it needs no model.
+    table, models = forecast.compare(data, {"LinearRegression": forecast.candidates()["LinearRegression"]})
+    best = forecast.winner(table)
+    return forecast.persistence(data) if best == forecast.BASELINE else forecast.score(models[best], data)
+
+
+@query("m10_day_ahead_model")
+def m10(t):
+    data = split_of(t)
+    model = forecast.fit(data, forecast.candidates()["LinearRegression"])
+    cols = ["pm25_lag1", "pm25_lag24", "pm25_roll24", "temperature", "humidity", "wind_speed"]
+    state = data.groupBy("station_id").agg(F.max("ts").alias("ts"), *[F.max_by(k, "ts").alias(k) for k in cols])
+    return forecast.day_ahead_model(state, model)
+
+
+@query("s16_model_roundtrip")
+def s16(t):
+    data = split_of(t)
+    path = scratch_path(t.spark, "model")
+    forecast.save_model(forecast.fit(data, forecast.candidates()["LinearRegression"]), path)
+    return forecast.score(PipelineModel.load(path), data)

@@ -255,6 +255,8 @@ def sql(body: str, *ctes: str) -> str:
         return body
     heads = ",\n".join(f"{name} as ({CTES[name]})" for name in order)
     text = body.strip()
+    if text.lower().startswith("with recursive "):
+        return f"with recursive {heads},\n{text[15:]}"
     if text.lower().startswith("with "):
         return f"with {heads},\n{text[5:]}"
     return f"with {heads}\n{text}"
