@@ -61,6 +61,13 @@ def chronological_split(features: DataFrame, share: float = 0.8) -> DataFrame:
     return placed.withColumn("is_train", F.col("_pos") <= F.floor(F.col("_total") * share)).drop("_pos", "_total")
 
 
+def training_table(df: DataFrame, weather: bool = True, share: float = 0.8) -> DataFrame:
+    """Features with the training flag. The features are written to the shared folder before
+    they are numbered, and so is the result, which every fit reads many times; runs those jobs."""
+    features = cut_lineage(feature_frame(df, weather), "features")
+    return cut_lineage(chronological_split(features, share), "split")
+
+
 # ---- evaluation -------------------------------------------------------------------------
 
 def regression_metrics(preds: DataFrame, keys: list[str] = [], label: str = "target") -> DataFrame:
@@ -126,10 +133,10 @@ def score(model: PipelineModel, split: DataFrame) -> DataFrame:
 def compare(split: DataFrame, estimators: dict | None = None) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Fit every estimator and table its errors next to the baseline's, best first.
 
-    The split is written to the shared folder once, because every fit reads it many times.
-    Returns the table and the fitted models; the baseline has no model.
+    `split` should be a stored table such as `training_table` returns, because every fit
+    reads it many times. Returns the table and the fitted models; the baseline has no model.
     """
-    data = cut_lineage(split, "split")
+    data = split
     models = {name: fit(data, est) for name, est in (estimators or candidates()).items()}
     preds = persistence(data).withColumn("model", F.lit(BASELINE))
     for name, model in models.items():

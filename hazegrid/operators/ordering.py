@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazegrid.operators.lookup import join_on
+from hazegrid.session import cut_lineage
 
 MICROS_PER_HOUR = 3_600_000_000
 
@@ -126,11 +127,11 @@ def over_hours(
     return placed.withColumns(columns(window)).where("_core").drop("_block", "_core", "_us")
 
 
-def value_bins(df: DataFrame, value: str, keys: list[str] = [], bins: int = 256) -> DataFrame:
-    """Cut points that split each group's values into about equal shares: one row per group
+def value_bins(values: DataFrame, value: str, keys: list[str] = [], bins: int = 256) -> DataFrame:
+    """Cut points that split each group's rows into about equal shares: one row per group
     with an ascending array ``_cuts``. Built from a mergeable sketch."""
     shares = [i / bins for i in range(1, bins)]
-    return df.groupBy(*keys).agg(F.percentile_approx(value, shares, 10_000).alias("_cuts"))
+    return values.groupBy(*keys).agg(F.percentile_approx(value, shares, 10_000).alias("_cuts"))
 
 
 def bin_of(value: Column, cuts: Column) -> Column:
@@ -138,25 +139,37 @@ def bin_of(value: Column, cuts: Column) -> Column:
     return F.size(F.filter(cuts, lambda c: c < value))
 
 
-def with_rank(df: DataFrame, score: str, rank: str, keys: list[str] = [], descending: bool = True) -> DataFrame:
-    """Competition rank (1, 1, 3) by score. Null scores get no rank.
+def cumulative_counts(counts: DataFrame, keys: list[str], value: str = "_v", n: str = "_n") -> DataFrame:
+    """Add ``_start``, ``_end`` (how many rows lie below and up to a distinct value) and
+    ``_total`` per group.
 
-    Ranks distinct scores with their counts: values are counted per bin, so no task sees
-    more than one bin of distinct values.
+    The distinct values of a group are cut into about 256 equal bins; a task orders one bin,
+    and only the bin totals of a group meet in one place.
     """
-    sign = -1 if descending else 1
-    keyed = df.withColumn("_v", F.col(score) * sign)
-    counts = keyed.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    cuts = value_bins(keyed, "_v", keys)
-    binned = join_on(counts, cuts, keys, "inner", null_safe=True).withColumn("_bin", bin_of(F.col("_v"), F.col("_cuts"))).drop("_cuts")
-    per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"))
-    offsets = per_bin.select(
-        *keys, "_bin",
-        (F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_bn")).alias("_before"),
+    binned = (
+        join_on(counts, value_bins(counts, value, keys), keys, "inner", null_safe=True)
+        .withColumn("_bin", bin_of(F.col(value), F.col("_cuts"))).drop("_cuts")
     )
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    ranks = (
-        join_on(binned.withColumn("_in", F.sum("_n").over(inside) - F.col("_n")), offsets, [*keys, "_bin"], "inner", null_safe=True)
-        .select(*keys, "_v", (F.col("_in") + F.col("_before") + 1).alias(rank))
+    along = Window.partitionBy(*keys).orderBy("_bin")
+    spans = binned.groupBy(*keys, "_bin").agg(F.sum(n).alias("_bn")).select(
+        *keys, "_bin", (F.sum("_bn").over(along) - F.col("_bn")).alias("_before"),
+        F.sum("_bn").over(Window.partitionBy(*keys)).alias("_total"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(value)
+    placed = binned.withColumn("_in", F.sum(n).over(inside))
+    return (
+        join_on(placed, spans, [*keys, "_bin"], "inner", null_safe=True)
+        .withColumn("_end", F.col("_before") + F.col("_in")).withColumn("_start", F.col("_end") - F.col(n))
+        .drop("_bin", "_before", "_in")
     )
-    return join_on(keyed, ranks, [*keys, "_v"], "left").drop("_v")
+
+
+def with_rank(df: DataFrame, score: str, rank: str, keys: list[str] = [], descending: bool = True) -> DataFrame:
+    """Competition rank (1, 1, 3) by score; null scores get no rank.
+
+    Made for aggregates: `df` is read three times, so it is written to the shared folder
+    first, which runs one job.
+    """
+    keyed = cut_lineage(df.withColumn("_v", F.col(score) * (-1 if descending else 1)), "ranked")
+    counts = keyed.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranks = cumulative_counts(counts, keys).select(*keys, "_v", (F.col("_start") + 1).alias(rank))
+    return join_on(keyed, ranks, [*keys, "_v"]).drop("_v")

@@ -12,7 +12,7 @@ from hazegrid.functions.atmosphere import wind_sector
 from hazegrid.functions.calendar import day_type, hour_of, season
 from hazegrid.operators.joins import on_domain
 from hazegrid.operators.lookup import join_on
-from hazegrid.operators.quantiles import exact_quantiles, melt
+from hazegrid.operators.quantiles import exact_quantiles, melt, quantiles_of_counts, value_counts
 from hazegrid.schema import DAILY_LIMITS, POLLUTANTS, SEASONS, WEATHER
 
 
@@ -89,26 +89,29 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, std, min, exact quartiles, max and percent null per column."""
-    long = melt(df, [], cols)
-    stats = long.groupBy("column").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.round(_pct(F.count_if(F.col("value").isNull()), F.count(F.lit(1))), 1).alias("null_pct"))
-    quartiles = exact_quantiles(long, ["column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return join_on(stats, quartiles, ["column"])
+    stats = df.agg(F.count(F.lit(1)).alias("_total"), *[
+        f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in cols
+        for n, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev), ("min", F.min), ("max", F.max))])
+    fields = {c: {
+        **{n: F.col(f"{n}_{c}") for n in ("n", "mean", "std", "min", "max")},
+        "null_pct": F.round(_pct(F.col("_total") - F.col(f"n_{c}"), F.col("_total")), 1),
+    } for c in cols}
+    quartiles = exact_quantiles(melt(df, [], cols), ["column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return join_on(stats.select(_rows(fields, "column")).select("_r.*"), quartiles, ["column"])
 
 
 def seasonal_box(wide: DataFrame, k: float = 1.5) -> DataFrame:
-    """Quartiles of PM2.5 per season and the outermost values within the fences."""
+    """Quartiles of PM2.5 per season and the outermost values within the fences, from one
+    pass over the readings."""
     seasons = wide.where(F.col("pm25").isNotNull()).select(season(F.month("ts")).alias("season"), "pm25")
-    q = exact_quantiles(seasons, ["season"], "pm25", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    counts = value_counts(seasons, ["season"], "pm25")
+    q = quantiles_of_counts(counts, ["season"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     spread = F.col("q3") - F.col("q1")
-    inside = F.col("pm25").between(F.col("q1") - spread * k, F.col("q3") + spread * k)
-    whiskers = join_on(seasons, q, ["season"]).groupBy("season").agg(
-        F.min(F.when(inside, F.col("pm25"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("pm25"))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"))
-    return join_on(q, whiskers, ["season"])
+    inside = F.col("_v").between(F.col("q1") - spread * k, F.col("q3") + spread * k)
+    return join_on(counts, q, ["season"]).groupBy("season", "q1", "median", "q3").agg(
+        F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
+        F.sum(F.when(~inside, F.col("_n")).otherwise(0)).alias("n_outliers"))
 
 
 def exceedance_calendar(wide: DataFrame, limit: float = DAILY_LIMITS["pm25"]) -> DataFrame:

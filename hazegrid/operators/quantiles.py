@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.operators.lookup import join_on
-from hazegrid.operators.ordering import bin_of, value_bins
+from hazegrid.operators.ordering import cumulative_counts
+from hazegrid.session import cut_lineage
 
 
 def melt(df: DataFrame, keys: list[str], cols: list[str], name: str = "column", value: str = "value") -> DataFrame:
@@ -14,50 +14,38 @@ def melt(df: DataFrame, keys: list[str], cols: list[str], name: str = "column",
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(keys, cols, name, value)
 
 
-def exact_quantiles(
-    long: DataFrame, keys: list[str], value: str, shares: dict[str, float],
-) -> DataFrame:
-    """One row per group with linearly interpolated quantiles, e.g. ``{"q1": 0.25}``.
+def value_counts(long: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """How often each value ``_v`` occurs in its group (``_n``), without nulls.
 
-    ``percentile`` would gather every distinct value of a group in one aggregation buffer.
-    Here values are counted, the counts are cut into about 256 equal bins per group with a
-    mergeable sketch, and only the bins that hold a wanted rank are ordered.
+    Counting combines before the shuffle. The counts are read several times by what follows,
+    so they are written to the shared folder; runs one job.
     """
-    present = long.where(F.col(value).isNotNull())
-    counts = present.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    binned = (
-        join_on(counts, value_bins(present, value, keys), keys, "inner", null_safe=True)
-        .withColumn("_bin", bin_of(F.col("_v"), F.col("_cuts"))).drop("_cuts")
-    )
-    per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"))
-    along = Window.partitionBy(*keys).orderBy("_bin")
-    spans = per_bin.select(
-        *keys, "_bin",
-        (F.sum("_bn").over(along) - F.col("_bn")).alias("_from"),
-        F.sum("_bn").over(along).alias("_to"),
-        F.sum("_bn").over(Window.partitionBy(*keys)).alias("_total"),
-    )
+    counts = long.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    return cut_lineage(counts, "value-counts")
+
+
+def quantiles_of_counts(counts: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """One row per group with linearly interpolated quantiles, e.g. ``{"q1": 0.25}``."""
+    placed = cumulative_counts(counts, keys)
     # Zero-based ranks next to each share; the fraction between them is interpolated.
-    names = list(shares)
-    place = {n: F.lit(shares[n]) * (F.col("_total") - 1) for n in names}
-    low = {n: F.floor(place[n]) for n in names}
-    high = {n: F.ceil(place[n]) for n in names}
-    wanted = F.lit(False)
-    for n in names:
-        for r in (low[n], high[n]):
-            wanted = wanted | ((r >= F.col("_from")) & (r < F.col("_to")))
-    hit = join_on(binned, spans.where(wanted), [*keys, "_bin"], "inner", null_safe=True)
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    ranked = hit.withColumn("_end", F.col("_from") + F.sum("_n").over(inside)).withColumn(
-        "_start", F.col("_end") - F.col("_n"))
+    place = {n: F.lit(share) * (F.col("_total") - 1) for n, share in shares.items()}
 
     def at(rank):
         return F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col("_v")))
 
-    picked = ranked.groupBy(*keys, "_total").agg(
-        *[at(low[n]).alias(f"_lo_{n}") for n in names], *[at(high[n]).alias(f"_hi_{n}") for n in names])
-    return picked.select(
-        *keys,
-        *[(F.col(f"_lo_{n}") + (place[n] - low[n]) * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
-          for n in names],
-    )
+    picked = placed.groupBy(*keys, "_total").agg(
+        *[at(F.floor(place[n])).alias(f"_lo_{n}") for n in shares],
+        *[at(F.ceil(place[n])).alias(f"_hi_{n}") for n in shares])
+    return picked.select(*keys, *[
+        (F.col(f"_lo_{n}") + (place[n] - F.floor(place[n])) * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
+        for n in shares])
+
+
+def exact_quantiles(long: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Quantiles per group from one pass over the rows.
+
+    ``percentile`` would gather every distinct value of a group in one aggregation buffer;
+    here no task holds more than a 256th of them.
+    """
+    return quantiles_of_counts(value_counts(long, keys, value), keys, shares)

@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazegrid.functions.geo import great_circle_km, tile, unit_vector
 from hazegrid.operators.lookup import join_on
+from hazegrid.session import cut_lineage
 
 KM_PER_DEGREE = 111.0
 
@@ -87,21 +88,24 @@ def nearest_point(
     starts with the few occupied top cubes. At each level a cube is dropped when its nearest
     possible point is farther than the farthest possible point of another cube, and the rest
     are split into their occupied sub-cubes. Only the points of the last cubes are compared.
+    The points with their cubes are written to the shared folder once; runs that job.
     """
     axes = ("x", "y", "z")
-    place = points.groupBy(F.col("latitude").alias("plat"), F.col("longitude").alias("plon")).agg(
-        F.min(point_id).alias(point_id))
-    px = place.withColumns(dict(zip(axes, unit_vector(F.col("plat"), F.col("plon")))))
-    origin = stations.select("latitude", "longitude").distinct()
-    sx = origin.withColumns(dict(zip(("sx", "sy", "sz"), unit_vector(F.col("latitude"), F.col("longitude")))))
 
     def cube(level: int) -> Column:
         side = 2.0 / fan**level
         return F.concat_ws("/", *[F.floor((F.col(a) + 1.0) / side).cast("string") for a in axes])
 
-    cubes = px.withColumns({f"_l{i}": cube(i) for i in range(1, levels + 1)})
-    top = cubes.select("_l1").distinct().agg(F.sort_array(F.collect_set("_l1")).alias("_tops"))  # at most fan**3
-    found = join_on(sx, top, []).withColumn("_l1", F.explode("_tops")).drop("_tops")
+    place = points.groupBy(F.col("latitude").alias("plat"), F.col("longitude").alias("plon")).agg(
+        F.min(point_id).alias(point_id))
+    cubes = cut_lineage(
+        place.withColumns(dict(zip(axes, unit_vector(F.col("plat"), F.col("plon")))))
+        .withColumns({f"_l{i}": cube(i) for i in range(1, levels + 1)}), "cubes")
+    spot = ("latitude", "longitude", "sx", "sy", "sz")
+    start = stations.select("latitude", "longitude").distinct().withColumns(
+        dict(zip(spot[2:], unit_vector(F.col("latitude"), F.col("longitude")))))
+    top = cubes.agg(F.sort_array(F.collect_set("_l1")).alias("_tops"))  # at most fan**3 names
+    found = join_on(start, top, []).withColumn("_l1", F.explode("_tops")).drop("_tops")
 
     def gap(a: str) -> Column:
         s = F.col(f"s{a}")
@@ -114,20 +118,18 @@ def nearest_point(
     def squared(f) -> Column:
         return reduce(lambda p, q: p + q, [f(a) * f(a) for a in axes])
 
+    own = Window.partitionBy("latitude", "longitude")  # the open cubes of one place
     for i in range(1, levels + 1):
         name = f"_l{i}"
         boxes = cubes.groupBy(name).agg(
             *[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes])
-        scored = found.join(boxes, name).withColumns({"_least": squared(gap), "_most": squared(span)})
-        bound = scored.groupBy("latitude", "longitude").agg(F.min("_most").alias("_bound"))
-        kept = join_on(scored, bound, ["latitude", "longitude"], "inner").where(
-            F.col("_least") <= F.col("_bound") * (1 + 1e-9) + 1e-15
-        ).select("latitude", "longitude", "sx", "sy", "sz", name)
-        if i < levels:
-            children = cubes.select(name, f"_l{i + 1}").distinct()
-            found = kept.join(children, name).drop(name)
-        else:
-            found = kept.join(cubes.select(name, "plat", "plon", point_id), name)
+        kept = (
+            found.join(boxes, name).withColumns({"_least": squared(gap), "_most": squared(span)})
+            .withColumn("_bound", F.min("_most").over(own))
+            .where(F.col("_least") <= F.col("_bound") * (1 + 1e-9) + 1e-15).select(*spot, name)
+        )
+        below = cubes.select(name, f"_l{i + 1}").distinct() if i < levels else cubes.select(name, "plat", "plon", point_id)
+        found = kept.join(below, name).drop(name)
     km = great_circle_km(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plon"))
     best = found.withColumn("distance_km", F.round(km, 6)).groupBy("latitude", "longitude").agg(
         F.min(F.struct("distance_km", point_id)).alias("_best"))

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from hazegrid.operators import forecast
 from hazegrid.plans.catalog.registry import query
-from hazegrid.session import cut_lineage, scratch_path
+from hazegrid.session import scratch_path
 
 
 def split_of(t):
     """Features of every station with the training flag, written once."""
-    return cut_lineage(forecast.chronological_split(forecast.feature_frame(t.enriched)), "split")
+    return forecast.training_table(t.enriched)
 
 
 def predictions(t, name: str):
@@ -37,7 +37,7 @@ def m05(t):
 
 @query("m07_model_comparison")
 def m07(t):
-    return forecast.compare(forecast.chronological_split(forecast.feature_frame(t.enriched)))[0]
+    return forecast.compare(split_of(t))[0]
 
 
 @query("m08_feature_importance")

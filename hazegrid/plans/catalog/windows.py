@@ -215,8 +215,7 @@ def m01(t):
     1 - sum((pm25_lag1 - target) * (pm25_lag1 - target)) / (var_pop(target) * count(*)) as r2
   from f where rn > floor(n * 0.8::double)""", "bulk"), rounds={"rmse": 6, "mae": 6, "r2": 6})
 def m06(t):
-    split = forecast.chronological_split(forecast.feature_frame(t.bulk, weather=False))
-    return forecast.regression_metrics(forecast.persistence(split))
+    return forecast.regression_metrics(forecast.persistence(forecast.training_table(t.bulk, weather=False)))
 
 
 STATE_SQL = """select station_id, max(ts) as ts, max_by(pm25, ts) as pm25, max_by(temperature, ts) as temperature,

@@ -33,11 +33,19 @@ def hourly_means(readings: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def daily_means_hourly(readings: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Mean over the last 24 hours, updated every hour."""
-    return readings.withWatermark("ts", delay).groupBy(
-        "station_id", "parameter", F.window("ts", "24 hours", "1 hour").alias("w"),
-    ).agg(F.avg("value").alias("mean_value"), F.count("value").alias("n")).select(
-        "station_id", "parameter", F.col("w.end").alias("window_end"), "mean_value", "n")
+    """Mean over the last 24 hours, updated every hour.
+
+    Hours are summed first, so 24 overlapping windows share hourly sums instead of each
+    taking every reading.
+    """
+    hours = readings.withWatermark("ts", delay).groupBy(
+        "station_id", "parameter", F.window("ts", "1 hour").alias("h"),
+    ).agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    return hours.groupBy(
+        "station_id", "parameter", F.window(F.window_time("h"), "24 hours", "1 hour").alias("w"),
+    ).agg(F.sum("total").alias("total"), F.sum("n").alias("n")).select(
+        "station_id", "parameter", F.col("w.end").alias("window_end"),
+        F.try_divide("total", "n").alias("mean_value"), "n")
 
 
 def without_repeats(readings: DataFrame, key: str = "event_id", delay: str = "10 minutes") -> DataFrame:
