@@ -7,8 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hazegrid.functions.calendar import season
-from hazegrid.schema import SEASONS
+from hazegrid.functions.calendar import by_season
 
 # ---- fixed values: seasonal base height in metres, bounds, status bands -----------------
 BASE_HEIGHT = {"Winter": 360.0, "Pre-Monsoon": 920.0, "Monsoon": 1680.0, "Post-Monsoon": 680.0}
@@ -30,9 +29,7 @@ def clip(value: Column, low: float | None = None, high: float | None = None) ->
 
 def boundary_layer_height(hour: Column, month: Column, temp_c: Column, wind_kmh: Column) -> Column:
     """Estimated mixing height in metres, one decimal: seasonal base, sun, warmth and wind."""
-    base = F.when(season(month) == SEASONS[0], BASE_HEIGHT[SEASONS[0]])
-    for s in SEASONS[1:]:
-        base = base.when(season(month) == s, BASE_HEIGHT[s])
+    base = by_season(month, BASE_HEIGHT)
     sun = clip(F.sin((hour - 6) * F.lit(math.pi) / 12), -0.75, 1.0)
     warmth = clip((temp_c - 20.0) * 12.0, 0.0)
     stirring = clip(wind_kmh * 15.0, 0.0)

@@ -19,9 +19,15 @@ def day_of(ts: Column) -> Column:
 
 def season(month: Column) -> Column:
     """Season name of a month number; null stays null."""
-    expr = F.when(month.isNull(), F.lit(None).cast("string"))
-    for name in SEASONS:
-        expr = expr.when(month.isin(*SEASON_MONTHS[name]), name)
+    return by_season(month, {name: name for name in SEASONS})
+
+
+def by_season(month: Column, values: dict) -> Column:
+    """The value that `values` gives for the season of a month number."""
+    first, *others = SEASONS
+    expr = F.when(month.isin(*SEASON_MONTHS[first]), values[first])
+    for name in others:
+        expr = expr.when(month.isin(*SEASON_MONTHS[name]), values[name])
     return expr
 
 
@@ -54,5 +60,4 @@ def with_calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
         "year": F.year(t),
         "date": F.to_date(t),
         "season": season(F.month(t)),
-        "season_code": season_code(season(F.month(t))),
-    })
+    }).withColumn("season_code", season_code(F.col("season")))

@@ -11,6 +11,7 @@ from hazegrid.functions.calendar import hour_of
 from hazegrid.functions.units import to_mass_units, within_physical_range, TARGET_UNIT
 from hazegrid.operators.lookup import dedupe, join_on
 from hazegrid.operators.ordering import over_hours, over_rows
+from hazegrid.session import cut_lineage
 from hazegrid.schema import CLEANED, CLIP_K, FILL_HOURS, FILL_ROWS, FLAG_K, POLLUTANTS, normalize
 
 
@@ -189,19 +190,25 @@ def enforce_schema(df: DataFrame) -> DataFrame:
     return normalize(with_dates, CLEANED)
 
 
+def _filled(df: DataFrame, cols: list[str], tie_break: list[str]) -> DataFrame:
+    """Deduplicated and filled rows. Medians, fences and result all read the carried rows, so
+    these are written to the shared folder once."""
+    carried = cut_lineage(carry_forward_hours(deduplicate(df, tie_break=tie_break), cols), "carried")
+    return fill_from_hour_medians(carried, cols)
+
+
 def clean_store(df: DataFrame, cols: list[str], tie_break: list[str] = []) -> DataFrame:
-    """Deduplicate, fill, clip, then project onto the documented table."""
-    unique = deduplicate(df, tie_break=tie_break)
-    filled = fill_gaps(unique, cols)
+    """Deduplicate, fill, clip, then project onto the documented table. Runs one job that
+    writes the carried rows."""
+    filled = _filled(df, cols, tie_break)
     return enforce_schema(clip_outliers(filled, [c for c in POLLUTANTS if c in cols]))
 
 
 def cleaning_audit(before: DataFrame, tie_break: list[str] = [], cols: list[str] = POLLUTANTS,
                    k: float = CLIP_K) -> DataFrame:
     """Rows in and out of deduplication, and per column the nulls left and values clipped:
-    one row per column, all columns counted in one pass."""
-    unique = deduplicate(before, tie_break=tie_break)
-    filled = fill_gaps(unique, cols)
+    one row per column, all columns counted in one pass. Runs the job of `clean_store`."""
+    filled = _filled(before, cols, tie_break)
     fences = quartile_fences(filled, cols, k)
     joined = join_on(filled, fences, ["station_id"])
     counts = joined.agg(

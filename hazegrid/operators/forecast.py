@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazegrid.functions.atmosphere import boundary_layer_height, clip
-from hazegrid.functions.calendar import with_calendar
+from hazegrid.functions.calendar import by_season, with_calendar
 from hazegrid.operators.lookup import join_on
 from hazegrid.operators.ordering import over_rows, with_position
+from hazegrid.schema import SEASONS
 from hazegrid.session import cut_lineage
 
 FEATURES = ["pm25_lag1", "pm25_lag24", "pm25_roll24", "hour", "dow", "month", "season_code"]
@@ -227,27 +228,26 @@ def day_ahead_model(state: DataFrame, model: PipelineModel, hours: int = 24, cut
     `state` has station_id, ts, the three lag columns and the weather features. The lineage
     is cut every few steps by writing the state to the shared folder; runs those jobs.
     """
-    cols = model.stages[0].getInputCols()
-    current = state.withColumnRenamed("ts", "_t0").withColumn("path", F.array().cast("array<double>"))
+    def features(t: Column) -> Column:
+        month = F.month(t)
+        height = boundary_layer_height(F.hour(t), month, F.col("temperature"), F.col("wind_speed"))
+        return F.struct(
+            F.hour(t).alias("hour"), F.dayofweek(t).alias("dow"), month.alias("month"),
+            by_season(month, {s: i for i, s in enumerate(SEASONS)}).alias("season_code"), height.alias("blh_m"))
+
+    current = state.withColumns({
+        "_steps": F.transform(horizon(F.col("ts"), hours), features), "path": F.array().cast("array<double>")})
+    kept = current.columns
     for step in range(hours):
-        at = F.col("_t0") + F.expr(f"interval {step} hours")
-        frame = with_calendar(current.withColumn("ts", at))
-        if "blh_m" in cols:
-            frame = frame.withColumn("blh_m", boundary_layer_height(
-                F.col("hour"), F.col("month"), F.col("temperature"), F.col("wind_speed")))
-        pred = clip(F.round("prediction", 1), 6.0)
-        current = (
-            model.transform(frame).withColumn("_p", pred)
-            .withColumns({
-                "pm25_lag1": F.col("_p"), "pm25_roll24": F.col("pm25_roll24") * 0.95 + F.col("_p") * 0.05,
-                "path": F.array_append("path", F.col("_p"))})
-            .select(*current.columns)
-        )
+        frame = current.withColumn("_s", F.col("_steps")[step]).select("*", "_s.*")
+        scored = model.transform(frame).withColumn("_p", clip(F.round("prediction", 1), 6.0))
+        current = scored.withColumns({
+            "pm25_lag1": F.col("_p"), "pm25_roll24": F.col("pm25_roll24") * 0.95 + F.col("_p") * 0.05,
+            "path": F.array_append("path", F.col("_p"))}).select(*kept)
         if (step + 1) % cut_every == 0 and step + 1 < hours:
             current = cut_lineage(current, "forecast")
-    return current.select("station_id", "_t0", F.posexplode("path").alias("step", "pm25")).select(
-        "station_id", F.col("step").cast("int").alias("step"),
-        F.expr("_t0 + make_dt_interval(0, step)").alias("ts"), "pm25")
+    return current.select("station_id", "ts", F.posexplode("path").alias("step", "pm25")).select(
+        "station_id", "step", F.expr("ts + make_dt_interval(0, step)").alias("ts"), "pm25")
 
 
 def peak(forecast: DataFrame) -> DataFrame:

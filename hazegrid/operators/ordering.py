@@ -59,8 +59,8 @@ def blocks_by_position(
     `before` rows in front of it and the `after` rows behind it, with `core` false."""
     if max(before, after) > size:
         raise ValueError("a block must be at least as long as its margins")
-    here = F.floor((F.col(pos) - 1) / size)
     offset = F.pmod(F.col(pos) - 1, F.lit(size))
+    here = ((F.col(pos) - 1 - offset) / size).cast("long")
     homes = [F.struct(here.alias("b"), F.lit(True).alias("c"))]
     if before:
         homes.append(F.when(offset >= size - before, F.struct((here + 1).alias("b"), F.lit(False).alias("c"))))
@@ -83,9 +83,10 @@ def blocks_by_time(
     width = block_hours * MICROS_PER_HOUR
     margin = int(lookback_hours * MICROS_PER_HOUR)
     us = F.col(clock)
-    here = F.floor(us / width)
-    # `us mod width` is exact in long arithmetic; dates before 1970 wrap the right way.
-    tail = F.pmod(us, F.lit(width)) >= width - margin
+    # Whole-number arithmetic; dates before 1970 fall into the block below, not towards zero.
+    into = F.pmod(us, F.lit(width))
+    here = ((us - into) / width).cast("long")
+    tail = into >= width - margin
     homes = F.array(
         F.struct(here.alias("b"), F.lit(True).alias("c")),
         F.when(tail, F.struct((here + 1).alias("b"), F.lit(False).alias("c"))),

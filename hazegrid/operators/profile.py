@@ -74,17 +74,13 @@ def hour_by_day_type(wide: DataFrame, weekend: tuple[int, ...] = (1, 7)) -> Data
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns over rows where both are present; pairs
-    without a value are left out. Moments merge, so one small row leaves each task."""
-    def both(a: str, b: str) -> tuple[Column, Column]:
-        ok = F.col(a).isNotNull() & F.col(b).isNotNull()
-        return F.when(ok, F.col(a)), F.when(ok, F.col(b))
-
+    """Pearson correlation of every pair of columns over rows where both are present, which is
+    what ``corr`` uses; pairs without a value are left out. Moments merge, so one small row
+    leaves each task."""
     pairs = list(combinations(cols, 2))
-    stats = df.agg(*[F.corr(*both(a, b)).alias(f"{a}|{b}") for a, b in pairs])
-    return stats.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("left_col"), F.lit(b).alias("right_col"), F.col(f"{a}|{b}").alias("r"))
-        for a, b in pairs])).alias("_r")).select("_r.*").where(F.col("r").isNotNull() & ~F.isnan("r"))
+    stats = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    names = ", ".join(f"'{a}', '{b}', `{a}|{b}`" for a, b in pairs)
+    return stats.selectExpr(f"stack({len(pairs)}, {names}) as (left_col, right_col, r)").where("r is not null and not isnan(r)")
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:

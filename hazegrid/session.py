@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.sql.parquet.compression.codec": "snappy",
+    # Recording the Python call site of every column expression doubles the time to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 _fallback_dirs: dict[str, str] = {}
@@ -45,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session, where driver and executors share one disk, may go without the
     setting; it then gets a temporary folder. On a cluster a missing setting is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId
