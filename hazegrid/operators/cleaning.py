@@ -49,11 +49,14 @@ def standardise(readings: DataFrame) -> DataFrame:
 # ---- duplicates -------------------------------------------------------------------------
 
 def deduplicate(
-    df: DataFrame, keys: list[str] = ["station_id", "ts"], cols: list[str] = POLLUTANTS,
+    df: DataFrame, keys: list[str] = ["ts", "station_id"], cols: list[str] = POLLUTANTS,
     tie_break: list[str] = [],
 ) -> DataFrame:
     """Keep, per station and time, the row with the most pollutants present; ties go to the
-    smallest `tie_break` columns and then to the smallest remaining values."""
+    smallest `tie_break` columns and then to the smallest remaining values.
+
+    The time comes first in the key: it tells most rows apart, which makes sorting cheaper.
+    """
     return dedupe(df, keys, [-filled_count(cols), *[F.col(c) for c in tie_break]])
 
 

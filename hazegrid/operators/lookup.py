@@ -38,7 +38,7 @@ def dedupe(df: DataFrame, keys: list[str], prefer: list) -> DataFrame:
     """One row per key: the smallest by `prefer`, then by every other column.
 
     A minimum over a struct is combined before the shuffle, so a key with very many copies
-    costs no more than one row per task. Nulls sort first.
+    costs no more than one row per task. Nulls sort first. Put the most varied key first.
     """
     rest = [c for c in df.columns if c not in keys]
     order = F.struct(*[p.alias(f"_p{i}") for i, p in enumerate(prefer)], *[F.col(c) for c in rest])

@@ -128,16 +128,24 @@ def over_hours(
     return placed.withColumns(columns(window)).where("_core").drop("_block", "_core", "_us")
 
 
-def value_bins(values: DataFrame, value: str, keys: list[str] = [], bins: int = 256) -> DataFrame:
-    """Cut points that split each group's rows into about equal shares: one row per group
-    with an ascending array ``_cuts``. Built from a mergeable sketch."""
-    shares = [i / bins for i in range(1, bins)]
-    return values.groupBy(*keys).agg(F.percentile_approx(value, shares, 10_000).alias("_cuts"))
+def value_bins(values: DataFrame, value: str, keys: list[str] = []) -> DataFrame:
+    """Cut points that split each group's rows into about 256 equal shares, one row per
+    group: 255 ascending ``_cuts``, and every sixteenth of them as ``_coarse``. Built from a
+    mergeable sketch."""
+    shares = [i / 256 for i in range(1, 256)]
+    cuts = values.groupBy(*keys).agg(F.percentile_approx(value, shares, 10_000).alias("_cuts"))
+    return cuts.withColumn("_coarse", F.transform(
+        F.sequence(F.lit(15), F.lit(239), F.lit(16)), lambda i: F.get(F.col("_cuts"), i)))
 
 
-def bin_of(value: Column, cuts: Column) -> Column:
-    """Number of cut points below the value; equal values share a bin."""
-    return F.size(F.filter(cuts, lambda c: c < value))
+def bin_of(value: Column, cuts: Column, coarse: Column) -> Column:
+    """Number of cut points below the value; equal values share a bin. Looks through the
+    coarse cuts, then through the fifteen cuts between two of them."""
+    def below(points: Column) -> Column:
+        return F.size(F.filter(points, lambda c: c < value))
+
+    k = below(coarse)
+    return k * 16 + below(F.slice(cuts, k * 16 + 1, F.lit(15)))
 
 
 def cumulative_counts(counts: DataFrame, keys: list[str], value: str = "_v", n: str = "_n") -> DataFrame:
@@ -149,7 +157,7 @@ def cumulative_counts(counts: DataFrame, keys: list[str], value: str = "_v", n:
     """
     binned = (
         join_on(counts, value_bins(counts, value, keys), keys, "inner", null_safe=True)
-        .withColumn("_bin", bin_of(F.col(value), F.col("_cuts"))).drop("_cuts")
+        .withColumn("_bin", bin_of(F.col(value), F.col("_cuts"), F.col("_coarse"))).drop("_cuts", "_coarse")
     )
     along = Window.partitionBy(*keys).orderBy("_bin")
     spans = binned.groupBy(*keys, "_bin").agg(F.sum(n).alias("_bn")).select(

@@ -12,7 +12,7 @@ from hazegrid.functions.atmosphere import wind_sector
 from hazegrid.functions.calendar import day_type, hour_of, season
 from hazegrid.operators.joins import on_domain
 from hazegrid.operators.lookup import join_on
-from hazegrid.operators.quantiles import exact_quantiles, melt, quantiles_of_counts, value_counts
+from hazegrid.operators.quantiles import melt, quantiles_of_counts, value_counts
 from hazegrid.schema import DAILY_LIMITS, POLLUTANTS, SEASONS, WEATHER
 
 
@@ -84,23 +84,26 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Count, mean, std, min, exact quartiles, max and percent null per column."""
-    stats = df.agg(F.count(F.lit(1)).alias("_total"), *[
-        f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in cols
-        for n, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev), ("min", F.min), ("max", F.max))])
-    fields = {c: {
-        **{n: F.col(f"{n}_{c}") for n in ("n", "mean", "std", "min", "max")},
-        "null_pct": F.round(_pct(F.col("_total") - F.col(f"n_{c}"), F.col("_total")), 1),
-    } for c in cols}
-    quartiles = exact_quantiles(melt(df, [], cols), ["column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return join_on(stats.select(_rows(fields, "column")).select("_r.*"), quartiles, ["column"])
+    """Count, mean, std, min, exact quartiles, max and percent null per column, all from one
+    table of value counts, so from one pass over the rows."""
+    v, n = F.col("_v"), F.col("_n")
+    counts = value_counts(melt(df, [], cols), ["column"], "value")
+    present = F.when(v.isNotNull(), n)
+    means = counts.groupBy("column").agg(
+        F.coalesce(F.sum(present), F.lit(0)).alias("n"), (F.sum(v * n) / F.sum(present)).alias("mean"),
+        F.min("_v").alias("min"), F.max("_v").alias("max"),
+        F.round(_pct(F.sum(F.when(v.isNull(), n).otherwise(0)), F.sum("_n")), 1).alias("null_pct"))
+    spread = join_on(counts, means.select("column", "mean"), ["column"]).groupBy("column").agg(
+        F.sqrt(F.try_divide(F.sum((v - F.col("mean")) * (v - F.col("mean")) * n), F.sum(present) - 1)).alias("std"))
+    quartiles = quantiles_of_counts(counts, ["column"], {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return join_on(join_on(means, spread, ["column"]), quartiles, ["column"])
 
 
 def seasonal_box(wide: DataFrame, k: float = 1.5) -> DataFrame:
     """Quartiles of PM2.5 per season and the outermost values within the fences, from one
     pass over the readings."""
     seasons = wide.where(F.col("pm25").isNotNull()).select(season(F.month("ts")).alias("season"), "pm25")
-    counts = value_counts(seasons, ["season"], "pm25")
+    counts = value_counts(seasons, ["season"], "pm25")  # no nulls are left
     q = quantiles_of_counts(counts, ["season"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     spread = F.col("q3") - F.col("q1")
     inside = F.col("_v").between(F.col("q1") - spread * k, F.col("q3") + spread * k)

@@ -15,19 +15,18 @@ def melt(df: DataFrame, keys: list[str], cols: list[str], name: str = "column",
 
 
 def value_counts(long: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """How often each value ``_v`` occurs in its group (``_n``), without nulls.
+    """How often each value ``_v`` occurs in its group (``_n``); null counts as a value.
 
     Counting combines before the shuffle. The counts are read several times by what follows,
     so they are written to the shared folder; runs one job.
     """
-    counts = long.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
+    counts = long.groupBy(F.col(value).alias("_v"), *keys).agg(F.count(F.lit(1)).alias("_n"))
     return cut_lineage(counts, "value-counts")
 
 
 def quantiles_of_counts(counts: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
     """One row per group with linearly interpolated quantiles, e.g. ``{"q1": 0.25}``."""
-    placed = cumulative_counts(counts, keys)
+    placed = cumulative_counts(counts.where(F.col("_v").isNotNull()), keys)
     # Zero-based ranks next to each share; the fraction between them is interpolated.
     place = {n: F.lit(share) * (F.col("_total") - 1) for n, share in shares.items()}
 

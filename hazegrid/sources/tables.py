@@ -20,19 +20,18 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 def write_by_station_month(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Partition by station, year and month.
 
-    Rows are grouped by those keys and the day, so a folder gets a few files and a station
-    with very many rows in a month is still written by many tasks.
+    Rebalancing gathers the rows of a folder for few, large files; adaptive execution then
+    splits what has become too large, so a station with very many rows has many writers.
     """
     dated = df.withColumns({"date": F.to_date(ts), "year": F.year(ts), "month": F.month(ts)})
-    dated.repartition("station_id", "year", "month", F.dayofmonth(ts)).write.mode("overwrite").partitionBy(
-        "station_id", "year", "month").parquet(path)
+    keys = ["station_id", "year", "month"]
+    dated.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
 def write_by_month(df: DataFrame, path: str, ts: str = "ts") -> None:
-    """Partition by year and month; tasks take days, so one month does not fall to one task."""
+    """Partition by year and month, rebalanced in the same way."""
     dated = df.withColumns({"year": F.year(ts), "month": F.month(ts)})
-    dated.repartition("year", "month", F.dayofmonth(ts)).write.mode("overwrite").partitionBy(
-        "year", "month").parquet(path)
+    dated.hint("rebalance", "year", "month").write.mode("overwrite").partitionBy("year", "month").parquet(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
