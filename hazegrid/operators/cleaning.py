@@ -116,8 +116,9 @@ def fill_from_day_medians(long: DataFrame, value: str, medians: DataFrame) -> Da
 
 def fill_gaps_long(long: DataFrame, order: list[str] = ["ts"], k: float = FLAG_K) -> DataFrame:
     """Outliers to null, carry forward up to three readings, then the day's median of the
-    values that were there before filling."""
-    flagged = flag_outliers(long, k=k)
+    values that were there before filling. The flagged readings are read three times, so they
+    are written to the shared folder; runs that job."""
+    flagged = cut_lineage(flag_outliers(long, k=k), "flagged")
     medians = day_medians(flagged, "value_clean")
     carried = carry_forward_rows(flagged, "value_clean", order=order)
     return fill_from_day_medians(carried, "value_clean", medians)
@@ -142,7 +143,8 @@ def quartile_fences(df: DataFrame, cols: list[str], k: float = CLIP_K, keys: lis
 
 
 def clip_outliers(df: DataFrame, cols: list[str] = POLLUTANTS, k: float = CLIP_K) -> DataFrame:
-    """Bound each column by its station's fences; a column without fences is left alone."""
+    """Bound each column by its station's fences; a column without fences is left alone.
+    Reads `df` twice, for the fences and for the rows."""
     fences = quartile_fences(df, cols, k).select(
         "station_id", *[f"lower_{c}" for c in cols], *[f"upper_{c}" for c in cols])
     joined = join_on(df, fences, ["station_id"])

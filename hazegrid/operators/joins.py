@@ -86,9 +86,13 @@ def hourly_spine(df: DataFrame, hours: int = 72, ts: str = "ts") -> DataFrame:
 
 
 def on_spine(df: DataFrame, hours: int = 72) -> DataFrame:
-    """Hourly rows laid over the full spine; missing hours appear with null values."""
+    """Hourly rows laid over the full spine; missing hours appear with null values.
+
+    The earliest hour of any spine bounds the scan, so older rows are not shuffled.
+    """
     spine = hourly_spine(df, hours)
-    return join_on(spine, df, ["station_id", "ts"])
+    recent = df.where(F.col("ts") >= spine.agg(F.min("ts")).scalar())
+    return join_on(spine, recent, ["station_id", "ts"])
 
 
 def overlay(base: DataFrame, observed: DataFrame, key: str, value: str, min_common: int = 500) -> DataFrame:
