@@ -15,6 +15,11 @@ from hazegrid.session import cut_lineage
 from hazegrid.schema import CLEANED, CLIP_K, FILL_HOURS, FILL_ROWS, FLAG_K, POLLUTANTS, normalize
 
 
+# Accuracy of the mergeable quantile sketch: exact for groups of up to so many rows, and off by
+# at most a ten-thousandth of the ranks beyond.
+SKETCH = 10_000
+
+
 def filled_count(cols: list[str]) -> Column:
     """How many of the columns are present in a row."""
     return reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in cols])
@@ -86,7 +91,7 @@ def carry_forward_rows(
 def hour_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     """Median of each column per station and hour of day, all in one aggregation."""
     return df.groupBy("station_id", F.hour("ts").alias("hour")).agg(
-        *[F.percentile_approx(c, 0.5, 10_000).alias(f"median_{c}") for c in cols])
+        *[F.percentile_approx(c, 0.5, SKETCH).alias(f"median_{c}") for c in cols])
 
 
 def fill_from_hour_medians(df: DataFrame, cols: list[str], medians: DataFrame | None = None) -> DataFrame:
@@ -106,7 +111,7 @@ def day_medians(long: DataFrame, value: str) -> DataFrame:
     """Median per station, parameter and date."""
     return long.where(F.col(value).isNotNull()).groupBy(
         "station_id", "parameter", F.to_date("ts").alias("date"),
-    ).agg(F.percentile_approx(value, 0.5, 200).alias("daily_median"))
+    ).agg(F.percentile_approx(value, 0.5, SKETCH).alias("daily_median"))
 
 
 def fill_from_day_medians(long: DataFrame, value: str, medians: DataFrame) -> DataFrame:
@@ -133,7 +138,7 @@ def _fences(q1: Column, q3: Column, k: float) -> tuple[Column, Column]:
 def quartile_fences(df: DataFrame, cols: list[str], k: float = CLIP_K, keys: list[str] = ["station_id"]) -> DataFrame:
     """q1, q3, lower and upper bound of every column, one row per key."""
     quartiles = df.groupBy(*keys).agg(
-        *[F.percentile_approx(c, [0.25, 0.75], 10_000).alias(f"_q_{c}") for c in cols])
+        *[F.percentile_approx(c, [0.25, 0.75], SKETCH).alias(f"_q_{c}") for c in cols])
     out = [F.col(key) for key in keys]
     for c in cols:
         q1, q3 = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
@@ -157,7 +162,7 @@ def clip_outliers(df: DataFrame, cols: list[str] = POLLUTANTS, k: float = CLIP_K
 def reading_fences(long: DataFrame, value: str = "value", k: float = FLAG_K) -> DataFrame:
     """Bounds per station and parameter."""
     q = long.where(F.col(value).isNotNull()).groupBy("station_id", "parameter").agg(
-        F.percentile_approx(value, [0.25, 0.75], 1000).alias("_q"))
+        F.percentile_approx(value, [0.25, 0.75], SKETCH).alias("_q"))
     low, high = _fences(F.col("_q")[0], F.col("_q")[1], k)
     return q.select(
         "station_id", "parameter", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"),

@@ -103,7 +103,7 @@ def j08(t):
 
 @query("j09_keyword_area", """
   select 'P' || p_partkey::varchar as station_id, case when p_partkey = 7 then 'Known' else
-      coalesce(area, 'estimated (metro average)') end as catchment_area_name,
+      coalesce(area, 'estimated (Dhaka metro average)') end as catchment_area_name,
     case when p_partkey = 7 then 123456 else floor(coalesce(density, 23000) * pi() * 9) end::bigint as population_catchment
   from part left join (select p_partkey as k, area, density from part, (values ('red', 1, 'Red', 42000),
       ('ring', 2, 'Ring', 38000), ('bolt', 3, 'Bolt', 35000), ('gizmo', 4, 'Gizmo', 30000)) v(word, place, area, density)

@@ -87,7 +87,7 @@ AREA_POPULATION = [
     ("motijheel", "Motijheel", 500_000),
     ("narayanganj", "Narayanganj", 750_000),
 ]
-UNMATCHED_AREA = "estimated (metro average)"
+UNMATCHED_AREA = "estimated (Dhaka metro average)"
 
 # ---- schemas --------------------------------------------------------------------------
 READING = T.StructType([

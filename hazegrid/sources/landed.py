@@ -28,6 +28,17 @@ def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
     return spark.read.schema(schema).options(**JSON_TIMES).json(path)
 
 
+def read_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records out of stored response pages, one page per line with its records in
+    ``results``; an empty page adds nothing."""
+    pages = read_json(spark, path, f"results array<struct<{_as_fields(schema)}>>")
+    return pages.select(F.explode("results").alias("_r")).select("_r.*")
+
+
+def _as_fields(schema: str) -> str:
+    return T.StructType.fromDDL(schema).simpleString()[len("struct<"):-1]
+
+
 def stations(pages: DataFrame, box: dict[str, float] | None = None) -> DataFrame:
     """Station table from station records.
 

@@ -46,6 +46,13 @@ def test_measurements(spark, tmp_path):
     assert got == [("2024-01-01 00:00:00", "pm25", 4.5, "µg/m³"), ("2024-01-01 01:00:00", "no2", 1.0, "ppb")]
 
 
+def test_pages_hold_records(spark, tmp_path):
+    one = {"station_id": "1", "parameter_name": "co", "value": 2.0, "datetime": {"utc": "2024-01-01T01:00:00Z"}}
+    path = land(tmp_path, [{"meta": {"found": 3}, "results": [one, one]}, {"results": []}, {"results": [one]}])
+    records = landed.read_pages(spark, path, landed.MEASUREMENT_JSON)
+    assert landed.measurements(records).count() == 3
+
+
 def test_weather_arrays_of_unequal_length(spark, tmp_path):
     path = land(tmp_path, [
         {"station_id": "1", "hourly": {"time": ["2024-01-01T00:00", "2024-01-01T01:00"], "temperature_2m": [20.5, None]}},
