@@ -2,8 +2,7 @@
 
 The vocabulary's library drops white space and merges each pre-token alone, so the ids of a text are
 those of its lower-cased words in order. `Words` looks words up in a table; a word that is not there is
-split by the library's own pre-tokeniser, pre-tokens proven to be one token are taken as they are, and only
-the rest is merged. Texts where that need not hold go to the library whole: those with a character
+split into pre-tokens, those proven to be one token are taken as they are, and only the rest is merged. Texts where that need not hold go to the library whole: those with a character
 outside `SAFE` (normalisation might join it to its neighbours), or with `<|`, which may begin a special string.
 """
 
@@ -16,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import regex
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
@@ -23,6 +23,23 @@ VOCABULARY = "word_bpe_49k.json"
 # White space, or composed already, never combining and lower-cased one by one.
 SAFE = r"\t\n\x0b\f\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞₠-₿"
 _unsafe = re.compile(f"[^{SAFE}]")
+# Fixed value: the vocabulary's own split of a lower-cased word.
+_pre_tokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a vocabulary entry: itself if it prints, else the next one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_letters = _byte_letters()
+
+
+def as_entry(piece: str) -> str:
+    """A pre-token as the vocabulary writes it."""
+    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_letters)
 
 
 @lru_cache(maxsize=4)
@@ -55,11 +72,11 @@ class Words(dict):
     """Lower-cased word → its row in a flat table of ids. At `limit` words the table starts again, so
     that a worker's memory stays bounded."""
 
-    def __init__(self, name: str = VOCABULARY, limit: int = 500_000):
+    def __init__(self, name: str = VOCABULARY, limit: int = 1_000_000):
         super().__init__()
         self.tok, self.limit = library(name), limit
         self.proven = whole_tokens(name)
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, int] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -68,19 +85,25 @@ class Words(dict):
         self.flat, self.start, self.length = array("I"), array("q"), array("q")
 
     def __missing__(self, word: str) -> int:
-        begun = len(self.flat)
-        for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(word):
-            one = self.proven.get(piece)
+        flat, begun = self.flat, len(self.flat)
+        for piece in _pre_tokens.findall(word):
+            entry = as_entry(piece)
+            one = self.proven.get(entry)
             if one is not None:
-                self.flat.append(one)
+                flat.append(one)
+                continue
+            known = self.pieces.get(entry)
+            if known is None:
+                at = len(flat)
+                flat.extend([t.id for t in self.tok.model.tokenize(entry)])
+                if len(entry) <= 64:
+                    self.pieces[entry] = at << 20 | len(flat) - at
             else:
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    ids = self.pieces[piece] = [t.id for t in self.tok.model.tokenize(piece)]
-                self.flat.extend(ids)
+                at = known >> 20
+                flat.extend(flat[at:at + (known & 0xFFFFF)])
         row = self[word] = len(self.start)
         self.start.append(begun)
-        self.length.append(len(self.flat) - begun)
+        self.length.append(len(flat) - begun)
         return row
 
     def _rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:

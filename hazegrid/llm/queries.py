@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from hazegrid.llm import exact_dedup, mixing, packing, token_counts, token_files
+from hazegrid.llm import exact_dedup, mixing, packing, quality, token_counts, token_files
 from hazegrid.llm.common import table
 
 QUERIES = {
     "op1_token_counts": lambda spark, d: token_counts.token_counts(table(spark, d, "documents")),
     "op2_curriculum_mix": lambda spark, d: mixing.mixed(table(spark, d, "documents")),
+    "op3_quality_rules": lambda spark, d: quality.verdicts(table(spark, d, "documents")),
     "op8_best_fit_packing": lambda spark, d: packing.best_fit_packing(table(spark, d, "documents")),
     "op9_token_files": lambda spark, d: token_files.token_files(table(spark, d, "documents")),
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality.ORACLE,
     "op2_curriculum_mix": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
