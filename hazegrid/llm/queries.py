@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazegrid.llm import exact_dedup, mixing, packing, quality, secret_scan, token_counts, token_files
+from hazegrid.llm import exact_dedup, mixing, packing, quality, secret_scan, token_counts, token_files, toxicity
 from hazegrid.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_curriculum_mix": lambda spark, d: mixing.mixed(table(spark, d, "documents")),
     "op3_quality_rules": lambda spark, d: quality.verdicts(table(spark, d, "documents")),
     "op4_secret_scan": lambda spark, d: secret_scan.digest(table(spark, d, "documents")),
+    "op7_toxicity": lambda spark, d: toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_best_fit_packing": lambda spark, d: packing.best_fit_packing(table(spark, d, "documents")),
     "op9_token_files": lambda spark, d: token_files.token_files(table(spark, d, "documents")),
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
