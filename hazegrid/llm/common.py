@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     if texts.nbytes <= SLICE_BYTES:
         yield batch
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     begun, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > SLICE_BYTES:
@@ -41,7 +42,6 @@ def map_texts(df: DataFrame, keep: dict[str, str], text_col: str, added: str,
     kept = list(keep.values())
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,7 +66,7 @@ def _combine(limit: int, schema: T.StructType):
                 rows, hashes, texts = (part.column(c).to_pylist() for c in ("row", "h", "text"))
                 owners = [found.owner(h, t, r) for h, t, r in zip(hashes, texts, rows, strict=True)]
                 first = pa.array([o == r for o, r in zip(owners, rows, strict=True)], pa.bool_())
-                kept = pa.compute.if_else(first, part.column("text"), pa.scalar(None, part.column("text").type))
+                kept = pc.if_else(first, part.column("text"), pa.scalar(None, part.column("text").type))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "h", "bytes", "text_sha256")),
                                                   pa.array(owners, pa.int64()), kept], names=schema.names)
     return run
