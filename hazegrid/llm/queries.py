@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazegrid.llm import exact_dedup, html_text, mixing, packing, quality, secret_scan, token_counts, token_files, toxicity
+from hazegrid.llm import exact_dedup, html_text, jaccard_join, mixing, packing, quality, secret_scan, token_counts, token_files, toxicity
 from hazegrid.llm.common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_quality_rules": lambda spark, d: quality.verdicts(table(spark, d, "documents")),
     "op4_secret_scan": lambda spark, d: secret_scan.digest(table(spark, d, "documents")),
     "op5_html_text": lambda spark, d: html_text.main_text(table(spark, d, "pages")),
+    "op6_ngram_jaccard": lambda spark, d: jaccard_join.ngram_jaccard(table(spark, d, "documents")),
     "op7_toxicity": lambda spark, d: toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_best_fit_packing": lambda spark, d: packing.best_fit_packing(table(spark, d, "documents")),
     "op9_token_files": lambda spark, d: token_files.token_files(table(spark, d, "documents")),
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_ngram_jaccard": jaccard_join.ORACLE,
     "op3_quality_rules": quality.ORACLE,
     "op2_curriculum_mix": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
