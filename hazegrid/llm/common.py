@@ -6,11 +6,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hazegrid.session import cut_lineage
+
 SLICE_BYTES = 4 << 20
+# Rows of one or two numbers up to which a list is broadcast; a longer one is shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -56,10 +60,12 @@ def map_texts(df: DataFrame, keep: dict[str, str], text_col: str, added: str,
     return source.mapInArrow(run, schema)
 
 
-def words_of(text: Column) -> Column:
-    """The text's words: runs of characters other than space and \\t \\n \\v \\f \\r."""
-    trimmed = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+def without(df: DataFrame, dropped: DataFrame, key: str, dropped_key: str) -> DataFrame:
+    """Rows of `df` whose key is not in `dropped`, which is written to the shared folder and counted first: a short
+    list is broadcast, a long one shuffled. Runs a job."""
+    dropped = cut_lineage(dropped.select(dropped_key), "dropped")
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
+    return df.join(side, F.col(key) == F.col(dropped_key), "left_anti")
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazegrid.llm.common import slices
+from hazegrid.llm.common import slices, without
 from hazegrid.session import scratch_path
 
 BUCKET_BYTES = 32 << 20
@@ -55,7 +55,7 @@ class ContentTable:
 
 
 def _combine(limit: int, schema: T.StructType):
-    """First pass, within a task: copies point to the first row with their content, which alone keeps its text.
+    """First pass, within a task: copies point to the first row with their content, and only that row keeps its `text`.
     The table starts again when it is full, so a task's memory is bounded; copies that this parts meet later."""
     def run(batches):
         found = ContentTable()
@@ -65,10 +65,11 @@ def _combine(limit: int, schema: T.StructType):
                     found.clear()
                 rows, hashes, texts = (part.column(c).to_pylist() for c in ("row", "h", "text"))
                 owners = [found.owner(h, t, r) for h, t, r in zip(hashes, texts, rows, strict=True)]
-                first = pa.array([o == r for o, r in zip(owners, rows, strict=True)], pa.bool_())
-                kept = pc.if_else(first, part.column("text"), pa.scalar(None, part.column("text").type))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "h", "bytes", "text_sha256")),
-                                                  pa.array(owners, pa.int64()), kept], names=schema.names)
+                new = {"owner": pa.array(owners, pa.int64())}
+                if "text" in schema.names:
+                    first = pa.array([o == r for o, r in zip(owners, rows, strict=True)], pa.bool_())
+                    new["text"] = pc.if_else(first, part.column("text"), pa.scalar(None, part.column("text").type))
+                yield pa.RecordBatch.from_arrays([new[n] if n in new else part.column(n) for n in schema.names], names=schema.names)
     return run
 
 
@@ -119,36 +120,56 @@ def _owners(records: DataFrame, limit: int) -> DataFrame:
     return near.join(far, near.owner == far.near_owner).select("row", F.col("far_owner").alias("owner"))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row.
-
-    Copies within a task are combined before anything is shuffled, so that a text that a third of all rows
-    share reaches its bucket once per task, not once per row. What is left is written to the shared folder as spill
-    files and partitioned recursively until each bucket holds at most `limit` bytes; a task then compares complete contents
-    in an open-addressing table. Sizes of groups are summed per task first. Runs jobs.
-
-    Null texts count as empty, and all empty texts are equal. Null ids rank last; a group of null ids only has
-    keep_id null. Of repeated rows (same id and text) exactly one is kept. An empty table gives an empty result. Other columns are ignored."""
+def _resolve(df: DataFrame, id_col: str, text_col: str, limit: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The spill files, and per owner row (near) the first of its group and the group's size. With `carry`, the spill files hold those
+    columns (c0, c1, ...) of every row, the text among them; without, only the normalised text of each owner."""
     spark = df.sparkSession
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), normalised(F.col(f"`{text_col}`")).alias("text"))
+    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), normalised(F.col(f"`{text_col}`")).alias("text"), *carried)
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("h"),
-                       F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("text_sha256"), "text")
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = T.StructType.fromDDL(f"row long, doc_id {id_type}, h long, bytes long, text_sha256 string, owner long, text string")
+                       F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("text_sha256"), "text", *[f"c{i}" for i in range(len(carry))])
+    kinds = {f.name: f.dataType for f in rows.schema.fields} | {"owner": T.LongType()}
+    names = ["row", "doc_id", "h", "bytes", "owner"] + ([f"c{i}" for i in range(len(carry))] if carry else ["text_sha256", "text"])
+    schema = T.StructType([T.StructField(n, kinds[n]) for n in names])
     path = scratch_path(spark, "spill")
     rows.mapInArrow(_combine(limit, schema), schema).write.option("compression", "zstd").parquet(path)
     spill = spark.read.schema(schema).parquet(path)
 
-    owners = _owners(spill.where("row = owner").select("row", "h", "bytes", "text"), limit)
+    text = normalised(F.col(f"c{carry.index(text_col)}")) if carry else F.col("text")
+    owners = _owners(spill.where("row = owner").select("row", "h", "bytes", text.alias("text")), limit)
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     members = spill.groupBy("owner").agg(F.min(first).alias("first"), F.count("*").alias("n")).withColumnRenamed("owner", "near")
     classes = members.join(owners.select(F.col("row").alias("r"), "owner"), F.col("near") == F.col("r")).select("near", "owner", "first", "n")
     whole = classes.groupBy("owner").agg(F.min("first").alias("first"), F.sum("n").alias("group_size")).withColumnRenamed("owner", "o")
     known = classes.select("near", "owner").join(whole, F.col("owner") == F.col("o")).select("near", "first", "group_size")
+    return spill, known
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row.
+
+    Copies within a task are combined before anything is shuffled, so that a text that a third of all rows
+    share reaches its bucket once per task, not once per row. What is left is written to the shared folder as spill
+    files and partitioned recursively until each bucket holds at most `limit` bytes; a task then compares complete contents
+    in an open-addressing table. Sizes of groups are summed per task first. Runs jobs.
+
+    Null texts count as empty, and all empty texts are equal. Null ids rank last; a group of null ids only has
+    keep_id null. Of repeated rows (same id and text) exactly one is kept. An empty table gives an empty result. Other columns are ignored."""
+    spill, known = _resolve(df, id_col, text_col, limit, [])
     return (spill.select("row", "doc_id", "owner", "text_sha256").join(known, F.col("owner") == F.col("near"))
             .select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256"))
 
 
+def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET_BYTES) -> DataFrame:
+    """The rows that `exact_dedup` keeps, with all their columns. The spill files hold whole rows here; dropped rows are taken out
+    by their numbers. Runs jobs."""
+    spill, known = _resolve(df, id_col, text_col, limit, df.columns)
+    out = (spill.select("row", "owner").join(known, F.col("owner") == F.col("near")).where(F.col("row") != F.col("first.row"))
+           .select(F.col("row").alias("r")))
+    left = without(spill, out, "row", "r")
+    return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
 ORACLE = r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents),
 g as (select body, min(doc_id) as keep_id, count(*) as group_size from t group by body)

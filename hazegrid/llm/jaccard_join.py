@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazegrid.llm.common import slices
+from hazegrid.llm.common import BROADCAST_ROWS, slices
 from hazegrid.session import cut_lineage, scratch_path
 
 SHINGLE = 5
@@ -31,8 +31,6 @@ PERCENT = 75
 # Documents of a cluster that meet in one tree; larger clusters are cut into tiles.
 TILE_ROWS, TILE_SHINGLES = 1_500, 2_000_000
 CHUNK_POSTINGS, BUCKET_POSTINGS = 1_000_000, 500_000
-# Rows of ids (some 40 bytes each) up to which a list is broadcast; a longer one is shuffled.
-BROADCAST_ROWS = 500_000
 
 U = np.uint64
 _MIX = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]

@@ -103,8 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return at[1:], w[1:], float(w[0]) if len(w) else float("-inf")
 
 
-def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for each row, without a shuffle. At most BUCKETS weights go to each task."""
+def scorer(model: tuple[np.ndarray, np.ndarray, float]):
+    """A function that makes the scoring of a task. At most BUCKETS weights go to each."""
     at, weights, bias = model
 
     def make():
@@ -120,7 +120,12 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: st
             return [1 / (1 + np.exp(-np.clip(sums, -700, 700))) if np.isfinite(bias) else np.zeros(len(texts))]
         return scores
 
-    scored = map_texts(df, {id_col: "doc_id"}, text_col, "score double", make)
+    return make
+
+
+def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted for each row, without a shuffle."""
+    scored = map_texts(df, {id_col: "doc_id"}, text_col, "score double", scorer(model))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -132,3 +137,12 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held out. Labels that are null or no 0 or 1 are not learnt. Repeated rows give repeated rows, an empty table an
     empty result; other columns are ignored."""
     return score(df, fit(df, labels, id_col, text_col, label_col, rows), id_col, text_col)
+
+
+def reject_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+                 rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows that score below 0.5, with all their columns, without a shuffle. Runs the training job."""
+    model = fit(df, labels, id_col, text_col, label_col, rows)
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    scored = map_texts(df, names, text_col, "score double", scorer(model))
+    return scored.where("score < 0.5").select(*[F.col(n).alias(c) for c, n in names.items()])
