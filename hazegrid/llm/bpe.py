@@ -22,6 +22,8 @@ VOCABULARY = "word_bpe_49k.json"
 
 # White space, or composed already, never combining and lower-cased one by one.
 SAFE = r"\t\n\x0b\f\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞₠-₿"
+# Fixed value: characters at which Python splits words and the vocabulary does not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 _unsafe = re.compile(f"[^{SAFE}]")
 # Fixed value: the vocabulary's own split of a lower-cased word.
 _pre_tokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -39,7 +41,7 @@ _letters = _byte_letters()
 
 def as_entry(piece: str) -> str:
     """A pre-token as the vocabulary writes it."""
-    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_letters)
+    return piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_letters)
 
 
 @lru_cache(maxsize=4)
@@ -65,7 +67,20 @@ def whole_tokens(name: str = VOCABULARY) -> dict[str, int]:
 
 
 def plain(text: str) -> bool:
-    return "<|" not in text and (text.isascii() and text.isprintable() or not _unsafe.search(text))
+    if "<|" in text:
+        return False
+    if text.isascii():
+        return not any(c in text for c in SEPARATORS)
+    return not _unsafe.search(text)
+
+
+def split_word(word: str) -> list[str]:
+    """The pre-tokens of a lower-cased word; the two usual shapes without the pattern."""
+    if word.isalpha():
+        return [word]
+    if word[-1] in ".,;:!?" and word[:-1].isalpha():
+        return [word[:-1], word[-1]]
+    return _pre_tokens.findall(word)
 
 
 class Words(dict):
@@ -86,7 +101,7 @@ class Words(dict):
 
     def __missing__(self, word: str) -> int:
         flat, begun = self.flat, len(self.flat)
-        for piece in _pre_tokens.findall(word):
+        for piece in split_word(word):
             entry = as_entry(piece)
             one = self.proven.get(entry)
             if one is not None:
