@@ -44,6 +44,7 @@ ABOUT_OTHERS = {"no", "has", "with", "without"}
 MARKED = {"div", "section", "ul", "ol", "p", "span", "table", "dl", "details", "article", "li"}
 
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>""", re.S)
+_unfinished = re.compile(r"<[A-Za-z/!?][^>]*\Z")
 _marks = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _hidden = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none""", re.I)
 
@@ -127,8 +128,7 @@ def blocks(html: str) -> tuple[bool, list[tuple[str, str]]]:
         elif name in MAIN:
             main += 1
             has_main = True
-    if not skip:
-        pieces.append(html[at:].partition("<")[0] if "<" in html[at:] else html[at:])
+    pieces.append(_unfinished.sub("", html[at:]))
     flush()
     return has_main and any(z == "main" for z, _ in out), out
 
