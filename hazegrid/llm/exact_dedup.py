@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,8 +66,7 @@ def _combine(limit: int, schema: T.StructType):
                 owners = [found.owner(h, t, r) for h, t, r in zip(hashes, texts, rows, strict=True)]
                 new = {"owner": pa.array(owners, pa.int64())}
                 if "text" in schema.names:
-                    first = pa.array([o == r for o, r in zip(owners, rows, strict=True)], pa.bool_())
-                    new["text"] = pc.if_else(first, part.column("text"), pa.scalar(None, part.column("text").type))
+                    new["text"] = pa.array([t if o == r else None for o, r, t in zip(owners, rows, texts, strict=True)], part.column("text").type)
                 yield pa.RecordBatch.from_arrays([new[n] if n in new else part.column(n) for n in schema.names], names=schema.names)
     return run
 
