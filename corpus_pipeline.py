@@ -28,18 +28,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each class of near duplicates: the smallest id. Documents without words, or without an id, stay;
     an id that is dropped goes with all rows that carry it."""
     found = ngram_jaccard(docs)
-    dropped = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return without(docs, dropped, "doc_id", "dropped_id")
+    dropped = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__dropped_id")).distinct()
+    return without(docs, dropped, "doc_id", "__dropped_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, each as often as the mix takes it. Rows that share an id share the positions of one of them."""
     mix = curriculum_mix(docs).where(F.size("positions") > 0)
-    places = cut_lineage(mix.groupBy(F.col("doc_id").alias("placed_id")).agg(F.min(F.struct("size", "positions")).alias("p"))
-                         .select("placed_id", F.col("p.positions").alias("positions")), "places")
+    places = cut_lineage(mix.groupBy(F.col("doc_id").alias("__placed_id")).agg(F.min(F.struct("size", "positions")).alias("p"))
+                         .select("__placed_id", F.col("p.positions").alias("__positions")), "places")
     side = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-    placed = docs.join(side, F.col("doc_id").eqNullSafe(F.col("placed_id")))
-    return placed.withColumn("position", F.explode("positions")).orderBy("position", "doc_id").select(*docs.columns)
+    placed = docs.join(side, F.col("doc_id").eqNullSafe(F.col("__placed_id")))
+    return placed.withColumn("__position", F.explode("__positions")).orderBy("__position", "doc_id").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
