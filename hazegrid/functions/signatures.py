@@ -11,74 +11,46 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.schema import SOURCES
+from hazegrid.schema import SOURCE_RULES, SOURCES
 
-PARTIAL = {"score_traffic": 0.3, "score_brick_kiln": 0.2, "score_biomass": 0.15, "score_construction": 0.10}
 LABELS = {"score_traffic": "traffic", "score_brick_kiln": "brick_kiln",
           "score_biomass": "biomass", "score_construction": "construction"}
 MIXED = "mixed"
 
 
-def _share(value: Column, full: float) -> Column:
-    """Fraction of a full-scale value, at most 1."""
-    return F.least(value / full, F.lit(1.0))
+def _all(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def _above(value: Column, threshold: float) -> Column:
-    return F.coalesce(value > threshold, F.lit(False))
+def _in_ranges(value: Column, ranges: list[tuple]) -> Column:
+    return reduce(lambda a, b: a | b, [value.between(low, high) for low, high in ranges])
 
 
-def _weighted(*terms: tuple[float, Column]) -> Column:
-    return F.least(reduce(lambda a, b: a + b, [part * w for w, part in terms]), F.lit(1.0))
+def _exceeds(inputs: dict[str, Column], least: dict[str, float]) -> list[Column]:
+    return [F.coalesce(inputs[name] > x, F.lit(False)) for name, x in least.items()]
 
 
-def _gated(gate: Column, strong: Column, score: Column, partial: float) -> Column:
-    return F.when(gate & strong, score).when(gate, F.lit(partial)).otherwise(F.lit(0.0))
+def score(rule: dict, inputs: dict[str, Column]) -> Column:
+    """A rule's score from its inputs: 0 outside the gate, and inside it the weighted sum (at most 1) or the partial score."""
+    gate = _all([_in_ranges(inputs[n], r) for n, r in rule["gate"].items()] + _exceeds(inputs, rule["gate_above"]))
+    full = _all([_in_ranges(inputs[n], r) for n, r in rule["within"].items()] + _exceeds(inputs, rule["above"]))
+    parts = [F.least((inputs[n] - offset) / scale, F.lit(1.0)) * weight for weight, n, offset, scale in rule["terms"]]
+    for weight, n, ranges, other in rule["steps"]:
+        share = reduce(lambda e, r: e.when(inputs[n].between(*r[0]), r[1]), ranges[1:], F.when(inputs[n].between(*ranges[0][0]), ranges[0][1]))
+        parts.append(share.otherwise(other) * weight)
+    total = F.least(reduce(lambda a, b: a + b, parts, F.lit(rule["always"])), F.lit(1.0))
+    return F.when(gate & full, total).when(gate, F.lit(rule["partial"])).otherwise(F.lit(0.0))
 
 
-def traffic(hour: Column, dow: Column, no2: Column, pm10: Column) -> Column:
-    """Weekday rush hours (8-10 and 17-20) with NO2 and PM10 raised."""
-    rush = (hour.between(8, 10) | hour.between(17, 20)) & dow.between(2, 6)
-    # Inside the gate the hour and weekday terms (0.25 + 0.20) are always full.
-    score = _weighted((0.30, _share(no2, 80.0)), (0.25, _share(pm10, 120.0)), (0.45, F.lit(1.0)))
-    return _gated(rush, _above(no2, 30) & _above(pm10, 60), score, PARTIAL["score_traffic"])
-
-
-def brick_kiln(month: Column, hour: Column, so2: Column, pm10: Column) -> Column:
-    """November to April mornings with SO2 and PM10 raised."""
-    gate = month.isin(11, 12, 1, 2, 3, 4) & hour.between(6, 12)
-    depth = F.when(month.isin(12, 1, 2), 1.0).when(month.isin(11, 3), 0.7).otherwise(0.4)
-    core = F.when(hour.between(7, 11), 1.0).otherwise(0.5)
-    score = _weighted((0.35, _share(so2, 50.0)), (0.30, _share(pm10, 150.0)), (0.20, depth), (0.15, core))
-    return _gated(gate, _above(so2, 15) & _above(pm10, 80), score, PARTIAL["score_brick_kiln"])
-
-
-def biomass(month: Column, hour: Column, co: Column, pm25: Column) -> Column:
-    """October and November evenings with CO and PM2.5 raised."""
-    gate = month.isin(10, 11) & hour.between(17, 22)
-    depth = F.when(month == 11, 1.0).otherwise(0.7)
-    score = _weighted((0.40, _share(co, 5.0)), (0.35, _share(pm25, 120.0)), (0.25, depth))
-    return _gated(gate, _above(co, 1.0) & _above(pm25, 50), score, PARTIAL["score_biomass"])
-
-
-def construction(hour: Column, pm10: Column, pm25: Column) -> Column:
-    """Coarse dust: PM10 more than 2.5 times PM2.5, strongest in working hours."""
-    ratio = F.try_divide(pm10, F.when(pm25 > 0, pm25))
-    core = F.when(hour.between(9, 16), 1.0).otherwise(0.5)
-    score = _weighted((0.50, _share(ratio - 2.5, 4.5)), (0.30, _share(pm10, 200.0)), (0.20, core))
-    strong = hour.between(7, 18) & _above(pm25, 5)
-    return _gated(_above(ratio, 2.5), strong, score, PARTIAL["score_construction"])
+def rule_inputs() -> dict[str, Column]:
+    c = {n: F.col(n) for n in ("hour", "dow", "month", "pm25", "pm10", "no2", "so2", "co")}
+    return c | {"ratio": F.try_divide(c["pm10"], F.when(c["pm25"] > 0, c["pm25"]))}
 
 
 def with_source_scores(df: DataFrame) -> DataFrame:
-    """Add the four scores; needs hour, dow, month and the pollutant columns."""
-    c = F.col
-    return df.withColumns({
-        "score_traffic": traffic(c("hour"), c("dow"), c("no2"), c("pm10")),
-        "score_brick_kiln": brick_kiln(c("month"), c("hour"), c("so2"), c("pm10")),
-        "score_biomass": biomass(c("month"), c("hour"), c("co"), c("pm25")),
-        "score_construction": construction(c("hour"), c("pm10"), c("pm25")),
-    })
+    """Add a score per rule; needs hour, dow, month and the pollutant columns."""
+    inputs = rule_inputs()
+    return df.withColumns({name: score(rule, inputs) for name, rule in SOURCE_RULES.items()})
 
 
 def likely_source(scores: dict[str, Column] | None = None) -> Column:
@@ -102,7 +74,7 @@ def relative_shares(cols: list[str] = SOURCES) -> dict[str, Column]:
 def dominant_label(kiln: Column, dust: Column, traffic_score: Column) -> Column:
     """Readable main source of a station from its mean scores."""
     def pct(c: Column) -> Column:
-        return F.round(c * 100, 0).cast("long").cast("string")
+        return F.bround(c * 100, 0).cast("long").cast("string")
     return (
         F.when(kiln > 0.15, F.concat(F.lit("Brick Kilns ("), pct(kiln), F.lit("%) & Construction")))
         .when(dust > 0.50, F.concat(F.lit("Construction Dust ("), pct(dust), F.lit("%)")))

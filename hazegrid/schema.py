@@ -25,6 +25,34 @@ SEASON_MONTHS = {
 }
 SOURCES = ["score_traffic", "score_brick_kiln", "score_biomass", "score_construction"]
 
+# ---- fixed values: source rules -------------------------------------------------------
+# gate: ranges of an input within which a rule applies at all; above: what an input must exceed for the full score, in the gate
+# (gate_above) or beyond it (above); terms: weight, input, offset, full scale; steps: weight, input, ranges with their share, other share;
+# always: part of the score that the gate implies; partial: score in the gate when the full one is not reached.
+# `ratio` is pm10 / pm25 where pm25 is positive.
+SOURCE_RULES = {
+    "score_traffic": {
+        "gate": {"hour": [(8, 10), (17, 20)], "dow": [(2, 6)]}, "gate_above": {}, "within": {}, "above": {"no2": 30, "pm10": 60},
+        "terms": [(0.30, "no2", 0.0, 80.0), (0.25, "pm10", 0.0, 120.0)], "steps": [], "always": 0.45, "partial": 0.3,
+    },
+    "score_brick_kiln": {
+        "gate": {"month": [(11, 12), (1, 4)], "hour": [(6, 12)]}, "gate_above": {}, "within": {}, "above": {"so2": 15, "pm10": 80},
+        "terms": [(0.35, "so2", 0.0, 50.0), (0.30, "pm10", 0.0, 150.0)],
+        "steps": [(0.20, "month", [((12, 12), 1.0), ((1, 2), 1.0), ((11, 11), 0.7), ((3, 3), 0.7)], 0.4), (0.15, "hour", [((7, 11), 1.0)], 0.5)],
+        "always": 0.0, "partial": 0.2,
+    },
+    "score_biomass": {
+        "gate": {"month": [(10, 11)], "hour": [(17, 22)]}, "gate_above": {}, "within": {}, "above": {"co": 1.0, "pm25": 50},
+        "terms": [(0.40, "co", 0.0, 5.0), (0.35, "pm25", 0.0, 120.0)], "steps": [(0.25, "month", [((11, 11), 1.0)], 0.7)],
+        "always": 0.0, "partial": 0.15,
+    },
+    "score_construction": {
+        "gate": {}, "gate_above": {"ratio": 2.5}, "within": {"hour": [(7, 18)]}, "above": {"pm25": 5},
+        "terms": [(0.50, "ratio", 2.5, 4.5), (0.30, "pm10", 0.0, 200.0)], "steps": [(0.20, "hour", [((9, 16), 1.0)], 0.5)],
+        "always": 0.0, "partial": 0.10,
+    },
+}
+
 # ---- fixed values: bounds and limits --------------------------------------------------
 BBOX = {"lat_min": 23.65, "lat_max": 23.90, "lon_min": 90.30, "lon_max": 90.50}
 PPM_TO_UGM3 = {"no2": 1882.0, "o3": 1961.0, "so2": 2619.0, "co": 1145.0}
