@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazegrid.functions.geo import great_circle_km, tile, unit_vector
+from hazegrid.functions.geo import EARTH_KM, great_circle_km, tile, unit_vector
 from hazegrid.operators.lookup import join_on
 from hazegrid.session import cut_lineage
 
@@ -24,30 +24,35 @@ def valid_cell(count: Column) -> Column:
     return (count > 0) & (count < 1e8)
 
 
-def _reach(coord: Column, radius: Column, size: float) -> Column:
-    """Tile numbers between coord - radius and coord + radius."""
-    return F.sequence(tile(coord - radius, size), tile(coord + radius, size))
-
-
 def _distinct_cells(cells: DataFrame) -> DataFrame:
-    """Total count per grid position; copies of a cell are added up before the join."""
-    return cells.where(valid_cell(F.col("pop"))).groupBy("lat", "lon").agg(F.sum("pop").alias("pop"))
-
+    """Total count per grid position; copies of a cell are added up before the join. Longitudes run from 0 to 360."""
+    return cells.where(valid_cell(F.col("pop"))).groupBy("lat", F.pmod(F.col("lon"), F.lit(360.0)).alias("lon")).agg(F.sum("pop").alias("pop"))
 
-def _near(places: DataFrame, cells: DataFrame, lat_radius: Column, lon_radius: Column, size: float) -> DataFrame:
-    """(place, cell) pairs whose tiles meet; the caller applies the exact test."""
-    looked = (
-        places.select("latitude", "longitude").distinct()
-        .withColumn("_tx", F.explode(_reach(F.col("longitude"), lon_radius, size)))
-        .withColumn("_ty", F.explode(_reach(F.col("latitude"), lat_radius, size)))
-    )
-    tiled = cells.withColumns({"_tx": tile(F.col("lon"), size), "_ty": tile(F.col("lat"), size)})
-    return looked.join(tiled, ["_tx", "_ty"])
 
+def _within(places: DataFrame, cells: DataFrame, lat_radius: float, lon_radius: Column, inside) -> DataFrame:
+    """Per place, the total of the cells for which `inside(lat, lon)` holds; it must hold for a whole tile if it does for its corners.
 
-def _sum_or_default(stations: DataFrame, pairs: DataFrame, default: int | None) -> DataFrame:
-    sums = pairs.groupBy("latitude", "longitude").agg(
-        F.sum("pop").alias("_pop"), F.count(F.lit(1)).alias("n_cells"))
+    Tiles are an eighth of the area's height. A tile that lies inside adds its total, whatever it holds; only the tiles on the
+    border are joined with their cells. Tile columns go once around the globe, so that no seam is left at the date line; an area
+    that holds a pole looks at all columns."""
+    columns = max(8, int(360 / (lat_radius / 4)))
+    width, height = 360.0 / columns, lat_radius / 4
+    x = F.sequence(tile(F.col("longitude") - lon_radius, width), tile(F.col("longitude") + lon_radius, width))
+    spots = places.select("latitude", "longitude").distinct()
+    looked = (
+        spots.withColumn("_y", F.explode(F.sequence(tile(F.col("latitude") - lat_radius, height), tile(F.col("latitude") + lat_radius, height))))
+        .withColumn("_x", F.explode(x)).withColumn("_x", F.pmod("_x", F.lit(columns).cast("long"))).distinct())
+    corners = [inside(F.col("_y") * height + i * height, F.col("_x") * width + j * width) for i in (0, 1) for j in (0, 1)]
+    looked = looked.withColumn("_whole", reduce(lambda a, b: a & b, corners))
+    tiled = cells.withColumns({"_x": F.least(tile(F.col("lon"), width), F.lit(columns - 1)), "_y": tile(F.col("lat"), height)})
+    totals = tiled.groupBy("_x", "_y").agg(F.sum("pop").alias("pop"), F.count(F.lit(1)).alias("n"))
+    full = looked.where("_whole").join(totals, ["_x", "_y"]).select("latitude", "longitude", "pop", "n")
+    border = looked.where("not _whole").join(tiled, ["_x", "_y"]).where(inside(F.col("lat"), F.col("lon"))).select(
+        "latitude", "longitude", "pop", F.lit(1).cast("long").alias("n"))
+    return full.unionByName(border).groupBy("latitude", "longitude").agg(F.sum("pop").alias("_pop"), F.sum("n").alias("n_cells"))
+
+
+def _sum_or_default(stations: DataFrame, sums: DataFrame, default: int | None) -> DataFrame:
     out = join_on(stations, sums, ["latitude", "longitude"])
     total = F.floor("_pop").cast("long")
     return out.select(
@@ -56,38 +61,38 @@ def _sum_or_default(stations: DataFrame, pairs: DataFrame, default: int | None)
         F.coalesce(F.col("n_cells"), F.lit(0)).cast("long").alias("n_cells"))
 
 
-def population_in_square(
-    stations: DataFrame, cells: DataFrame, radius_km: float, default: int | None = None, size: float = 0.05,
-) -> DataFrame:
-    """Sum of valid cells whose centre lies within +-radius in latitude and in longitude."""
-    radius = F.lit(radius_km / KM_PER_DEGREE)
-    pairs = _near(stations, _distinct_cells(cells), radius, radius, size).where(
-        (F.abs(F.col("lat") - F.col("latitude")) <= radius) & (F.abs(F.col("lon") - F.col("longitude")) <= radius))
-    return _sum_or_default(stations, pairs, default)
+def population_in_square(stations: DataFrame, cells: DataFrame, radius_km: float, default: int | None = None) -> DataFrame:
+    """Sum of valid cells whose centre lies within +-radius in latitude and in longitude, across the date line too."""
+    radius = radius_km / KM_PER_DEGREE
 
+    def inside(lat: Column, lon: Column) -> Column:
+        apart = F.pmod(F.abs(lon - F.col("longitude")), F.lit(360.0))
+        return (F.abs(lat - F.col("latitude")) <= radius) & (F.least(apart, 360.0 - apart) <= radius)
 
-def population_in_circle(
-    stations: DataFrame, cells: DataFrame, radius_km: float, default: int | None = None, size: float = 0.05,
-) -> DataFrame:
-    """Sum of valid cells within a great-circle radius."""
-    # A little wider than the circle, so the tile test cannot lose a cell; the longitude
-    # reach grows towards the poles.
-    lat_radius = F.lit(math.degrees(radius_km / 6371.0) * 1.001)
-    lon_radius = lat_radius / F.greatest(F.cos(F.radians(F.abs(F.col("latitude")) + lat_radius)), F.lit(0.01))
-    pairs = _near(stations, _distinct_cells(cells), lat_radius, lon_radius, size).where(
-        great_circle_km(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")) <= radius_km)
-    return _sum_or_default(stations, pairs, default)
+    return _sum_or_default(stations, _within(stations, _distinct_cells(cells), radius * (1 + 1e-9), F.lit(radius * (1 + 1e-9)), inside), default)
+
+
+def population_in_circle(stations: DataFrame, cells: DataFrame, radius_km: float, default: int | None = None) -> DataFrame:
+    """Sum of valid cells within a great-circle radius, anywhere on the globe."""
+    angle = radius_km / EARTH_KM * 1.001  # a little wider than the circle, so the tiles cannot lose a cell
+    lat = F.radians(F.abs(F.col("latitude")))
+    lon_radius = F.when(lat + angle >= math.pi / 2, 180.0).otherwise(F.degrees(F.asin(F.least(math.sin(angle) / F.cos(lat), F.lit(1.0)))))
+
+    def inside(lat: Column, lon: Column) -> Column:
+        return great_circle_km(F.col("latitude"), F.col("longitude"), lat, lon) <= radius_km
+
+    return _sum_or_default(stations, _within(stations, _distinct_cells(cells), math.degrees(angle), lon_radius, inside), default)
 
 
 def nearest_point(
-    stations: DataFrame, points: DataFrame, point_id: str, levels: int = 4, fan: int = 8,
+    stations: DataFrame, points: DataFrame, point_id: str, levels: int = 8, fan: int = 8, few: int = 32,
 ) -> DataFrame:
     """The nearest point of every station, by great-circle distance; ties go to the smaller id.
 
     Branch and bound over nested cubes around the globe instead of all pairs. A station
     starts with the few occupied top cubes. At each level a cube is dropped when its nearest
     possible point is farther than the farthest possible point of another cube, and the rest
-    are split into their occupied sub-cubes. Only the points of the last cubes are compared.
+    are split into their occupied sub-cubes, until no cube holds more than `few` points (or, after `levels`, a metre apart).
     The points with their cubes are written to the shared folder once; runs that job.
     """
     axes = ("x", "y", "z")
@@ -101,6 +106,10 @@ def nearest_point(
     cubes = cut_lineage(
         place.withColumns(dict(zip(axes, unit_vector(F.col("plat"), F.col("plon")))))
         .withColumns({f"_l{i}": cube(i) for i in range(1, levels + 1)}), "cubes")
+    for depth in range(2, levels):
+        if cubes.groupBy(f"_l{depth}").count().agg(F.max("count")).first()[0] in (None, *range(few + 1)):
+            levels = depth
+            break
     spot = ("latitude", "longitude", "sx", "sy", "sz")
     start = stations.select("latitude", "longitude").distinct().withColumns(
         dict(zip(spot[2:], unit_vector(F.col("latitude"), F.col("longitude")))))
