@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -30,7 +31,8 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
-    spark = local_session(cores=cpus, shuffle_partitions=cpus)
+    shared = tempfile.TemporaryDirectory(prefix="bench-")
+    spark = local_session(cores=cpus, shuffle_partitions=cpus, **{"spark.checkpoint.dir": shared.name})
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     times: dict[str, float] = {}
     for name in HEADLINE:
@@ -45,6 +47,7 @@ def main() -> None:
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": Path(sf_dir).name.removeprefix("sf"), "cpus": cpus}))
     spark.stop()
+    shared.cleanup()
 
 
 if __name__ == "__main__":

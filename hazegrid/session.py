@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -19,9 +22,6 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
-_fallback_dirs: dict[str, str] = {}
-
-
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A local session for tests and the benchmark."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("hazegrid")
@@ -41,21 +41,25 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
     return spark
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session, where driver and executors share one disk, may go without the
-    setting; it then gets a temporary folder. On a cluster a missing setting is an error.
+    Where it is unset, a session whose executors are threads of the driver gets a folder of its own, removed when
+    Python ends; any other session (``local-cluster`` too) fails.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
-    if app not in _fallback_dirs:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        _fallback_dirs[app] = tempfile.mkdtemp(prefix="hazegrid-")
-    return _fallback_dirs[app]
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="hazegrid-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
+    return _own_dirs[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import tempfile
 import time
 from collections import Counter
 from pathlib import Path
@@ -56,7 +57,9 @@ def main() -> int:
     p.add_argument("--sf", default="/root/testdata/sf0.01")
     p.add_argument("names", nargs="*")
     args = p.parse_args()
-    spark, con, bad, unchecked = local_session(), duck(args.sf), 0, 0
+    shared = tempfile.TemporaryDirectory(prefix="check-")
+    spark = local_session(**{"spark.checkpoint.dir": shared.name})
+    con, bad, unchecked = duck(args.sf), 0, 0
     for name, run in QUERIES.items():
         if args.names and not any(name.startswith(n) for n in args.names):
             continue
@@ -75,6 +78,8 @@ def main() -> int:
         mark = "FAIL" if problem else ("ok  " if name in ORACLES else "rows")
         print(f"{mark} {time.time() - begun:6.2f}s {name} {problem or ''}", flush=True)
     print(f"{bad} failed, {unchecked} without SQL")
+    spark.stop()
+    shared.cleanup()
     return bad
 
 
