@@ -89,13 +89,13 @@ def index_strict(conc: Column, pollutant: str = "pm25") -> Column:
 
 
 def index_ceiling(conc: Column) -> Column:
-    """Six PM2.5 bands, gaps closed upward, rounded, extended to 999."""
-    return F.round(index(conc, PM25_SIX, gaps="ceil", top="extend")).cast("int")
+    """Six PM2.5 bands, gaps closed upward, rounded half to even, extended to 999."""
+    return F.bround(index(conc, PM25_SIX, gaps="ceil", top="extend")).cast("int")
 
 
 def index_live(conc: Column) -> Column:
-    """Six PM2.5 bands, rounded; null for missing, negative and gap values."""
-    return F.round(index(conc, PM25_SIX)).cast("int")
+    """Six PM2.5 bands, rounded half to even; null for missing, negative and gap values."""
+    return F.bround(index(conc, PM25_SIX)).cast("int")
 
 
 def overall(*sub_indices: Column) -> Column:

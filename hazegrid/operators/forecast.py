@@ -272,11 +272,14 @@ def what_if(df: DataFrame, scenarios: list[tuple]) -> DataFrame:
         F.hour("ts"), F.month("ts"), F.col("temperature"), F.col("wind_speed")))
 
 
-def first_rows(df: DataFrame, order: list[str], n: int = 2000) -> DataFrame:
-    """The first rows in time order, for a chart."""
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first `n` rows in the given order."""
     return df.orderBy(*order).limit(n)
 
 
-def seeded_sample(df: DataFrame, key: list[str], n: int = 3000, seed: int = 42) -> DataFrame:
-    """At most `n` rows, the same ones whenever the keys and the seed are the same."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), *key).limit(n)
+def seeded_sample(df: DataFrame, key: list[str], share: float, seed: int = 42) -> DataFrame:
+    """About `share` of the rows, by a hash of their keys: the same rows whenever keys and seed are the same, without
+    a sort or a shuffle. Null keys count as empty."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    part = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return df.where(part < share)

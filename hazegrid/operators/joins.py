@@ -95,15 +95,13 @@ def on_spine(df: DataFrame, hours: int = 72) -> DataFrame:
     return join_on(spine, recent, ["station_id", "ts"])
 
 
-def overlay(base: DataFrame, observed: DataFrame, key: str, value: str, min_common: int = 500) -> DataFrame:
-    """Replace base values by observed ones where both exist, if more than `min_common` keys
-    are common; otherwise keep the base."""
+def overlay(base: DataFrame, observed: DataFrame, key: str, value: str) -> DataFrame:
+    """Replace base values by observed ones where both exist; `n_common` tells how many keys that are, so that the
+    caller can judge whether the overlay is worth using."""
     obs = observed.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_obs"))
     joined = join_on(base, obs, [key])
-    enough = joined.agg((F.count("_obs") > min_common).alias("_enough"))
-    return join_on(joined, enough, []).withColumn(
-        value, F.when(F.col("_enough") & F.col("_obs").isNotNull(), F.col("_obs")).otherwise(F.col(value)),
-    ).drop("_obs", "_enough")
+    common = joined.agg(F.count("_obs").alias("n_common"))
+    return join_on(joined, common, []).withColumn(value, F.coalesce("_obs", value)).drop("_obs")
 
 
 def on_domain(df: DataFrame, key: str, domain: list, ordinal: str = "ordinal") -> DataFrame:

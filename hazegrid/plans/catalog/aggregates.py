@@ -484,12 +484,16 @@ for _n in (5, 10, 15):
   select station_id, ts, pm25 from bulk where pm25 is not null order by ts, station_id limit 2000""", "bulk"),
     rounds={"pm25": 6})
 def k03(t):
-    return forecast.first_rows(t.bulk.where("pm25 is not null").select("station_id", "ts", "pm25"), ["ts", "station_id"])
+    return forecast.first_rows(
+        t.bulk.where("pm25 is not null").select("station_id", "ts", "pm25"), ["ts", "station_id"], 2000)
 
 
-@query("k04_seeded_sample")
+@query("k04_seeded_sample", sql("""
+  select event_id, station_id, parameter, value from readings
+  where ('0x' || left(md5('42|' || station_id || '|' || event_id::varchar), 8))::bigint / 4294967296.0::double < 0.3""", "readings"),
+    rounds={"value": 6})
 def k04(t):
-    return forecast.seeded_sample(t.wide, ["station_id", "ts"], 3000)
+    return forecast.seeded_sample(t.readings.select("event_id", "station_id", "parameter", "value"), ["station_id", "event_id"], 0.3)
 
 
 @query("k06_category_order", sql(f"""
@@ -520,10 +524,10 @@ def u02(t):
     return t.wide.select("ts").union(shifted).union(t.wide_s.select("ts")).distinct()
 
 
-@query("u03_common_times", sql("select ts from wide intersect select ts_hour from weather where wind_speed > 5",
+@query("u03_common_times", sql("select ts from wide intersect select ts_hour from weather",
                                "wide", "weather"))
 def u03(t):
-    return t.wide.select("ts").intersect(t.weather.where("wind_speed > 5").select(c("ts_hour").alias("ts")))
+    return t.wide.select("ts").intersect(t.weather.select(c("ts_hour").alias("ts")))
 
 
 @query("u04_distinct_and_subset", sql("""

@@ -10,8 +10,8 @@ from hazegrid.functions.geo import inside_box
 from hazegrid.operators import cleaning, health as H, joins
 from hazegrid.operators.signatures import dominant_sources, by_station_season
 from hazegrid.plans.catalog.registry import query
-from hazegrid.plans.tables import sql
-from hazegrid.schema import SOURCES, WEATHER_RENAME
+from hazegrid.plans.tables import sql, station_of
+from hazegrid.schema import DEFAULT_CATCHMENT_COARSE, SOURCES, WEATHER_RENAME
 
 c = F.col
 
@@ -35,19 +35,19 @@ PM10_BANDS = [(0, 54, 0, 50), (55, 154, 51, 100), (155, 254, 101, 150), (255, 35
 CAT_SQL = """case when {x} is null then 'Unknown' when {x} <= 50 then 'Good' when {x} <= 100 then 'Moderate'
   when {x} <= 150 then 'Unhealthy for Sensitive Groups' when {x} <= 200 then 'Unhealthy'
   when {x} <= 300 then 'Very Unhealthy' else 'Hazardous' end"""
-CEIL_SQL = """(case when pm25 is null then null when greatest(pm25, 0) <= 12.0 then round(50 / 12.0::double * greatest(pm25, 0))
-  when pm25 <= 35.4 then round(49 / (35.4 - 12.1)::double * (pm25 - 12.1) + 51)
-  when pm25 <= 55.4 then round(49 / (55.4 - 35.5)::double * (pm25 - 35.5) + 101)
-  when pm25 <= 150.4 then round(49 / (150.4 - 55.5)::double * (pm25 - 55.5) + 151)
-  when pm25 <= 250.4 then round(99 / (250.4 - 150.5)::double * (pm25 - 150.5) + 201)
-  else least(999, round(199 / (500.4 - 250.5)::double * (pm25 - 250.5) + 301)) end)::bigint"""
+CEIL_SQL = """(case when pm25 is null then null when greatest(pm25, 0) <= 12.0 then round_even(50 / 12.0::double * greatest(pm25, 0), 0)
+  when pm25 <= 35.4 then round_even(49 / (35.4 - 12.1)::double * (pm25 - 12.1) + 51, 0)
+  when pm25 <= 55.4 then round_even(49 / (55.4 - 35.5)::double * (pm25 - 35.5) + 101, 0)
+  when pm25 <= 150.4 then round_even(49 / (150.4 - 55.5)::double * (pm25 - 55.5) + 151, 0)
+  when pm25 <= 250.4 then round_even(99 / (250.4 - 150.5)::double * (pm25 - 150.5) + 201, 0)
+  else least(999, round_even(199 / (500.4 - 250.5)::double * (pm25 - 250.5) + 301, 0)) end)::bigint"""
 LIVE_SQL = """(case when pm25 < 0 then null when pm25 > 500.4 then 500
-  when pm25 between 0 and 12.0 then round(50 / 12.0::double * pm25)
-  when pm25 between 12.1 and 35.4 then round(49 / (35.4 - 12.1)::double * (pm25 - 12.1) + 51)
-  when pm25 between 35.5 and 55.4 then round(49 / (55.4 - 35.5)::double * (pm25 - 35.5) + 101)
-  when pm25 between 55.5 and 150.4 then round(49 / (150.4 - 55.5)::double * (pm25 - 55.5) + 151)
-  when pm25 between 150.5 and 250.4 then round(99 / (250.4 - 150.5)::double * (pm25 - 150.5) + 201)
-  when pm25 between 250.5 and 500.4 then round(199 / (500.4 - 250.5)::double * (pm25 - 250.5) + 301) end)::bigint"""
+  when pm25 between 0 and 12.0 then round_even(50 / 12.0::double * pm25, 0)
+  when pm25 between 12.1 and 35.4 then round_even(49 / (35.4 - 12.1)::double * (pm25 - 12.1) + 51, 0)
+  when pm25 between 35.5 and 55.4 then round_even(49 / (55.4 - 35.5)::double * (pm25 - 35.5) + 101, 0)
+  when pm25 between 55.5 and 150.4 then round_even(49 / (150.4 - 55.5)::double * (pm25 - 55.5) + 151, 0)
+  when pm25 between 150.5 and 250.4 then round_even(99 / (250.4 - 150.5)::double * (pm25 - 150.5) + 201, 0)
+  when pm25 between 250.5 and 500.4 then round_even(199 / (500.4 - 250.5)::double * (pm25 - 250.5) + 301, 0) end)::bigint"""
 # An odd term moves readings into the gaps between bands and below zero.
 SHIFTED = "select l_orderkey, l_linenumber, ts, pm25 + case when l_orderkey % 3 = 0 then 0.05 when l_orderkey % 31 = 0 " \
     "then -100 else 0 end as pm25 from bulk_raw"
@@ -210,28 +210,25 @@ def p17(t):
     return t.bulk.select("station_id", "ts", aqi.category(index).alias("aqi_cat"))
 
 
+def text_case(test: str, bands: list, otherwise: str) -> str:
+    arms = " ".join(f"when {test.format(x=x)} then '{text}'" for x, text in bands)
+    return f"case {arms} {otherwise} end"
+
+
+ADVICE_SQL = [text_case("aqi <= {x}", [(b[0], b[i]) for b in aqi.ADVICE[:-1]], f"when aqi is not null then '{aqi.ADVICE[-1][i]}'") for i in (1, 2, 3)]
+WARNING_SQL = text_case("pm25 between {x[0]} and {x[1]}", [(band, text) for band, (_, text) in zip(aqi.PM25_SIX, aqi.WARNINGS)], f"else '{aqi.NO_CATEGORY}'")
+
+
 @query("p18_advice", sql(f"""
-  select l_orderkey, l_linenumber::bigint as l_linenumber, ts,
-    case when aqi <= 50 then 'Ideal' when aqi <= 100 then 'Accep' when aqi <= 150 then 'Activ'
-         when aqi <= 200 then 'Heavy' when aqi is not null then 'CRITI' end as commuter,
-    case when aqi <= 50 then 'Masking' when aqi <= 100 then 'Surgica' when aqi <= 150 then 'N95 / K'
-         when aqi <= 200 then 'Mandato' when aqi is not null then 'Strict ' end as mask,
-    case when aqi <= 50 then 'Open ' when aqi <= 100 then 'Windo' when aqi <= 150 then 'Keep '
-         when aqi <= 200 then 'Seal ' when aqi is not null then 'Compl' end as ventilation,
-    case when pm25 is null or pm25 < 0 then 'No data available.' when pm25 > 500.4 then '🟤 Extreme'
-         when pm25 <= 12.0 then '🟢 Minimal' when pm25 between 12.1 and 35.4 then '🟡 Accepta'
-         when pm25 between 35.5 and 55.4 then '🟠 General' when pm25 between 55.5 and 150.4 then '🔴 Everyon'
-         when pm25 between 150.5 and 250.4 then '🟣 Health ' when pm25 between 250.5 and 500.4 then '🟤 Health '
-         else 'Unknown' end as warning
+  select l_orderkey, l_linenumber::bigint as l_linenumber, ts, {ADVICE_SQL[0]} as commuter, {ADVICE_SQL[1]} as mask,
+    {ADVICE_SQL[2]} as ventilation, case when pm25 is null or pm25 < 0 then '{aqi.NO_DATA_WARNING}'
+      when pm25 > 500.4 then '{aqi.TOP_WARNING}' else {WARNING_SQL} end as warning
   from (select *, {CEIL_SQL} as aqi from ({SHIFTED}))""", "bulk_raw"))
 def p18(t):
     commuter, mask, ventilation = aqi.advice(aqi.index_ceiling(c("pm25")))
-    warn = aqi.warning(c("pm25"))
-    short = F.when(warn.isin(aqi.NO_DATA_WARNING, aqi.NO_CATEGORY), warn).otherwise(F.substring(warn, 1, 9))
     return shifted(t).select(
-        "l_orderkey", "l_linenumber", "ts", F.substring(commuter, 1, 5).alias("commuter"),
-        F.substring(mask, 1, 7).alias("mask"), F.substring(ventilation, 1, 5).alias("ventilation"),
-        short.alias("warning"))
+        "l_orderkey", "l_linenumber", "ts", commuter.alias("commuter"), mask.alias("mask"),
+        ventilation.alias("ventilation"), aqi.warning(c("pm25")).alias("warning"))
 
 
 BLH_SQL = """round(least(greatest(base + least(greatest(sin((hour(ts) - 6) * pi() / 12), -0.75), 1.0) * base * 0.70
@@ -336,18 +333,16 @@ def p31(t):
 
 
 @query("p32_dominant_source", sql("""
-  select 'ST' || lpad(s_suppkey::varchar, 2, '0') as station_id, coalesce(case
-    when k > 0.15 then 'Brick Kilns (' || round(k * 100)::bigint::varchar || '%) & Construction'
-    when d > 0.50 then 'Construction Dust (' || round(d * 100)::bigint::varchar || '%)'
-    when tr is not null then 'Traffic Exhaust (' || round(tr * 100)::bigint::varchar || '%)' end,
+  select 'ST' || s_suppkey::varchar as station_id, coalesce(case
+    when k > 0.15 then 'Brick Kilns (' || round_even(k * 100, 0)::bigint::varchar || '%) & Construction'
+    when d > 0.50 then 'Construction Dust (' || round_even(d * 100, 0)::bigint::varchar || '%)'
+    when tr is not null then 'Traffic Exhaust (' || round_even(tr * 100, 0)::bigint::varchar || '%)' end,
     'Construction & Vehicular Traffic') as dominant_source
   from supplier left join (select station_id, avg(score_traffic) as tr, avg(score_brick_kiln) as k,
     avg(score_construction) as d from station_season_scores group by 1) p
-  on p.station_id = 'ST' || lpad(s_suppkey::varchar, 2, '0')""", "station_season_scores"))
+  on p.station_id = 'ST' || s_suppkey::varchar""", "station_season_scores"))
 def p32(t):
-    everyone = t.raw("supplier").select(F.concat(
-        F.lit("ST"), F.when(c("s_suppkey") < 100, F.lpad(c("s_suppkey").cast("string"), 2, "0")).otherwise(
-            F.substring(c("s_suppkey").cast("string"), 1, 2))).alias("station_id"))
+    everyone = t.raw("supplier").select(station_of("s_suppkey").alias("station_id"))
     return dominant_sources(everyone, by_station_season(t.scored))
 
 
@@ -366,10 +361,10 @@ def p33(t):
 @query("p34_attributable_deaths", sql("""
   select b.station_id, ts, coalesce(p.population_catchment, 10356500 / 6.0::double) * 0.0061 * ar / 100 as deaths
   from (select station_id, ts, (1 - exp(-0.008 * greatest(pm25 - 5, 0))) * 100 as ar from bulk where pm25 is not null) b
-  left join (select * from population where station_id <> 'ST03') p using (station_id)""", "bulk", "population"),
+  left join population p using (station_id)""", "bulk", "population"),
     rounds={"deaths": 4})
 def p34(t):
-    some = t.population.where(c("station_id") != "ST03").select("station_id", "population_catchment")
+    some = t.population.select("station_id", "population_catchment")
     joined = t.bulk.where(c("pm25").isNotNull()).join(some, "station_id", "left")
     risk = health.attributable_risk_pct(c("pm25"), 0.008, 5.0)
     return joined.select("station_id", "ts", health.attributable_deaths(c("population_catchment"), risk).alias("deaths"))
@@ -406,12 +401,11 @@ def p37(t):
   select r.station_id, r.event_id, coalesce(p.population_catchment, 650309)::bigint as population,
     coalesce(p.population_catchment, 600000)::bigint as population_coarse,
     coalesce(value, coalesce(p.population_catchment, 650309) * 0.0018) as deaths
-  from readings r left join (select * from population where station_id < 'ST06') p using (station_id)""",
+  from readings r left join population p using (station_id)""",
     "readings", "population"), rounds={"deaths": 6})
 def p38(t):
-    some = t.population.where(c("station_id") < "ST06")
-    fine = joins.with_population(t.readings, some).withColumnRenamed("population_catchment", "population")
-    both = joins.with_population(fine, some, default=600_000).withColumnRenamed("population_catchment", "population_coarse")
+    fine = joins.with_population(t.readings, t.population).withColumnRenamed("population_catchment", "population")
+    both = joins.with_population(fine, t.population, default=DEFAULT_CATCHMENT_COARSE).withColumnRenamed("population_catchment", "population_coarse")
     return both.select("station_id", "event_id", "population", "population_coarse",
                        F.coalesce("value", c("population") * 0.0018).alias("deaths"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazegrid.operators import profile
+from hazegrid.operators import joins, profile
 from hazegrid.plans.catalog.registry import query
 from hazegrid.plans.tables import sql
 from hazegrid.schema import READING, WEATHER, WEATHER_HOURLY, normalize
@@ -197,10 +197,15 @@ def s15(t):
 
 
 @query("s17_provenance_flags", sql("""
-  select 100.0::double as is_synthetic_weather_pct, 0.0::double as is_synthetic_population_pct
-  from wide having count(*) > 0""", "wide"))
+  select avg((temperature is null)::int) * 100 as is_synthetic_weather_pct,
+    avg((population_catchment is null)::int) * 100 as is_synthetic_population_pct
+  from wide w left join weather h on h.station_id = w.station_id and h.ts_hour = w.ts
+  left join population p on p.station_id = w.station_id""", "wide", "weather", "population"),
+    rounds={"is_synthetic_weather_pct": 6, "is_synthetic_population_pct": 6})
 def s17(t):
-    flagged = out.with_provenance(t.wide, is_synthetic_weather=True, is_synthetic_population=False)
+    measured = joins.join_on(joins.with_weather(t.wide, t.weather), t.population.select("station_id", "population_catchment"), ["station_id"])
+    flagged = out.with_provenance(
+        measured, is_synthetic_weather=F.col("temperature").isNull(), is_synthetic_population=F.col("population_catchment").isNull())
     return profile.flagged_share(flagged, ["is_synthetic_weather", "is_synthetic_population"])
 
 

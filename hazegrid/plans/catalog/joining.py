@@ -135,10 +135,10 @@ def j11(t):
 @query("j12_nearest_weather_point", sql(f"""
   select station_id, min_by(cell_id, (round({PAIRS_KM}, 6), cell_id)) as cell_id,
     round(min({PAIRS_KM}), 6) as distance_km
-  from ({SITES_SQL}) s, (select lat, lon, min(cell_id) as cell_id from pop_grid where cell_id % 6 <> 1 group by 1, 2) g
+  from ({SITES_SQL}) s, (select lat, lon, min(cell_id) as cell_id from pop_grid group by 1, 2) g
   group by 1""", "pop_grid"), rounds={"distance_km": 5})
 def j12(t):
-    points = t.pop_grid.where(c("cell_id") % 6 != 1).select(
+    points = t.pop_grid.select(
         "cell_id", c("lat").alias("latitude"), c("lon").alias("longitude"))
     return spatial.nearest_point(sites(t), points, "cell_id")
 
@@ -153,12 +153,12 @@ def j13(t):
 
 @query("j14_burden_onto_ranking", sql("""
   select r.station_id, season, health_impact_score, coalesce(d, catchment_pop * 0.0018) as attrib_deaths from ranking r
-  left join (select station_id, avg(attrib_deaths) as d from burden where crf = 'pm25_annual' and station_id <> 'ST04'
+  left join (select station_id, avg(attrib_deaths) as d from burden where crf = 'pm25_annual'
     group by 1) b using (station_id)""", "ranking", "burden"), rounds={"attrib_deaths": 4})
 def j14(t):
     suffix = F.lit(" | Dhaka | Smart Air Bangladesh")
     ranked = H.impact_ranking(t.peopled).withColumn("clean_name", clean_name(F.concat("station_id", suffix)))
-    table = H.burden_table(H.station_means(t.peopled)).where((c("crf") == "pm25_annual") & (c("station_id") != "ST04"))
+    table = H.burden_table(H.station_means(t.peopled)).where(c("crf") == "pm25_annual")
     deaths = table.groupBy("station_id").agg(F.avg("attrib_deaths").alias("attrib_deaths")).withColumnRenamed(
         "station_id", "clean_name")
     return joins.fallback_join(ranked, deaths, "clean_name", "attrib_deaths", c("catchment_pop") * 0.0018).select(
@@ -166,7 +166,7 @@ def j14(t):
 
 
 @query("j15_observed_overlay", sql("""
-  select b.ts, case when n > 500 then coalesce(o.pm25, b.pm25) else b.pm25 end as pm25
+  select b.ts, coalesce(o.pm25, b.pm25) as pm25, n as n_common
   from (select ts_hour as ts, avg(humidity) as pm25 from weather group by 1) b
   left join (select ts, avg(pm25) as pm25 from wide group by 1 having avg(pm25) is not null) o using (ts)
   cross join (select count(*) as n from (select ts_hour as ts from weather group by 1)
@@ -174,7 +174,7 @@ def j14(t):
     rounds={"pm25": 6})
 def j15(t):
     base = t.weather.groupBy(c("ts_hour").alias("ts")).agg(F.avg("humidity").alias("pm25"))
-    return joins.overlay(base, profile.hourly_city_mean(t.wide), "ts", "pm25", min_common=500)
+    return joins.overlay(base, profile.hourly_city_mean(t.wide), "ts", "pm25")
 
 
 @query("j16_hourly_spine", sql("""
@@ -189,10 +189,10 @@ def j16(t):
   select d.season, d.o as ordinal, m.pm25 from (values ('Winter', 0::bigint), ('Pre-Monsoon', 1), ('Monsoon', 2),
     ('Post-Monsoon', 3)) d(season, o) left join (select case when month(ts) in (12, 1, 2) then 'Winter'
       when month(ts) in (3, 4, 5) then 'Pre-Monsoon' when month(ts) in (6, 7, 8, 9) then 'Monsoon'
-      else 'Post-Monsoon' end as season, avg(pm25) as pm25 from wide_s where month(ts) <> 4 group by 1) m
+      else 'Post-Monsoon' end as season, avg(pm25) as pm25 from wide_s group by 1) m
   on m.season = d.season""", "wide_s"), rounds={"pm25": 6})
 def j17(t):
-    means = t.wide_s.where(F.month("ts") != 4).groupBy(season(F.month("ts")).alias("season")).agg(
+    means = t.wide_s.groupBy(season(F.month("ts")).alias("season")).agg(
         F.avg("pm25").alias("pm25"))
     return joins.on_domain(means, "season", SEASONS)
 
@@ -218,11 +218,10 @@ def j19(t):
 
 @query("j20_crf_alignment", sql("""
   select station_id, coalesce(max(attrib_deaths) filter (where crf = 'pm25_long_term'), 0) as pm25_long_term,
-    coalesce(max(attrib_deaths) filter (where crf = 'pm25_annual' and station_id <> 'ST02'), 0) as pm25_annual
+    coalesce(max(attrib_deaths) filter (where crf = 'pm25_annual'), 0) as pm25_annual
   from burden group by 1""", "burden"), rounds={"pm25_long_term": 3, "pm25_annual": 3})
 def j20(t):
-    table = H.burden_table(H.station_means(t.peopled)).where(
-        (c("crf") != "pm25_annual") | (c("station_id") != "ST02"))
+    table = H.burden_table(H.station_means(t.peopled))
     return H.burden_side_by_side(table, "attrib_deaths", missing=0.0)
 
 

@@ -7,17 +7,21 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazegrid.operators import cleaning, joins
-from hazegrid.schema import POLLUTANTS
+from hazegrid.schema import POLLUTANTS, SOURCE_RULES
 
 TIE = ["l_orderkey", "l_linenumber"]
 # Keywords that occur in the given station names: keyword, area, people per km2.
 KEYWORDS = [("red", "Red", 42_000), ("ring", "Ring", 38_000), ("bolt", "Bolt", 35_000), ("gizmo", "Gizmo", 30_000)]
 
 
+def station_of(key: str) -> Column:
+    return F.concat(F.lit("ST"), F.col(key).cast("string"))
+
+
 class Tables:
     """Lazy DataFrames over one folder of Parquet tables."""
 
@@ -36,7 +40,7 @@ class Tables:
         k = F.get_json_object("props", "$.k").cast("int")
         return events.select(
             "event_id",
-            F.concat(F.lit("ST"), F.lpad((F.col("user_id") % 12).cast("string"), 2, "0")).alias("station_id"),
+            F.expr("concat('ST', user_id div 15 * 13)").alias("station_id"),  # fifteen sensors to a place; some places are no station
             "ts", parameter.alias("parameter"),
             F.when(k % 20 == 0, None).when(kind == "error", F.col("value") / 10).otherwise(F.col("value")).alias("value"),
             F.when((kind == "purchase") & (F.col("event_id") % 10 == 0), "ppb")
@@ -65,11 +69,11 @@ class Tables:
             return F.when(F.col("l_orderkey") % 20 == n, None).otherwise(F.expr(value)).cast("double")
         spike = F.when(F.col("l_orderkey") % 50 == 7, 6.0).otherwise(1.0)
         return self.raw("lineitem").select(
-            *TIE, F.concat(F.lit("ST"), F.lpad((F.col("l_suppkey") % 12).cast("string"), 2, "0")).alias("station_id"),
+            *TIE, station_of("l_suppkey").alias("station_id"),
             F.expr("l_shipdate + make_dt_interval(0, cast(l_orderkey % 24 as int), 0, 0)").alias("ts"),
             (gap(1, "l_partkey % 160 + l_quantity / 10") * spike).alias("pm25"),
             gap(2, "l_extendedprice / 500").alias("pm10"), gap(3, "l_discount * 1000").alias("no2"),
-            F.lit(None).cast("double").alias("o3"), gap(4, "l_tax * 500").alias("so2"),
+            gap(6, "l_extendedprice / 600").alias("o3"), gap(4, "l_tax * 500").alias("so2"),
             gap(5, "l_quantity / 10").alias("co"))
 
     @cached_property
@@ -80,8 +84,8 @@ class Tables:
     def stations(self) -> DataFrame:
         s, p = self.raw("supplier"), self.raw("part").select("p_partkey", "p_name")
         k = F.col("s_suppkey")
-        return s.where(k < 12).join(p, F.col("p_partkey") == k).select(
-            F.concat(F.lit("ST"), F.lpad(k.cast("string"), 2, "0")).alias("station_id"),
+        return s.join(p, F.col("p_partkey") == k).select(
+            station_of("s_suppkey").alias("station_id"),
             F.concat("s_name", F.lit(" | "), "p_name").alias("station_name"),
             (k * 2 / 100.0 + 23.65).alias("latitude"), ((k * 7) % 20 / 100.0 + 90.30).alias("longitude"))
 
@@ -97,7 +101,7 @@ class Tables:
     def weather(self) -> DataFrame:
         start = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(l_orderkey % 720 as int), 0, 0)"
         return self.raw("lineitem").groupBy(
-            F.concat(F.lit("ST"), F.lpad((F.col("l_suppkey") % 12).cast("string"), 2, "0")).alias("station_id"),
+            station_of("l_suppkey").alias("station_id"),
             F.expr(start).alias("ts_hour"),
         ).agg(
             F.round(F.avg("l_quantity"), 3).alias("temperature"), F.round(F.avg("l_tax") * 1000, 3).alias("humidity"),
@@ -134,8 +138,26 @@ _NN = " + ".join(f"({p} is not null)::int" for p in POLLUTANTS)
 _NULLS_FIRST = ", ".join(f"{c} nulls first" for c in [*TIE, *POLLUTANTS])
 _KEY_CASE = " ".join(f"when contains(lower(station_name), '{w}') then floor({d} * pi() * 9)" for w, _, d in KEYWORDS)
 
+
+
+def _rule_sql(rule: dict) -> str:
+    """A source rule in SQL: terms and steps add up where the gate and the thresholds hold."""
+    def ranges(tests: dict) -> list[str]:
+        return ["(" + " or ".join(f"{n} between {a} and {b}" for a, b in r) + ")" for n, r in tests.items()]
+
+    def exceeds(tests: dict) -> list[str]:
+        return [f"coalesce({n} > {x}, false)" for n, x in tests.items()]
+
+    gate = " and ".join(ranges(rule["gate"]) + exceeds(rule["gate_above"]))
+    full = " and ".join(ranges(rule["within"]) + exceeds(rule["above"]))
+    parts = [f"{w} * least(({n} - {o}) / {s}::double, 1)" for w, n, o, s in rule["terms"]]
+    parts += [f"{w} * (case " + " ".join(f"when {n} between {a} and {b} then {x}" for (a, b), x in r) + f" else {other} end)" for w, n, r, other in rule["steps"]]
+    total = " + ".join([str(rule["always"]), *parts])
+    return f"(case when not ({gate}) then 0 when {full} then least(1, {total}) else {rule['partial']} end)::double"
+
+
 CTES = {
-    "readings": """select event_id, 'ST' || lpad((user_id % 12)::varchar, 2, '0') as station_id, ts,
+    "readings": """select event_id, 'ST' || (user_id // 15 * 13)::varchar as station_id, ts,
         case event_type when 'view' then 'pm25' when 'click' then 'pm10' when 'purchase' then 'no2'
              when 'signup' then 'so2' else 'co' end as parameter,
         case when (props->>'$.k')::int % 20 = 0 then null
@@ -147,28 +169,28 @@ CTES = {
         ts + to_months((event_id % 4)::int * 3) as ts, parameter, value, unit from readings""",
     "wide": f"select station_id, date_trunc('hour', ts) as ts, {_AVG} from readings group by 1, 2",
     "wide_s": f"select station_id, date_trunc('hour', ts) as ts, {_AVG} from readings_seasonal group by 1, 2",
-    "bulk_raw": """select l_orderkey, l_linenumber, 'ST' || lpad((l_suppkey % 12)::varchar, 2, '0') as station_id,
+    "bulk_raw": """select l_orderkey, l_linenumber, 'ST' || l_suppkey::varchar as station_id,
         l_shipdate + to_hours((l_orderkey % 24)::int) as ts,
         case when l_orderkey % 20 = 1 then null else l_partkey % 160 + l_quantity / 10 end
           * case when l_orderkey % 50 = 7 then 6.0::double else 1.0::double end as pm25,
         case when l_orderkey % 20 = 2 then null else l_extendedprice / 500 end as pm10,
         case when l_orderkey % 20 = 3 then null else l_discount * 1000 end as no2,
-        null::double as o3,
+        case when l_orderkey % 20 = 6 then null else l_extendedprice / 600 end as o3,
         case when l_orderkey % 20 = 4 then null else l_tax * 500 end as so2,
         case when l_orderkey % 20 = 5 then null else l_quantity / 10 end as co
         from lineitem""",
     "bulk": f"""select station_id, ts, {', '.join(POLLUTANTS)} from (
         select *, row_number() over (partition by station_id, ts
           order by ({_NN}) desc, {_NULLS_FIRST}) as rn from bulk_raw) where rn = 1""",
-    "stations": """select 'ST' || lpad(s_suppkey::varchar, 2, '0') as station_id,
+    "stations": """select 'ST' || s_suppkey::varchar as station_id,
         s_name || ' | ' || p_name as station_name,
         s_suppkey * 2 / 100.0::double + 23.65::double as latitude,
         (s_suppkey * 7) % 20 / 100.0::double + 90.30::double as longitude
-        from supplier join part on p_partkey = s_suppkey where s_suppkey < 12""",
+        from supplier join part on p_partkey = s_suppkey""",
     "pop_grid": """select p_partkey as cell_id, p_partkey % 40 / 100.0::double + 23.60::double as lat,
         (p_partkey // 40) % 35 / 100.0::double + 90.25::double as lon,
         case when p_size = 1 then -99999.0::double else p_size * 100.0::double end as pop from part""",
-    "weather": """select 'ST' || lpad((l_suppkey % 12)::varchar, 2, '0') as station_id,
+    "weather": """select 'ST' || l_suppkey::varchar as station_id,
         timestamp '2024-01-01' + to_hours((l_orderkey % 720)::int) as ts_hour,
         round(avg(l_quantity), 3) as temperature, round(avg(l_tax) * 1000, 3) as humidity,
         round(avg(l_discount) * 100, 3) as wind_speed, (sum(l_partkey) % 360)::double as wind_direction,
@@ -184,29 +206,8 @@ CTES = {
     "cal": """select *, hour(ts) as hour, dayofweek(ts) + 1 as dow, month(ts) as month,
         case when month(ts) in (12, 1, 2) then 'Winter' when month(ts) in (3, 4, 5) then 'Pre-Monsoon'
              when month(ts) in (6, 7, 8, 9) then 'Monsoon' else 'Post-Monsoon' end as season from bulk""",
-    "scored": """select *,
-        case when (hour between 8 and 10 or hour between 17 and 20) and dow between 2 and 6
-                  and no2 > 30 and pm10 > 60
-             then least(1.0, 0.30 * least(no2 / 80.0, 1.0) + 0.25 * least(pm10 / 120.0, 1.0) + 0.25 + 0.20)
-             when (hour between 8 and 10 or hour between 17 and 20) and dow between 2 and 6 then 0.3
-             else 0.0 end::double as score_traffic,
-        case when month in (11, 12, 1, 2, 3, 4) and hour between 6 and 12 and so2 > 15 and pm10 > 80
-             then least(1.0, 0.35 * least(so2 / 50.0, 1.0) + 0.30 * least(pm10 / 150.0, 1.0)
-               + 0.20 * (case when month in (12, 1, 2) then 1.0 when month in (11, 3) then 0.7 else 0.4 end)
-               + 0.15 * (case when hour between 7 and 11 then 1.0 else 0.5 end))
-             when month in (11, 12, 1, 2, 3, 4) and hour between 6 and 12 then 0.2
-             else 0.0 end::double as score_brick_kiln,
-        case when month in (10, 11) and hour between 17 and 22 and co > 1.0 and pm25 > 50
-             then least(1.0, 0.40 * least(co / 5.0, 1.0) + 0.35 * least(pm25 / 120.0, 1.0)
-               + 0.25 * (case when month = 11 then 1.0 else 0.7 end))
-             when month in (10, 11) and hour between 17 and 22 then 0.15
-             else 0.0 end::double as score_biomass,
-        case when pm25 > 5 and pm10 / nullif(pm25, 0) > 2.5 and hour between 7 and 18
-             then least(1.0, 0.50 * least((pm10 / nullif(pm25, 0) - 2.5) / 4.5, 1.0)
-               + 0.30 * least(pm10 / 200.0, 1.0) + 0.20 * (case when hour between 9 and 16 then 1.0 else 0.5 end))
-             when pm25 > 0 and pm10 / nullif(pm25, 0) > 2.5 then 0.10
-             else 0.0 end::double as score_construction
-        from cal""",
+    "scored": f"""select * exclude (ratio), {', '.join(f'{_rule_sql(r)} as {n}' for n, r in SOURCE_RULES.items())}
+        from (select *, pm10 / case when pm25 > 0 then pm25 end as ratio from cal)""",
     "station_season_scores": """select station_id, season, avg(score_traffic) as score_traffic,
         avg(score_brick_kiln) as score_brick_kiln, avg(score_biomass) as score_biomass,
         avg(score_construction) as score_construction, count(*) as n_readings from scored group by 1, 2""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -83,6 +83,6 @@ def export_view(df: DataFrame) -> DataFrame:
         "season": season(F.month("ts"))})
 
 
-def with_provenance(df: DataFrame, **flags: bool) -> DataFrame:
-    """Constant columns that say where a part of the row came from."""
-    return df.withColumns({name: F.lit(value) for name, value in flags.items()})
+def with_provenance(df: DataFrame, **flags: bool | Column) -> DataFrame:
+    """Columns that say where a part of the row came from: one answer for all rows, or a condition on each."""
+    return df.withColumns({name: value if isinstance(value, Column) else F.lit(value) for name, value in flags.items()})

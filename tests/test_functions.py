@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazegrid.functions import aqi, atmosphere, calendar, geo, health, signatures, text, units
-from hazegrid.schema import KNOWN_CATCHMENTS, AREA_DENSITY, AREA_POPULATION
+from hazegrid.schema import KNOWN_CATCHMENTS, AREA_DENSITY, AREA_POPULATION, SOURCE_RULES
 from hazegrid.operators import joins
 
 c = F.col
@@ -129,7 +129,9 @@ def test_construction_edges(spark):
     data = [(0.0, 50.0, 10, 0.0), (None, 50.0, 10, 0.0), (10.0, 25.0, 10, 0.0), (5.0, 20.0, 10, 0.10),
             (10.0, 30.0, 6, 0.10), (10.0, 30.0, 10, 0.5 * 0.5 / 4.5 + 0.3 * 0.15 + 0.2), (10.0, None, 10, 0.0)]
     df = spark.createDataFrame(data, "pm25 double, pm10 double, h int, want double")
-    for r in df.select(signatures.construction(c("h"), c("pm10"), c("pm25")).alias("got"), "want").collect():
+    ratio = F.try_divide(c("pm10"), F.when(c("pm25") > 0, c("pm25")))
+    got = signatures.score(SOURCE_RULES["score_construction"], {"hour": c("h"), "pm10": c("pm10"), "pm25": c("pm25"), "ratio": ratio})
+    for r in df.select(got.alias("got"), "want").collect():
         assert r.got == pytest.approx(r.want)
 
 
@@ -177,3 +179,43 @@ def test_distance(spark):
 
 def test_metric_and_tier(spark):
     assert column(spark, [None, 0.5, 0.28, 0.1], "double", lambda x: health.risk_tier(x)[1]) == [None, 18, 14, 12]
+
+
+def test_index_rounds_half_to_even(spark):
+    from hazegrid.functions import aqi
+    df = spark.createDataFrame([(0.12,), (0.6,), (3.0,), (3.36,), (9.0,)], "x double")
+    got = [tuple(r) for r in df.select(aqi.index_live(F.col("x")), aqi.index_ceiling(F.col("x"))).collect()]
+    # 50 / 12 times 0.12, 0.6, 3.0, 3.36 and 9.0 is 0.5, 2.5, 12.5, 14 and 37.5
+    assert got == [(0, 0), (2, 2), (12, 12), (14, 14), (38, 38)]
+
+
+def test_areas_across_the_date_line_and_at_the_poles(spark):
+    from hazegrid.operators import spatial
+    stations = spark.createDataFrame(
+        [("line", 0.0, 179.99), ("west", 0.0, -179.99), ("pole", 89.99, 0.0), ("south", -90.0, 12.0), ("far", 45.0, 0.0)],
+        "station_id string, latitude double, longitude double")
+    cells = spark.createDataFrame(
+        [(0.0, -179.995, 10.0), (0.0, 179.995, 5.0), (89.99, 180.0, 7.0), (-89.99, -100.0, 3.0), (-89.99, 100.0, 2.0), (45.0, 0.001, 1.0), (45.0, 0.001, 1.0)],
+        "lat double, lon double, pop double")
+    circle = {r.station_id: (r.population_catchment, r.n_cells) for r in spatial.population_in_circle(stations, cells, 4.0).collect()}
+    assert circle == {"line": (15, 2), "west": (15, 2), "pole": (7, 1), "south": (5, 2), "far": (2, 1)}
+    square = {r.station_id: r.population_catchment for r in spatial.population_in_square(stations, cells, 4.0, default=-1).collect()}
+    assert square == {"line": 15, "west": 15, "pole": -1, "south": -1, "far": 2}
+
+
+def test_whole_tiles_add_the_same_as_cells(spark):
+    from hazegrid.functions.geo import great_circle_km
+    from hazegrid.operators import spatial
+    stations = spark.createDataFrame([(f"s{i}", 60.0 + i / 100, 10.0 + i / 50) for i in range(12)], "station_id string, latitude double, longitude double")
+    cells = spark.range(20_000).select((59.9 + F.col("id") % 200 / 500).alias("lat"), (9.8 + F.floor(F.col("id") / 200) / 100).alias("lon"), (F.col("id") % 7 + 1.0).alias("pop"))
+    plain = stations.join(cells, great_circle_km(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")) <= 9.0).groupBy("station_id").agg(
+        F.sum("pop").cast("long").alias("p"), F.count("*").alias("n"))
+    got = {(r.station_id, r.population_catchment, r.n_cells) for r in spatial.population_in_circle(stations, cells, 9.0).collect()}
+    assert got == {tuple(r) for r in plain.collect()} and min(n for _, _, n in got) > 500
+
+
+def test_overlay_always_applies_and_counts(spark):
+    from hazegrid.operators import joins
+    base = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "ts int, v double")
+    seen = spark.createDataFrame([(2, 9.0), (3, None), (4, 8.0)], "ts int, v double")
+    assert sorted(tuple(r) for r in joins.overlay(base, seen, "ts", "v").select("ts", "v", "n_common").collect()) == [(1, 1.0, 1), (2, 9.0, 1), (3, 3.0, 1)]

@@ -117,9 +117,9 @@ def test_peak_takes_the_first_hour(spark):
 
 
 def test_sample_is_repeatable(linear):
-    a = forecast.seeded_sample(linear, ["station_id", "ts"], 50)
-    b = forecast.seeded_sample(linear.repartition(7), ["station_id", "ts"], 50)
+    a = forecast.seeded_sample(linear, ["station_id", "ts"], 0.25)
+    b = forecast.seeded_sample(linear.repartition(7), ["station_id", "ts"], 0.25)
     key = lambda df: sorted((r.station_id, r.ts) for r in df.collect())
-    assert key(a) == key(b) and len(key(a)) == 50
-    assert key(forecast.seeded_sample(linear, ["station_id", "ts"], 50, seed=1)) != key(a)
-    assert forecast.seeded_sample(linear, ["station_id"], 10**6).count() == 400
+    assert key(a) == key(b) and 60 < len(key(a)) < 140
+    assert key(forecast.seeded_sample(linear, ["station_id", "ts"], 0.25, seed=1)) != key(a)
+    assert forecast.seeded_sample(linear, ["station_id"], 1.0).count() == 400
