@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hazegrid.plans.catalog.expressions import CAT_SQL, CEIL_SQL
 from hazegrid.plans.catalog.registry import query
 from hazegrid.plans.tables import sql
+from hazegrid.session import scratch_path
 from hazegrid.streaming import live
 
 c = F.col
@@ -46,7 +47,7 @@ AQI_SQL = f"""select *, {CEIL_SQL} as aqi, {CAT_SQL.format(x=CEIL_SQL)} as aqi_c
 
 @query("r01_latest_valid", sql(LATEST, "readings"))
 def r01(t):
-    out = live.run_updates(live.latest_valid(stream(t)), "latest", ["station_id"])
+    out = live.run_updates(live.latest_valid(stream(t)), scratch_path(t.spark, "latest"), ["station_id"])
     return plain(out, "ts")
 
 
@@ -58,7 +59,7 @@ def r01_batch(t):
 @query("r02_hourly_means", sql(f"select * from ({HOURLY}) where hour_start + interval 1 hour <= {CLOSED}", "readings"),
        rounds={"mean_value": 6})
 def r02(t):
-    return plain(live.run_available(live.hourly_means(stream(t)), "hourly"), "hour_start")
+    return plain(live.run_available(live.hourly_means(stream(t)), scratch_path(t.spark, "hourly")), "hour_start")
 
 
 @query("r02_hourly_means_batch", sql(HOURLY, "readings"), rounds={"mean_value": 6})
@@ -69,7 +70,7 @@ def r02_batch(t):
 @query("r03_daily_means_hourly", sql(f"select * from ({DAILY}) where window_end <= {CLOSED}", "readings"),
        rounds={"mean_value": 6})
 def r03(t):
-    return plain(live.run_available(live.daily_means_hourly(stream(t)), "daily"), "window_end")
+    return plain(live.run_available(live.daily_means_hourly(stream(t)), scratch_path(t.spark, "daily")), "window_end")
 
 
 @query("r03_daily_means_hourly_batch", sql(DAILY, "readings"), rounds={"mean_value": 6})
@@ -81,14 +82,14 @@ def r03_batch(t):
 def r04(t):
     # Every event is sent twice, the second copy in another row of the same file.
     twice = stream(t).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    return plain(live.run_available(live.without_repeats(twice), "unique"), "ts")
+    return plain(live.run_available(live.without_repeats(twice), scratch_path(t.spark, "unique")), "ts")
 
 
 @query("r05_hourly_aqi", sql(
     f"select * exclude (pm25) from ({AQI_SQL}) where hour_start + interval 1 hour <= {CLOSED_PM25}", "readings"),
     rounds={"mean_value": 6})
 def r05(t):
-    return plain(live.run_available(live.hourly_aqi(stream(t)), "aqi"), "hour_start")
+    return plain(live.run_available(live.hourly_aqi(stream(t)), scratch_path(t.spark, "aqi")), "hour_start")
 
 
 @query("r05_hourly_aqi_batch", sql(f"select * exclude (pm25) from ({AQI_SQL})", "readings"), rounds={"mean_value": 6})

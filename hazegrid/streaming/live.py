@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazegrid.functions import aqi
-from hazegrid.session import scratch_path
 
 VALID_RANGE = (1.0, 900.0)     # fixed values: plausible live PM2.5
 
@@ -18,10 +17,9 @@ def timed(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def latest_valid(readings: DataFrame, parameter: str = "pm25") -> DataFrame:
-    """Newest plausible value per station."""
+    """Newest plausible value per station; of several at one time, the largest."""
     ok = readings.where((F.col("parameter") == parameter) & F.col("value").between(*VALID_RANGE))
-    return ok.groupBy("station_id").agg(
-        F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
+    return ok.groupBy("station_id").agg(F.max(F.struct("ts", "value")).alias("_r")).select("station_id", "_r.ts", "_r.value")
 
 
 def hourly_means(readings: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -61,39 +59,36 @@ def hourly_aqi(readings: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return hourly.withColumn("aqi", index).withColumn("aqi_cat", aqi.category(F.col("aqi")))
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process what is there in append mode and return the emitted rows.
+def run_available(stream: DataFrame, path: str) -> DataFrame:
+    """Process what is there in append mode and return all rows emitted so far.
 
-    Output and checkpoint go to the shared folder, so a restart continues where it stopped.
+    `path` holds the rows and, in `state`, the checkpoint. A later call with the same path takes up only what has
+    arrived since; both folders belong on storage that outlives the application.
     """
-    spark = stream.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     query = (
         stream.writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        .option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def run_updates(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Process what is there in update mode and return the newest row per key.
 
-    Every batch overwrites its own folder, so a batch that is tried again leaves no repeats.
+    Every batch overwrites its own folder below `path`, so a batch that is tried again leaves no repeats, and a later
+    call with the same path goes on after the last batch.
     """
-    spark = stream.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/part={batch_id}")
+        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/rows/part={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(put).outputMode("update")
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
     schema = T.StructType(stream.schema.fields + [T.StructField("batch", T.LongType())])
     rest = [c for c in stream.columns if c not in keys]
-    newest = spark.read.schema(schema).parquet(f"{out}/*").groupBy(*keys).agg(
+    newest = stream.sparkSession.read.schema(schema).parquet(f"{path}/rows/*").groupBy(*keys).agg(
         F.max_by(F.struct(*rest), "batch").alias("_r"))
     return newest.select(*keys, "_r.*")
