@@ -10,8 +10,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazegrid.functions.aqi import index_ceiling
 from hazegrid.functions.atmosphere import boundary_layer_height, clip
-from hazegrid.functions.calendar import by_season, with_calendar
+from hazegrid.functions.calendar import by_season, hour_of, with_calendar
 from hazegrid.operators.lookup import join_on
 from hazegrid.operators.ordering import over_rows, with_position
 from hazegrid.schema import SEASONS
@@ -122,7 +123,7 @@ def feature_columns(split: DataFrame) -> list[str]:
 def fit(split: DataFrame, estimator) -> PipelineModel:
     """Fit on the training rows. Runs Spark jobs."""
     train = split.where("is_train")
-    # A fixed order inside each task keeps sampling trees the same from run to run.
+    # Sampling trees see the rows in the order of the stored table.
     return Pipeline(stages=[assembler(feature_columns(split)), estimator]).fit(train)
 
 
@@ -205,38 +206,56 @@ def horizon(start: Column, hours: int) -> Column:
     return F.sequence(start, start + F.expr(f"interval {hours - 1} hours"), F.expr("interval 1 hour"))
 
 
-def day_ahead_formula(state: DataFrame, hours: int = 24) -> DataFrame:
-    """Recursive forecast per station as one fold over the coming hours.
+def _coming_hours(state: DataFrame, weather: DataFrame | None, hours: int, names: list[str]) -> DataFrame:
+    """`state` with `_hours`, an array of (ts, weather) for the coming hours. Hours that `weather` (station_id, ts_hour and
+    the columns `names`) does not know keep the state's own weather. A station has `hours` entries."""
+    if weather is None:
+        return state.withColumn("_hours", F.transform(horizon(F.col("ts"), hours), lambda t: F.struct(t.alias("ts"), *[F.col(n) for n in names])))
+    ahead = state.select("station_id", *[F.col(n).alias(f"_{n}") for n in names], F.posexplode(horizon(F.col("ts"), hours)).alias("_i", "_t"))
+    known = weather.select("station_id", "ts_hour", *names)
+    laid = join_on(ahead.withColumn("ts_hour", hour_of(F.col("_t"))), known, ["station_id", "ts_hour"])
+    entry = F.struct("_i", F.col("_t").alias("ts"), *[F.coalesce(n, f"_{n}").alias(n) for n in names])
+    rows = laid.groupBy("station_id").agg(F.sort_array(F.collect_list(entry)).alias("_hours"))
+    return join_on(state, rows, ["station_id"])
+
+
+def day_ahead_formula(state: DataFrame, weather: DataFrame | None = None, hours: int = 24) -> DataFrame:
+    """Recursive forecast per station as one fold over the coming hours and their weather, with the index of each step.
 
     `state` has station_id, ts (first hour), pm25 (start value), temperature and wind_speed.
     """
-    height = lambda t: boundary_layer_height(F.hour(t), F.month(t), F.col("temperature"), F.col("wind_speed"))
-    steps = F.transform(horizon(F.col("ts"), hours), lambda t: F.struct(t.alias("ts"), height(t).alias("blh")))
+    coming = _coming_hours(state, weather, hours, ["temperature", "wind_speed"])
+    steps = F.transform("_hours", lambda h: F.struct(h["ts"].alias("ts"), boundary_layer_height(
+        F.hour(h["ts"]), F.month(h["ts"]), h["temperature"], h["wind_speed"]).alias("blh")))
     empty = F.array().cast("array<double>")
-    folded = state.withColumn("_steps", steps).withColumn("_path", F.aggregate(
+    folded = coming.withColumn("_steps", steps).withColumn("_path", F.aggregate(
         F.col("_steps"), empty,
         lambda acc, s: F.array_append(acc, hourly_formula(
             F.when(F.size(acc) == 0, F.col("pm25")).otherwise(F.try_element_at(acc, F.lit(-1))), s["blh"]))))
     return folded.select("station_id", F.posexplode(F.arrays_zip("_steps", "_path")).alias("step", "_s")).select(
         "station_id", F.col("step").cast("int").alias("step"), F.col("_s._steps.ts").alias("ts"),
-        F.col("_s._steps.blh").alias("blh_m"), F.col("_s._path").alias("pm25"))
+        F.col("_s._steps.blh").alias("blh_m"), F.col("_s._path").alias("pm25"), index_ceiling(F.col("_s._path")).alias("aqi"))
 
 
-def day_ahead_model(state: DataFrame, model: PipelineModel, hours: int = 24, cut_every: int = 8) -> DataFrame:
-    """Recursive forecast with a fitted model, all stations at once, one transform per hour.
+def day_ahead_model(
+    state: DataFrame, model: PipelineModel, weather: DataFrame | None = None, hours: int = 24, cut_every: int = 8,
+) -> DataFrame:
+    """Recursive forecast with a fitted model, all stations at once, one transform per hour, with the index of each step.
 
-    `state` has station_id, ts, the three lag columns and the weather features. The lineage
-    is cut every few steps by writing the state to the shared folder; runs those jobs.
+    `state` has station_id, ts, the three lag columns and the weather features, which `weather` replaces hour by hour where it
+    knows them. The lineage is cut every few steps by writing the state to the shared folder; runs those jobs.
     """
-    def features(t: Column) -> Column:
-        month = F.month(t)
-        height = boundary_layer_height(F.hour(t), month, F.col("temperature"), F.col("wind_speed"))
+    names = ["temperature", "humidity", "wind_speed"]
+
+    def features(h: Column) -> Column:
+        month = F.month(h["ts"])
+        height = boundary_layer_height(F.hour(h["ts"]), month, h["temperature"], h["wind_speed"])
         return F.struct(
-            F.hour(t).alias("hour"), F.dayofweek(t).alias("dow"), month.alias("month"),
-            by_season(month, {s: i for i, s in enumerate(SEASONS)}).alias("season_code"), height.alias("blh_m"))
+            F.hour(h["ts"]).alias("hour"), F.dayofweek(h["ts"]).alias("dow"), month.alias("month"),
+            by_season(month, {s: i for i, s in enumerate(SEASONS)}).alias("season_code"), height.alias("blh_m"), *[h[n].alias(n) for n in names])
 
-    current = state.withColumns({
-        "_steps": F.transform(horizon(F.col("ts"), hours), features), "path": F.array().cast("array<double>")})
+    current = _coming_hours(state, weather, hours, names).withColumns({
+        "_steps": F.transform("_hours", features), "path": F.array().cast("array<double>")}).drop("_hours", *names)
     kept = current.columns
     for step in range(hours):
         frame = current.withColumn("_s", F.col("_steps")[step]).select("*", "_s.*")
@@ -247,7 +266,7 @@ def day_ahead_model(state: DataFrame, model: PipelineModel, hours: int = 24, cut
         if (step + 1) % cut_every == 0 and step + 1 < hours:
             current = cut_lineage(current, "forecast")
     return current.select("station_id", "ts", F.posexplode("path").alias("step", "pm25")).select(
-        "station_id", "step", F.expr("ts + make_dt_interval(0, step)").alias("ts"), "pm25")
+        "station_id", "step", F.expr("ts + make_dt_interval(0, step)").alias("ts"), "pm25", index_ceiling(F.col("pm25")).alias("aqi"))
 
 
 def peak(forecast: DataFrame) -> DataFrame:

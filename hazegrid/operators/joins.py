@@ -85,14 +85,23 @@ def hourly_spine(df: DataFrame, hours: int = 72, ts: str = "ts") -> DataFrame:
     )).alias("ts"))
 
 
-def on_spine(df: DataFrame, hours: int = 72) -> DataFrame:
+def on_spine(df: DataFrame, hours: int = 72, carry: tuple[str, ...] = ()) -> DataFrame:
     """Hourly rows laid over the full spine; missing hours appear with null values.
 
-    The earliest hour of any spine bounds the scan, so older rows are not shuffled.
+    The earliest hour of any spine bounds the scan, so older rows are not shuffled. For the columns `carry`, a station's first
+    hour takes the last value from before its spine where it has none of its own; those are found by a maximum per task.
     """
     spine = hourly_spine(df, hours)
     recent = df.where(F.col("ts") >= spine.agg(F.min("ts")).scalar())
-    return join_on(spine, recent, ["station_id", "ts"])
+    out = join_on(spine, recent, ["station_id", "ts"])
+    if not carry:
+        return out
+    starts = spine.groupBy("station_id").agg(F.min("ts").alias("_start"))
+    older = join_on(df, starts, ["station_id"]).where(F.col("ts") < F.col("_start")).groupBy("station_id").agg(
+        *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("ts"))).alias(f"_old_{n}") for n in carry])
+    laid = join_on(join_on(out, starts, ["station_id"]), older, ["station_id"])
+    return laid.withColumns({
+        n: F.when(F.col("ts") == F.col("_start"), F.coalesce(n, f"_old_{n}")).otherwise(F.col(n)) for n in carry}).select(*out.columns)
 
 
 def overlay(base: DataFrame, observed: DataFrame, key: str, value: str) -> DataFrame:

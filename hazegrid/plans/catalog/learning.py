@@ -60,7 +60,7 @@ def m10(t):
     model = forecast.fit(data, forecast.candidates()["LinearRegression"])
     cols = ["pm25_lag1", "pm25_lag24", "pm25_roll24", "temperature", "humidity", "wind_speed"]
     state = data.groupBy("station_id").agg(F.max("ts").alias("ts"), *[F.max_by(k, "ts").alias(k) for k in cols])
-    return forecast.day_ahead_model(state, model)
+    return forecast.day_ahead_model(state, model, t.weather)
 
 
 @query("s16_model_roundtrip")

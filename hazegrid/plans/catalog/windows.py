@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hazegrid.functions.atmosphere import boundary_layer_height
 from hazegrid.operators import cleaning, forecast, health as H, joins, profile
 from hazegrid.plans.catalog.aggregates import FLAG_SQL
+from hazegrid.plans.catalog.expressions import CEIL_SQL
 from hazegrid.plans.catalog.registry import query
 from hazegrid.plans.tables import TIE, sql
 from hazegrid.schema import POLLUTANTS
@@ -169,15 +170,15 @@ def w11(t):
 @query("w12_live_vector", sql("""
   with s as (select station_id, unnest(generate_series(max(ts) - interval 71 hours, max(ts), interval 1 hour)) as ts
     from wide group by 1),
-  f as (select s.station_id, s.ts, last_value(pm25 ignore nulls) over (partition by s.station_id order by s.ts
-      rows between unbounded preceding and current row) as pm25,
-      row_number() over (partition by s.station_id order by s.ts desc) as back
-    from s left join wide on wide.station_id = s.station_id and wide.ts = s.ts)
+  u as (select station_id, ts, max(pm25) as pm25 from (select station_id, ts, pm25 from wide union all select station_id, ts, null from s) group by 1, 2),
+  f as (select station_id, ts, last_value(pm25 ignore nulls) over (partition by station_id order by ts
+      rows between unbounded preceding and current row) as pm25 from u),
+  b as (select f.*, row_number() over (partition by station_id order by ts desc) as back from f join s using (station_id, ts))
   select station_id, max(ts) as ts, max(pm25) filter (where back = 1) as pm25_lag1,
     max(pm25) filter (where back = 24) as pm25_lag24, avg(pm25) filter (where back <= 24) as pm25_roll24
-  from f group by 1""", "wide"), rounds={"pm25_lag1": 6, "pm25_lag24": 6, "pm25_roll24": 6})
+  from b group by 1""", "wide"), rounds={"pm25_lag1": 6, "pm25_lag24": 6, "pm25_roll24": 6})
 def w12(t):
-    return forecast.live_vector(joins.on_spine(t.wide.select("station_id", "ts", "pm25"), 72))
+    return forecast.live_vector(joins.on_spine(t.wide.select("station_id", "ts", "pm25"), 72, carry=("pm25",)))
 
 
 @query("w13_rank_divergence", sql("""
@@ -221,14 +222,16 @@ def m06(t):
 STATE_SQL = """select station_id, max(ts) as ts, max_by(pm25, ts) as pm25, max_by(temperature, ts) as temperature,
     max_by(wind_speed, ts) as wind_speed from enriched where pm25 is not null and temperature is not null group by 1"""
 AHEAD_SQL = f"""with recursive st as ({STATE_SQL}),
-  f(station_id, step, ts, base, temperature, wind_speed, blh_m, pm25) as (
-    select station_id, 0::bigint, ts, 360.0::double, temperature, wind_speed, {BLH.replace('base', '360.0::double')},
-      greatest(round(pm25 * 0.85 + 800.0 / {BLH.replace('base', '360.0::double')} * 15.0, 1), 6.0) from st
+  hb as (select *, {BLH} as b from (
+    select st.station_id, k as step, st.ts + to_hours(k::int) as ts, 360.0::double as base, st.pm25,
+      coalesce(w.temperature, st.temperature) as temperature, coalesce(w.wind_speed, st.wind_speed) as wind_speed
+    from st cross join (select unnest(range(24)) as k) left join weather w
+      on w.station_id = st.station_id and w.ts_hour = date_trunc('hour', st.ts) + to_hours(k::int))),
+  f(station_id, step, pm25) as (
+    select station_id, 0::bigint, greatest(round(pm25 * 0.85 + 800.0 / b * 15.0, 1), 6.0) from hb where step = 0
     union all
-    select station_id, step + 1, ts, base, temperature, wind_speed, b,
-      greatest(round(pm25 * 0.85 + 800.0 / b * 15.0, 1), 6.0) from (
-        select station_id, step, ts + interval 1 hour as ts, base, temperature, wind_speed, pm25,
-          {BLH.replace('hour(ts)', 'hour(ts + interval 1 hour)')} as b from f where step < 23))
+    select f.station_id, f.step + 1, greatest(round(f.pm25 * 0.85 + 800.0 / hb.b * 15.0, 1), 6.0)
+    from f join hb on hb.station_id = f.station_id and hb.step = f.step + 1)
   """
 
 
@@ -238,16 +241,18 @@ def latest_state(t):
         F.max("ts").alias("ts"), *[F.max_by(k, "ts").alias(k) for k in ("pm25", "temperature", "wind_speed")])
 
 
-@query("m10_day_ahead_formula", sql(AHEAD_SQL + "select station_id, step, ts, blh_m, pm25 from f", "enriched"))
+@query("m10_day_ahead_formula", sql(
+    AHEAD_SQL + f"select f.station_id, f.step, hb.ts, hb.b as blh_m, f.pm25, {CEIL_SQL.replace('pm25', 'f.pm25')} as aqi "
+    "from f join hb on hb.station_id = f.station_id and hb.step = f.step", "enriched"))
 def m10(t):
-    return forecast.day_ahead_formula(latest_state(t))
+    return forecast.day_ahead_formula(latest_state(t), t.weather)
 
 
 @query("k05_forecast_peak", sql(
     AHEAD_SQL + "select station_id, max(pm25) as peak_pm25, arg_max(step, (pm25, -step)) as peak_step from f group by 1",
     "enriched"))
 def k05(t):
-    return forecast.peak(forecast.day_ahead_formula(latest_state(t)))
+    return forecast.peak(forecast.day_ahead_formula(latest_state(t), t.weather))
 
 
 @query("m11_next_hour_formula", sql(f"""

@@ -88,7 +88,7 @@ def test_metrics_match_mllib(linear):
 def test_day_ahead_formula_by_hand(spark):
     state = spark.sql("select 'A' as station_id, timestamp_ntz'2024-01-31 23:00:00' as ts, 100.0d as pm25, "
                       "20.0d as temperature, 2.0d as wind_speed")
-    got = forecast.day_ahead_formula(state, 3).orderBy("step").collect()
+    got = forecast.day_ahead_formula(state, hours=3).orderBy("step").collect()
     lag = 100.0
     for r in got:
         lag = max(6.0, round(lag * 0.85 + 800.0 / r.blh_m * 15.0, 1))
@@ -97,6 +97,24 @@ def test_day_ahead_formula_by_hand(spark):
     assert [str(r.ts) for r in got] == ["2024-01-31 23:00:00", "2024-02-01 00:00:00", "2024-02-01 01:00:00"]
 
 
+def test_day_ahead_formula_takes_the_weather_of_each_hour(spark):
+    state = spark.sql("select 'A' as station_id, timestamp_ntz'2024-01-10 05:00:00' as ts, 100.0d as pm25, 20.0d as temperature, 2.0d as wind_speed")
+    weather = spark.sql("select 'A' as station_id, timestamp_ntz'2024-01-10 06:00:00' as ts_hour, 35.0d as temperature, 30.0d as wind_speed")
+    still = {r.step: r for r in forecast.day_ahead_formula(state, None, 3).collect()}
+    got = {r.step: r for r in forecast.day_ahead_formula(state, weather, 3).collect()}
+    assert got[0] == still[0] and got[2].blh_m == still[2].blh_m
+    assert got[1].blh_m > still[1].blh_m and got[1].pm25 < still[1].pm25 and got[2].pm25 < still[2].pm25
+    assert all(r.aqi is not None for r in got.values())
+
+
+def test_a_value_from_before_the_spine_is_carried(spark):
+    from hazegrid.operators import joins
+    df = spark.sql("select * from values ('A', timestamp_ntz'2024-01-01 00:00:00', 7.0d), ('A', timestamp_ntz'2024-01-04 02:00:00', null), "
+                   "('B', timestamp_ntz'2024-01-04 02:00:00', 3.0d) as v(station_id, ts, pm25)")
+    got = {r.station_id: (r.pm25_lag1, r.pm25_lag24) for r in forecast.live_vector(joins.on_spine(df, 72, carry=("pm25",))).collect()}
+    assert got == {"A": (7.0, 7.0), "B": (3.0, None)}
+
+
 def test_day_ahead_model_follows_its_own_predictions(spark, linear):
     model = forecast.fit(linear, forecast.candidates()["LinearRegression"])
     state = spark.sql("select 'A' as station_id, timestamp_ntz'2024-01-31 22:00:00' as ts, 30.0d as pm25_lag1, 20.0d as pm25_lag24, "
