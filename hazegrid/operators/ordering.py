@@ -9,6 +9,8 @@ window.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +58,8 @@ def blocks_by_position(
     block: str = "_block", core: str = "_core",
 ) -> DataFrame:
     """Add a block number of `size` consecutive positions, and repeat in each block the
-    `before` rows in front of it and the `after` rows behind it, with `core` false."""
-    if max(before, after) > size:
-        raise ValueError("a block must be at least as long as its margins")
+    `before` rows in front of it and the `after` rows behind it, with `core` false. A block is at least as long as its margins."""
+    size = max(size, before, after)
     offset = F.pmod(F.col(pos) - 1, F.lit(size))
     here = ((F.col(pos) - 1 - offset) / size).cast("long")
     homes = [F.struct(here.alias("b"), F.lit(True).alias("c"))]
@@ -77,10 +78,8 @@ def blocks_by_time(
     df: DataFrame, ts: str, lookback_hours: float, block_hours: int = 168,
     block: str = "_block", core: str = "_core", clock: str = "_us",
 ) -> DataFrame:
-    """Add a time block, and repeat the last `lookback_hours` of a block in the next one."""
-    if lookback_hours > block_hours:
-        raise ValueError("a block must be at least as long as its margin")
-    width = block_hours * MICROS_PER_HOUR
+    """Add a time block, and repeat the last `lookback_hours` of a block in the next one. A block is at least as long as that."""
+    width = max(block_hours, math.ceil(lookback_hours)) * MICROS_PER_HOUR
     margin = int(lookback_hours * MICROS_PER_HOUR)
     us = F.col(clock)
     # Whole-number arithmetic; dates before 1970 fall into the block below, not towards zero.

@@ -381,11 +381,11 @@ def p35(t):
 
 
 @query("p36_impact_score", sql("""
-  select station_id, ts, round(pm25 * population_catchment * 0.0086 / 1e6 * 1.000000000001::double, 4) as score
+  select station_id, ts, round(pm25 * population_catchment * 0.0086 / 1e6, 4) as score
   from peopled""", "peopled"))
 def p36(t):
     return t.peopled.select("station_id", "ts", health.impact_score(
-        c("pm25") * 1.000000000001, c("population_catchment")).alias("score"))
+        c("pm25"), c("population_catchment")).alias("score"))
 
 
 @query("p37_exposure_risk_score", sql("""

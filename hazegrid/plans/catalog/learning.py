@@ -1,12 +1,14 @@
-"""Models. Fits are iterative, so these have no SQL; tests compare them with known answers."""
+"""Models. Fits are iterative, so they have no SQL; tests compare them with known answers."""
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hazegrid.operators import forecast
 from hazegrid.plans.catalog.registry import query
+from hazegrid.plans.tables import sql
 from hazegrid.session import scratch_path
 
 
@@ -20,6 +22,16 @@ def predictions(t, name: str):
     return forecast.score(forecast.fit(data, forecast.candidates()[name]), data)
 
 
+@query("m02_vector_assembly", sql("""
+  with k as (select station_id, ts, pm25, temperature, wind_speed from enriched
+    where pm25 is not null and temperature is not null and wind_speed is not null)
+  select station_id, ts, 0::bigint as place, pm25 as value from k union all select station_id, ts, 1, temperature from k
+  union all select station_id, ts, 2, wind_speed from k""", "enriched"), rounds={"value": 6})
+def m02(t):
+    features = forecast.assembler(["pm25", "temperature", "wind_speed"]).transform(t.enriched)
+    return features.select("station_id", "ts", F.posexplode(vector_to_array("features")).alias("place", "value"))
+
+
 @query("m03_linear_regression")
 def m03(t):
     return predictions(t, "LinearRegression")

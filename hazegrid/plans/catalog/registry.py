@@ -13,18 +13,17 @@ from hazegrid.plans.tables import Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Two engines add up doubles in different orders, so sums are compared after rounding. The
-# nudge moves values that end in an exact 5 off the edge, where the engines would part.
-NUDGE = 1.000000000001
-
 
 def settled(df: DataFrame, rounds: dict[str, int]) -> DataFrame:
-    """Computed doubles rounded, 32-bit integers widened, names and order kept."""
+    """Computed doubles in single precision, because two engines add up doubles in different orders, and without the noise of sums
+    that cancel out; 32-bit integers widened; names and order kept.
+
+    Decimal digits alone would not do: means of decimals often end in an exact 5, where the engines' rounding parts."""
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if field.name in rounds:
-            c = F.round(c * NUDGE, rounds[field.name])
+            c = F.round(c, rounds[field.name] + 4).cast("float").cast("double")
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         out.append(c.alias(field.name))
@@ -40,7 +39,7 @@ def query(name: str, sql: str | None = None, rounds: dict[str, int] | None = Non
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: settled(f(Tables(spark, sf_dir)), rounds)
         if sql is not None:
-            swaps = ", ".join(f"round({c} * {NUDGE}::double, {d}) + 0.0::double as {c}" for c, d in rounds.items())
+            swaps = ", ".join(f"(round({c}, {d + 4}) + 0.0::double)::float::double as {c}" for c, d in rounds.items())
             ORACLES[name] = f"select * replace ({swaps}) from (\n{sql}\n) checked" if swaps else sql
         return f
 

@@ -258,15 +258,14 @@ def k05(t):
 @query("m11_next_hour_formula", sql(f"""
   select station_id, ts, greatest(round(pm25 * 0.78 + r * 0.15 + sqrt(850.0 / greatest(b, 150.0)) * 12.0, 1), 5.0) as next_pm25,
     greatest(round(pm25 * 0.85 + 800.0 / b * 15.0, 1), 6.0) as hourly_pm25
-  from (select station_id, ts, pm25, {BLH.replace('base', '360.0::double')} as b, round(avg(pm25) over (partition by station_id
-      order by ts rows between 23 preceding and current row) * 1.000000000001::double, 6) as r
+  from (select station_id, ts, pm25, {BLH.replace('base', '360.0::double')} as b, avg(pm25) over (partition by station_id
+      order by ts rows between 23 preceding and current row) as r
     from enriched where pm25 is not null and temperature is not null)""", "enriched"))
 def m11(t):
     known = t.enriched.where("pm25 is not null and temperature is not null")
     lagged = forecast.lag_features(known).withColumn("blh", boundary_layer_height(
         F.hour("ts"), F.month("ts"), c("temperature"), c("wind_speed")))
-    roll = F.round(c("pm25_roll24") * 1.000000000001, 6)
-    return lagged.select("station_id", "ts", forecast.next_hour_formula(c("pm25"), roll, c("blh")).alias("next_pm25"),
+    return lagged.select("station_id", "ts", forecast.next_hour_formula(c("pm25"), c("pm25_roll24"), c("blh")).alias("next_pm25"),
                          forecast.hourly_formula(c("pm25"), c("blh")).alias("hourly_pm25"))
 
 

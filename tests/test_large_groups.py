@@ -43,11 +43,16 @@ def test_row_windows(series, rows, size):
     assert rows(got, "id", "a", "b", "n") == rows(want)
 
 
-def test_margin_must_fit(series):
-    with pytest.raises(ValueError):
-        ordering.blocks_by_position(series.withColumn("p", F.lit(1)), "p", before=11, size=10)
-    with pytest.raises(ValueError):
-        ordering.blocks_by_time(series, "ts", lookback_hours=200, block_hours=100)
+def test_blocks_are_as_long_as_their_margins(series, rows):
+    def cols(w):
+        return {"a": F.lag("pm25", 11).over(w)}
+    got = ordering.over_rows(series, ["station_id"], [c("ts"), c("id")], F.date_trunc("hour", "ts"), cols, 11, 0, 4)
+    want = series.select("id", F.lag("pm25", 11).over(Window.partitionBy("station_id").orderBy("ts", "id")).alias("a"))
+    assert rows(got, "id", "a") == rows(want)
+    unique = dedupe(series, ["station_id", "ts"], [c("id")])
+    wide = ordering.over_hours(unique, ["station_id"], "ts", lambda w: {"v": F.last("pm25", True).over(w)}, 200, 100)
+    w = Window.partitionBy("station_id").orderBy(ordering.micros(c("ts"))).rangeBetween(-200 * 3_600_000_000, 0)
+    assert rows(wide, "id", "v") == rows(unique.select("id", F.last("pm25", True).over(w)))
 
 
 @pytest.mark.parametrize("block", [3, 5, 168])
