@@ -30,7 +30,7 @@ LEAF = 16
 PERCENT = 75
 # Documents of a cluster that meet in one tree; larger clusters are cut into tiles.
 TILE_ROWS, TILE_SHINGLES = 1_500, 2_000_000
-CHUNK_POSTINGS, BUCKET_POSTINGS = 1_000_000, 500_000
+CHUNK_POSTINGS, BUCKET_POSTINGS = 1_000_000, 1_000_000
 
 U = np.uint64
 _MIX = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -271,7 +271,7 @@ def _candidate_sets(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, D
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a word has about six bytes, two in five shingles are sent
-    bits = max(4, min(24, int(np.ceil(np.log2(1 + total / 15 / BUCKET_POSTINGS)))))
+    bits = max(6, min(24, int(np.ceil(np.log2(1 + total / 15 / BUCKET_POSTINGS)))))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = T.StructType.fromDDL(f"doc_id {id_type}, n long, key binary, number long, shared long, needed int, bucket int, hashes binary, senders binary")
     path = scratch_path(spark, "fronts")
