@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,5 +70,14 @@ def without(df: DataFrame, dropped: DataFrame, key: str, dropped_key: str) -> Da
     return df.join(side, F.col(key) == F.col(dropped_key), "left_anti")
 
 
-def table(spark, sf_dir: str, name: str) -> DataFrame:
+def importable(spark: SparkSession) -> None:
+    """Tell Python workers where the driver found this package; a session started elsewhere may not have it on its path."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
