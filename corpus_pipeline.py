@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazegrid.llm.common import BROADCAST_ROWS, importable, table, without
+from hazegrid.llm.common import BROADCAST_ROWS, prepare, table, without
 from hazegrid.llm.exact_dedup import distinct_documents
 from hazegrid.llm.jaccard_join import ngram_jaccard
 from hazegrid.llm.mixing import curriculum_mix
@@ -21,14 +21,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group with equal normalised texts: the smallest id, repeated rows once. Null and empty texts are one group."""
-    importable(spark)
+    prepare(spark)
     return distinct_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the smallest id. Documents without words, or without an id, stay;
     an id that is dropped goes with all rows that carry it."""
-    importable(spark)
+    prepare(spark)
     found = ngram_jaccard(docs)
     dropped = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__dropped_id")).distinct()
     return without(docs, dropped, "doc_id", "__dropped_id")
@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequence and offset."""
-    importable(spark)
+    prepare(spark)
     return best_fit_packing(docs)
 
 

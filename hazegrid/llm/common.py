@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from hazegrid.session import cut_lineage
 
 SLICE_BYTES = 4 << 20
+BATCH_ROWS = 1_000
 # Rows of one or two numbers up to which a list is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -41,9 +42,10 @@ def map_texts(df: DataFrame, keep: dict[str, str], text_col: str, added: str,
               make: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
     """A row per input row: the `keep` columns under their new names, and the columns of the DDL `added` that
     `make()(texts)` returns as Arrow arrays or lists. Null texts come as empty. `make` runs once per task."""
-    source = df.select(*[F.col(f"`{c}`").alias(n) for c, n in keep.items()],
-                       F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
-    fields = source.schema.fields[:-1] + T.StructType.fromDDL(added).fields
+    own = [] if text_col in keep else [F.col(f"`{text_col}`").cast("string").alias("__text")]
+    source = df.select(*[F.col(f"`{c}`").alias(n) for c, n in keep.items()], *own)
+    text = keep.get(text_col, "__text")
+    fields = source.schema.fields[:len(keep)] + T.StructType.fromDDL(added).fields
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
     kept = list(keep.values())
 
@@ -54,9 +56,9 @@ def map_texts(df: DataFrame, keep: dict[str, str], text_col: str, added: str,
         types = [arrow.field(n).type for n in schema.names[len(kept):]]
         apply = make()
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, text):
                 new = [x if isinstance(x, pa.Array) else pa.array(x, t)
-                       for x, t in zip(apply(part.column("__text").to_pylist()), types, strict=True)]
+                       for x, t in zip(apply([t or "" for t in part.column(text).to_pylist()]), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + new, names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -70,8 +72,11 @@ def without(df: DataFrame, dropped: DataFrame, key: str, dropped_key: str) -> Da
     return df.join(side, F.col(key) == F.col(dropped_key), "left_anti")
 
 
-def importable(spark: SparkSession) -> None:
-    """Tell Python workers where the driver found this package; a session started elsewhere may not have it on its path."""
+def prepare(spark: SparkSession) -> None:
+    """Tell Python workers where the driver found this package; a session started elsewhere may not have it on its path.
+    Rows with whole texts travel in batches of at most BATCH_ROWS, so that a task holds a few megabytes of them at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
@@ -79,5 +84,5 @@ def importable(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
