@@ -1,9 +1,10 @@
-"""Main text of web pages: the marked-up article, and elsewhere a suffix array per host against boilerplate.
+"""Main text of web pages: a suffix array per host against boilerplate, with the page's markup as evidence.
 
 A page's blocks of text lie in its main part (`article`, or `main`), in its chrome (menus, footers, adverts and so on, by
-element or class), or in neither. Main blocks are the text. Blocks outside the main part of a host's pages are
-concatenated as token streams and sorted as suffixes; substrings of LONG tokens and more that recur on distinct pages
-are boilerplate. A page without a main part keeps the runs of its open blocks that no such substring covers.
+element or class), or in neither. All blocks of a host's pages are concatenated as token streams and sorted as suffixes.
+Substrings of LONG tokens and more that recur on distinct pages are boilerplate in an open block; in a main block, which the
+markup speaks for, only those that a large share of the host's pages have. A page keeps the runs of its main and open blocks
+that no boilerplate covers; chrome is never text.
 """
 
 from __future__ import annotations
@@ -13,15 +14,23 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hazegrid.llm.common import map_texts
-from hazegrid.session import scratch_path
+from hazegrid.llm.common import slices
+from hazegrid.session import cut_lineage, scratch_path
 
 LONG = 8
 # Pages of one host that meet in a suffix array; a larger host is dealt to several.
 PAGES = 200
+GROUP_TOKENS = 500_000
+# In main parts, a passage is boilerplate if one in MAIN_SHARE of the host's distinct pages has it, and MAIN_PAGES at least.
+MAIN_SHARE = 5
+MAIN_PAGES = 10
+# Texts that boilerplate changed are broadcast up to so many bytes.
+BROADCAST_BYTES = 16 << 20
 
 # Elements by what they do to the text.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "object", "math", "canvas"}
@@ -133,40 +142,51 @@ def blocks(html: str) -> tuple[bool, list[tuple[str, str]]]:
     return has_main and any(z == "main" for z, _ in out), out
 
 
-def covered(pages: list[list[int]], long: int = LONG) -> list[np.ndarray]:
-    """For each page's tokens, which of them lie in a substring of `long` tokens that distinct pages have.
+def _windows(streams: list[tuple[int, ...]], long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens of the streams with a separator of its own after each, the class of the `long` tokens from each place on,
+    and for each class on how many streams it is found.
 
-    The pages are concatenated with a separator of its own after each, and the suffixes sorted by doubling
-    until `long` tokens are compared: neighbours with equal ranks share that many. Pages with equal streams count once."""
-    streams = {tuple(p): None for p in pages}
+    The suffixes are sorted by doubling until `long` tokens are compared: neighbours with equal ranks share that many."""
     joined, owner = [], []
     for k, s in enumerate(streams):
         joined += [*s, -1 - k]
         owner += [k] * (len(s) + 1)
-    out = {}
-    if joined:
-        tokens, owner = np.array(joined), np.array(owner)
-        rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-        width = 1
-        while width < long:
-            step = min(width, long - width)
-            ahead = np.full(len(rank), -1)
-            ahead[:len(rank) - step] = rank[step:]
-            rank = np.unique(rank * (len(rank) + 2) + ahead + 1, return_inverse=True)[1].astype(np.int64)
-            width += step
-        order = np.argsort(rank, kind="stable")
-        edge = np.flatnonzero(np.diff(rank[order], prepend=-1))
-        low, high = np.minimum.reduceat(owner[order], edge), np.maximum.reduceat(owner[order], edge)
-        shared = (low != high)[rank]
-        marks = np.zeros(len(tokens) + long + 1, np.int64)
-        begins = np.flatnonzero(shared)
-        np.add.at(marks, begins, 1)
-        np.add.at(marks, begins + long, -1)
-        inside = np.cumsum(marks)[:len(tokens)] > 0
-        at = 0
-        for s in streams:
-            out[s] = inside[at:at + len(s)]
-            at += len(s) + 1
+    if not joined:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tokens, owner = np.array(joined), np.array(owner)
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    width = 1
+    while width < long:
+        step = min(width, long - width)
+        ahead = np.full(len(rank), -1)
+        ahead[:len(rank) - step] = rank[step:]
+        rank = np.unique(rank * (len(rank) + 2) + ahead + 1, return_inverse=True)[1].astype(np.int64)
+        width += step
+    order = np.argsort(rank, kind="stable")
+    begins = np.diff(rank[order], prepend=-1) != 0
+    fresh = begins | (np.diff(owner[order], prepend=-1) != 0)
+    return tokens, rank, np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(begins))
+
+
+def _inside(begins: np.ndarray, n: int, long: int) -> np.ndarray:
+    """Which of `n` tokens lie in a window of `long` tokens that begins at one of `begins`."""
+    marks = np.zeros(n + long + 1, np.int64)
+    np.add.at(marks, begins, 1)
+    np.add.at(marks, begins + long, -1)
+    return np.cumsum(marks)[:n] > 0
+
+
+def covered(pages: list[list[int]], long: int = LONG, least: int = 2) -> list[np.ndarray]:
+    """For each page's tokens, which of them lie in a substring of `long` tokens that at least `least` distinct pages have.
+
+    The pages are concatenated and their suffixes sorted. Pages with equal streams count once."""
+    streams = list({tuple(p): None for p in pages})
+    tokens, rank, counts = _windows(streams, long)
+    inside = _inside(np.flatnonzero(counts[rank] >= least), len(tokens), long)
+    out, at = {}, 0
+    for s in streams:
+        out[s] = inside[at:at + len(s)]
+        at += len(s) + 1
     return [out[tuple(p)] for p in pages]
 
 
@@ -181,61 +201,108 @@ def _own_runs(hit: np.ndarray, long: int) -> np.ndarray:
     return hit
 
 
-def unique_runs(pages: list[list[tuple[str, str]]], wanted: list[bool], long: int = LONG) -> list[str]:
-    """For the wanted pages, the uncovered runs of their open blocks, joined; others give an empty text."""
-    number: dict[str, int] = {}
-    streams = [[number.setdefault(w, len(number)) for _, text in page for w in text.split()] for page in pages]
+def _kept(page: list[tuple[str, str]], twice: np.ndarray, wide: np.ndarray, long: int) -> str:
+    """The text of a page: open blocks without the tokens in `twice`, main blocks without those in `wide`, chrome not at all.
+
+    A page whose main part would lose more than half of its tokens keeps them: there the passage is the article."""
+    at, blocks_ = 0, []
+    lost = total = 0
+    for zone, text in page:
+        words = text.split()
+        hit = _own_runs((wide if zone == "main" else twice)[at:at + len(words)], long)
+        at += len(words)
+        if zone == "main":
+            lost, total = lost + int(hit.sum()), total + len(words)
+        if zone != "chrome":
+            blocks_.append((zone, text, words, hit))
     out = []
-    for page, hit, want in zip(pages, covered(streams, long), wanted, strict=True):
-        kept, at = [], 0
-        for zone, text in page:
-            words = text.split()
-            free = ~_own_runs(hit[at:at + len(words)], long)
-            at += len(words)
-            if want and zone == "open":
-                run = " ".join(w for w, f in zip(words, free, strict=True) if f)
-                if run:
-                    kept.append(run)
-        out.append("\n\n".join(kept))
-    return out
+    for zone, text, words, hit in blocks_:
+        if not hit.any() or (zone == "main" and 2 * lost > total):
+            out.append(text)
+        elif not hit.all():
+            out.append(" ".join(w for w, h in zip(words, hit, strict=True) if not h))
+    return "\n\n".join(out)
+
+
+def main_least(n: int) -> int:
+    """On how many of a host's `n` distinct pages a passage of main parts is boilerplate."""
+    return max(MAIN_PAGES, -(-n // MAIN_SHARE))
+
+
+def unique_runs(pages: list[list[tuple[str, str]]], long: int = LONG) -> list[str]:
+    """For the pages of one host, the runs of their main and open blocks that are no boilerplate, joined."""
+    number: dict[str, int] = {}
+    streams = [tuple(number.setdefault(w, len(number)) for _, text in page for w in text.split()) for page in pages]
+    begins, at = {}, 0
+    for s in streams:
+        if s not in begins:
+            begins[s] = at
+            at += len(s) + 1
+    tokens, rank, counts = _windows(list(begins), long)
+    twice = _inside(np.flatnonzero(counts[rank] >= 2), len(tokens), long)
+    wide = _inside(np.flatnonzero(counts[rank] >= main_least(len(begins))), len(tokens), long)
+    return [_kept(page, twice[begins[s]:], wide[begins[s]:], long) for page, s in zip(pages, streams, strict=True)]
+
+
+def _whole(page: list[tuple[str, str]]) -> str:
+    return "\n\n".join(text for zone, text in page if zone != "chrome")
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", long: int = LONG, pages: int = PAGES) -> DataFrame:
     """page_id, url, text, n_chars for each row.
 
     Character references are decoded, white space inside a block becomes one space, and blocks are joined by an empty line.
-    Pages are parsed once and written to the shared folder (runs a job); texts of main parts are not shuffled. The short
-    streams outside them meet per host, at most about `pages` pages in a group, however many a host has.
+    Pages are parsed once and written to the shared folder (runs jobs). Pages with blocks meet per host, at most about `pages`
+    of them and GROUP_TOKENS tokens in a group, however many a host has; only the texts that boilerplate changes come back.
 
     Null and empty html give an empty text. A null url counts as a host of its own. Repeated rows give repeated rows
     (a page's copies are one page to the suffix array); an empty table gives an empty result; other columns are ignored."""
     spark = df.sparkSession
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    source = df.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("__html"))
+    source = source.withColumn("host", host)
+    schema = T.StructType([*source.schema.fields[:2], *T.StructType.fromDDL(
+        "host string, blocks array<struct<zone:string,text:string>>, layout binary, stream long, n_tokens int, first boolean").fields])
 
-    def make():
-        def parse(htmls):
-            found = [blocks(h) for h in htmls]
-            texts = ["\n\n".join(t for z, t in b if z == "main") if m else None for m, b in found]
-            rest = [[{"zone": z, "text": t} for z, t in b if z != "main"] for _, b in found]
-            return [texts, rest]
-        return parse
+    def parse(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        seen = set()
+        for batch in batches:
+            for part in slices(batch, "__html"):
+                found = [blocks(h or "")[1] for h in part.column("__html").to_pylist()]
+                joined = [" ".join(t for _, t in b) for b in found]
+                # no text of a block holds a separator of units: it is white space
+                layout = [xxhash.xxh3_128_digest("\x1f".join(z + t for z, t in b)) for b in found]
+                first = []
+                for key in zip(part.column("host").to_pylist(), layout, strict=True):
+                    first.append(key not in seen)
+                    seen.add(key)
+                new = [[[{"zone": z, "text": t} for z, t in b] for b in found], layout, np.array([xxhash.xxh3_64_intdigest(j) for j in joined], np.uint64).view(np.int64),
+                       [j.count(" ") + 1 if j else 0 for j in joined], first]
+                own = [part.column(n) for n in ("page_id", "url", "host")]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(x, f.type) for x, f in zip(new, list(arrow)[3:], strict=True)]], names=schema.names)
 
-    parsed = map_texts(df, {id_col: "page_id", url_col: "url"}, html_col, "text string, rest array<struct<zone:string,text:string>>", make)
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = scratch_path(spark, "pages")
-    parsed.withColumn("host", host).write.option("compression", "zstd").parquet(path)
-    stored = spark.read.parquet(path)
-    hosts = stored.groupBy("host").agg(F.ceil(F.count("*") / pages).alias("parts")).withColumnRenamed("host", "h")
-    streams = (stored.where(F.size("rest") > 0).select("host", "page_id", "url", F.col("text").isNull().alias("open"), "rest")
-               .join(hosts, F.col("host") == F.col("h"))
-               .withColumn("part", F.pmod(F.xxhash64("url", "page_id"), F.col("parts"))).select("host", "part", "page_id", "url", "open", "rest"))
-    id_type = stored.schema["page_id"].dataType.simpleString()
+    source.mapInArrow(parse, schema).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(schema).parquet(path)
+    # A task sends one of a host's equal pages; pages with equal streams are dealt to one group.
+    sent = stored.where(F.col("first") & (F.col("n_tokens") > 0)).select("host", "layout", "stream", "n_tokens", "blocks")
+    parts = F.greatest(F.ceil(F.count("*") / pages), F.ceil(F.sum("n_tokens") / GROUP_TOKENS)).cast("int")
+    hosts = cut_lineage(sent.groupBy("host").agg(parts.alias("parts")).withColumnRenamed("host", "h"), "hosts")
+    dealt = (sent.join(hosts, F.col("host") == F.col("h"))
+             .withColumn("part", F.pmod(F.xxhash64("stream"), F.col("parts")).cast("int")).select("host", "part", "layout", "blocks"))
 
     def judge(group: pa.Table) -> pa.Table:
-        rest = [[(b["zone"], b["text"]) for b in r] for r in group.column("rest").to_pylist()]
-        wanted = group.column("open").to_pylist()
-        texts = unique_runs(rest, wanted, long)
-        return group.select(["page_id", "url"]).append_column("text", pa.array(texts, pa.string())).filter(pa.array(wanted))
-
-    judged = streams.groupBy("host", "part").applyInArrow(judge, f"page_id {id_type}, url string, text string")
-    ready = stored.where(F.col("text").isNotNull() | (F.size("rest") == 0)).select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    return ready.unionByName(judged).withColumn("n_chars", F.length("text").cast("long"))
+        found = {k: [(b["zone"], b["text"]) for b in r] for k, r in zip(group.column("layout").to_pylist(), group.column("blocks").to_pylist(), strict=True)}
+        texts = dict(zip(found, unique_runs(list(found.values()), long), strict=True))
+        changed = [k for k, page in found.items() if texts[k] != _whole(page)]
+        return pa.table({"h": pa.array([group.column("host")[0].as_py()] * len(changed), pa.string()), "key": pa.array(changed, pa.binary()),
+                         "less": pa.array([texts[k] for k in changed], pa.string())})
+
+    changed = cut_lineage(dealt.groupBy("host", "part").applyInArrow(judge, "h string, key binary, less string"), "changed")
+    small = (changed.agg(F.sum(F.octet_length("less"))).first()[0] or 0) <= BROADCAST_BYTES
+    whole = F.array_join(F.transform(F.filter("blocks", lambda b: b["zone"] != "chrome"), lambda b: b["text"]), "\n\n")
+    return (stored.join(F.broadcast(changed) if small else changed, (F.col("host") == F.col("h")) & (F.col("layout") == F.col("key")), "left")
+            .select("page_id", "url", F.coalesce("less", whole).alias("text")).withColumn("n_chars", F.length("text").cast("long")))

@@ -251,3 +251,19 @@ def test_main_text(spark):
     assert got[2, None].text == "" and got[2, None].n_chars == 0
     assert all(got[10 + i, f"http://b.org/{i}"].text == f"Story number {i} is all about item{i} only" for i in range(5))
     assert html_text.main_text(df.where("false")).count() == 0
+
+
+def test_main_parts_are_judged_too(spark):
+    def article(i, more=""):
+        own = " ".join(f"w{i}x{k}" for k in range(30))
+        return f"<article><h1>Title {i}</h1><p>{own}</p>{more}</article>", f"Title {i}\n\n{own}"
+    line = "Sign up for our weekly letter and get the best of it by mail"
+    passage = "a passage that a few articles quote word by word from one source"
+    html, want = {}, {}
+    for i in range(40):
+        part, text = article(i, f"<p>{line}</p>" if i < 20 else f"<p>{passage}</p>" if i < 25 else "")
+        html[i] = f"<body><div>Lead of story {i}</div>{part}<div>Read in all our stories what you may like as well</div></body>"
+        want[i] = f"Lead of story {i}\n\n{text}" + (f"\n\n{passage}" if 20 <= i < 25 else "")
+    html[40], want[40] = f"<article><p>{line}</p></article>", line
+    df = spark.createDataFrame([(i, f"http://c.org/{i}", h) for i, h in html.items()], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == want
