@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazegrid.llm.common import slices
+from hazegrid.llm.common import BROADCAST_ROWS, slices
 from hazegrid.session import cut_lineage, scratch_path
 
 LONG = 8
@@ -142,18 +142,35 @@ def blocks(html: str) -> tuple[bool, list[tuple[str, str]]]:
     return has_main and any(z == "main" for z, _ in out), out
 
 
-def _windows(streams: list[tuple[int, ...]], long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens of the streams with a separator of its own after each, the class of the `long` tokens from each place on,
-    and for each class on how many streams it is found.
+def _joined(pages: list[list[str]]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Where each page's stream begins, and all distinct streams as numbers of words, each with a separator of its own (below
+    0) after it; whose each token is; and a 64-bit hash per number."""
+    number: dict[str, int] = {}
+    begins: dict[tuple[int, ...], int] = {}
+    of, at = [], 0
+    for words in pages:
+        s = tuple([number.setdefault(w, len(number)) for w in words])
+        if s not in begins:
+            begins[s] = at
+            at += len(s) + 1
+        of.append(begins[s])
+    tokens, owner, _ = _tokens(list(begins))
+    return of, tokens, owner, np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
+
+
+def _tokens(streams: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, int]:
+    sizes = np.array([len(s) + 1 for s in streams], np.int64)
+    owner = np.repeat(np.arange(len(streams)), sizes)
+    tokens = np.fromiter((t for k, s in enumerate(streams) for t in (*s, -1 - k)), np.int64, len(owner))
+    return tokens, owner, len(streams)
+
+
+def _windows(tokens: np.ndarray, owner: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of the `long` tokens from each place on, and for each class on how many streams and where first it is found.
 
     The suffixes are sorted by doubling until `long` tokens are compared: neighbours with equal ranks share that many."""
-    joined, owner = [], []
-    for k, s in enumerate(streams):
-        joined += [*s, -1 - k]
-        owner += [k] * (len(s) + 1)
-    if not joined:
+    if not len(tokens):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    tokens, owner = np.array(joined), np.array(owner)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     width = 1
     while width < long:
@@ -165,7 +182,27 @@ def _windows(streams: list[tuple[int, ...]], long: int) -> tuple[np.ndarray, np.
     order = np.argsort(rank, kind="stable")
     begins = np.diff(rank[order], prepend=-1) != 0
     fresh = begins | (np.diff(owner[order], prepend=-1) != 0)
-    return tokens, rank, np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(begins))
+    return rank, np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(begins)), order[begins]
+
+
+def _hashes(tokens: np.ndarray, words: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of `long` tokens without a separator begin, and their hashes, which are the same in every group."""
+    n = len(tokens)
+    each = words[np.maximum(tokens, 0)] if len(words) else np.zeros(n, np.uint64)
+    out = np.zeros(max(n - long + 1, 0), np.uint64)
+    for k in range(long):
+        out += each[k:k + len(out)] * np.uint64(xxhash.xxh3_64_intdigest(f"place {k}") | 1)
+    ends = np.concatenate([[0], np.cumsum(tokens < 0)])
+    at = np.flatnonzero(ends[long:] == ends[:len(out)]) if len(out) else np.zeros(0, np.int64)
+    return at, out[at].view(np.int64)
+
+
+def _found(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The index of each hash in `wanted`, which is sorted, or -1."""
+    if not len(wanted):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+    return np.where(wanted[at] == hashes, at, -1)
 
 
 def _inside(begins: np.ndarray, n: int, long: int) -> np.ndarray:
@@ -181,7 +218,8 @@ def covered(pages: list[list[int]], long: int = LONG, least: int = 2) -> list[np
 
     The pages are concatenated and their suffixes sorted. Pages with equal streams count once."""
     streams = list({tuple(p): None for p in pages})
-    tokens, rank, counts = _windows(streams, long)
+    tokens, owner, _ = _tokens(streams)
+    rank, counts, _ = _windows(tokens, owner, long)
     inside = _inside(np.flatnonzero(counts[rank] >= least), len(tokens), long)
     out, at = {}, 0
     for s in streams:
@@ -229,19 +267,40 @@ def main_least(n: int) -> int:
     return max(MAIN_PAGES, -(-n // MAIN_SHARE))
 
 
-def unique_runs(pages: list[list[tuple[str, str]]], long: int = LONG) -> list[str]:
-    """For the pages of one host, the runs of their main and open blocks that are no boilerplate, joined."""
-    number: dict[str, int] = {}
-    streams = [tuple(number.setdefault(w, len(number)) for _, text in page for w in text.split()) for page in pages]
-    begins, at = {}, 0
-    for s in streams:
-        if s not in begins:
-            begins[s] = at
-            at += len(s) + 1
-    tokens, rank, counts = _windows(list(begins), long)
-    twice = _inside(np.flatnonzero(counts[rank] >= 2), len(tokens), long)
-    wide = _inside(np.flatnonzero(counts[rank] >= main_least(len(begins))), len(tokens), long)
-    return [_kept(page, twice[begins[s]:], wide[begins[s]:], long) for page, s in zip(pages, streams, strict=True)]
+def unique_runs(pages: list[list[tuple[str, str]]], long: int = LONG, shared: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
+    """For pages of one host, the runs of their main and open blocks that are no boilerplate, joined. The pages are all of
+    the host, unless `shared` has the hashes of windows that two of its pages have, and of those that enough have for main parts."""
+    words = [[w for _, text in page for w in text.split()] for page in pages]
+    of, tokens, owner, hashes = _joined(words)
+    if shared is None:
+        rank, counts, _ = _windows(tokens, owner, long)
+        often = counts[rank]
+        begins = [np.flatnonzero(often >= least) for least in (2, main_least(int((tokens < 0).sum())))]
+    else:
+        at, own = _hashes(tokens, hashes, long)
+        begins = [at[_found(own, np.sort(x)) >= 0] for x in shared]
+    twice, wide = (_inside(x, len(tokens), long) for x in begins)
+    out = []
+    for page, own, at in zip(pages, words, of, strict=True):
+        end = at + len(own)
+        out.append(_kept(page, twice[at:end], wide[at:end], long) if twice[at:end].any() else _whole(page))
+    return out
+
+
+def _pack(page: list[tuple[str, str]]) -> str:
+    """A page's blocks as one text. No text of a block holds a separator of units: it is white space."""
+    return "\x1f".join(zone[0] + text for zone, text in page)
+
+
+def _unpack(group: pa.Table) -> dict[bytes, list[tuple[str, str]]]:
+    """The distinct pages of a group by their keys."""
+    zones = {"m": "main", "o": "open", "c": "chrome"}
+    out = {}
+    for key, size, packed in zip(group.column("layout").to_pylist(), group.column("size").to_pylist(), group.column("packed").to_pylist(), strict=True):
+        if key not in out:
+            text = pa.decompress(packed, size, "zstd", asbytes=True).decode()
+            out[key] = [(zones[x[0]], x[1:]) for x in text.split("\x1f")]
+    return out
 
 
 def _whole(page: list[tuple[str, str]]) -> str:
@@ -254,6 +313,9 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     Character references are decoded, white space inside a block becomes one space, and blocks are joined by an empty line.
     Pages are parsed once and written to the shared folder (runs jobs). Pages with blocks meet per host, at most about `pages`
     of them and GROUP_TOKENS tokens in a group, however many a host has; only the texts that boilerplate changes come back.
+    A host of several groups has the same result as in one: windows are counted over all of its groups by their 64-bit hashes.
+    Where the host has open blocks, each group gives the counts of all its windows. Elsewhere a passage of enough pages of
+    the host is one of enough pages of some group, so only such windows are then counted in all groups.
 
     Null and empty html give an empty text. A null url counts as a host of its own. Repeated rows give repeated rows
     (a page's copies are one page to the suffix array); an empty table gives an empty result; other columns are ignored."""
@@ -273,8 +335,7 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
             for part in slices(batch, "__html"):
                 found = [blocks(h or "")[1] for h in part.column("__html").to_pylist()]
                 joined = [" ".join(t for _, t in b) for b in found]
-                # no text of a block holds a separator of units: it is white space
-                layout = [xxhash.xxh3_128_digest("\x1f".join(z + t for z, t in b)) for b in found]
+                layout = [xxhash.xxh3_128_digest(_pack(b)) for b in found]
                 first = []
                 for key in zip(part.column("host").to_pylist(), layout, strict=True):
                     first.append(key not in seen)
@@ -290,19 +351,85 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     # A task sends one of a host's equal pages; pages with equal streams are dealt to one group.
     sent = stored.where(F.col("first") & (F.col("n_tokens") > 0)).select("host", "layout", "stream", "n_tokens", "blocks")
     parts = F.greatest(F.ceil(F.count("*") / pages), F.ceil(F.sum("n_tokens") / GROUP_TOKENS)).cast("int")
-    hosts = cut_lineage(sent.groupBy("host").agg(parts.alias("parts")).withColumnRenamed("host", "h"), "hosts")
-    dealt = (sent.join(hosts, F.col("host") == F.col("h"))
-             .withColumn("part", F.pmod(F.xxhash64("stream"), F.col("parts")).cast("int")).select("host", "part", "layout", "blocks"))
+    hosts = cut_lineage(sent.groupBy("host").agg(parts.alias("parts"), F.max(F.exists("blocks", lambda b: b["zone"] == "open")).alias("every"))
+                        .withColumnRenamed("host", "h"), "hosts")
+    at_host = F.col("host") == F.col("h")
 
-    def judge(group: pa.Table) -> pa.Table:
-        found = {k: [(b["zone"], b["text"]) for b in r] for k, r in zip(group.column("layout").to_pylist(), group.column("blocks").to_pylist(), strict=True)}
-        texts = dict(zip(found, unique_runs(list(found.values()), long), strict=True))
+    def pack(batches):
+        for batch in batches:
+            texts = [_pack([(b["zone"], b["text"]) for b in r]).encode() for r in batch.column("blocks").to_pylist()]
+            codec = pa.Codec("zstd", compression_level=6)
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("layout"), batch.column("stream"), pa.array(map(len, texts), pa.int64()),
+                                              pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], names=["host", "layout", "stream", "size", "packed"])
+
+    packed = sent.select("host", "layout", "stream", "blocks").mapInArrow(pack, "host string, layout binary, stream long, size long, packed binary")
+    dealt = (packed.join(hosts, at_host).withColumn("part", F.pmod(F.xxhash64("stream"), F.col("parts")).cast("int"))
+             .select("host", "part", "parts", "every", "layout", "size", "packed"))
+    several = dealt.where("parts > 1")
+
+    def only(df: DataFrame, listed: DataFrame, *keys: str) -> DataFrame:
+        listed = cut_lineage(listed.select(*keys).distinct(), "listed")
+        return df.join(F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed, list(keys), "left_semi").select(df.columns)
+
+    def rows(group: pa.Table, hashes, n, above) -> pa.Table:
+        host, part = (group.column(c)[0].as_py() if group.num_rows else None for c in ("host", "part"))
+        hashes = pa.array(hashes, pa.int64())
+        return pa.table({"host": pa.array([host] * len(hashes), pa.string()), "part": pa.array([part] * len(hashes), pa.int32()), "window": hashes, "n": pa.array(n, pa.int64()),
+                         "above": pa.array(above, pa.int64())})
+
+    def tally(group: pa.Table) -> pa.Table:
+        _, tokens, owner, words = _joined([[w for _, t in page for w in t.split()] for page in _unpack(group).values()])
+        _, counts, first = _windows(tokens, owner, long)
+        streams = int((tokens < 0).sum())
+        least = 1 if group.column("every")[0].as_py() else -(-streams // MAIN_SHARE)
+        often = np.zeros(len(tokens), np.int64)
+        often[first] = counts
+        at, hashes = _hashes(tokens, words, long)
+        often, hashes = often[at][often[at] >= least], hashes[often[at] >= least]
+        # the row without a window has the number of distinct streams, and the most that a window not given here can have
+        return rows(group, [None, *hashes.tolist()], [streams, *often.tolist()], [least - 1, *(often - least + 1).tolist()])
+
+    def count(group: pa.Table, windows: pa.Table) -> pa.Table:
+        if not group.num_rows or not windows.num_rows:
+            return rows(group, [], [], [])
+        _, tokens, owner, words = _joined([[w for _, t in page for w in t.split()] for page in _unpack(group).values()])
+        at, hashes = _hashes(tokens, words, long)
+        wanted = np.sort(windows.column("window").to_numpy())
+        found = _found(hashes, wanted)
+        pairs = np.unique(np.stack([found, owner[at]])[:, found >= 0], axis=1)
+        n = np.bincount(pairs[0], minlength=len(wanted))
+        return rows(group, wanted[n > 0], n[n > 0], n[n > 0])
+
+    def judge(group: pa.Table, windows: pa.Table | None) -> pa.Table:
+        found, shared = _unpack(group), None
+        if windows is not None:
+            hashes, wide = windows.column("window").to_numpy(), windows.column("wide").to_numpy(zero_copy_only=False).astype(bool)
+            shared = hashes, hashes[wide]
+        texts = dict(zip(found, unique_runs(list(found.values()), long, shared), strict=True))
         changed = [k for k, page in found.items() if texts[k] != _whole(page)]
-        return pa.table({"h": pa.array([group.column("host")[0].as_py()] * len(changed), pa.string()), "key": pa.array(changed, pa.binary()),
-                         "less": pa.array([texts[k] for k in changed], pa.string())})
-
-    changed = cut_lineage(dealt.groupBy("host", "part").applyInArrow(judge, "h string, key binary, less string"), "changed")
+        return pa.table({"h": pa.array([group.column("host")[0].as_py()] * len(changed), pa.string()) if changed else pa.array([], pa.string()),
+                         "key": pa.array(changed, pa.binary()), "less": pa.array([texts[k] for k in changed], pa.string())})
+
+    form = "host string, part int, window long, n long, above long"
+    tallied = cut_lineage(several.groupBy("host", "part").applyInArrow(tally, form), "tallied")
+    totals = tallied.where("window is null").groupBy("host").agg(F.sum("n").alias("total"), F.sum("above").alias("unseen")).join(hosts, at_host)
+    totals = totals.select("h", "every", "parts", "unseen", "total", F.greatest(F.lit(MAIN_PAGES), F.ceil(F.col("total") / MAIN_SHARE)).alias("least"))
+    totals = cut_lineage(totals, "totals")
+    seen = tallied.where("window is not null").join(totals, at_host)
+    # what cannot reach the least number, even with the most that the other groups can have, need not be counted
+    hopeful = seen.where("not every").groupBy("host", "window", "parts", "unseen", "least").agg(F.sum("above").alias("above")).where("above + unseen >= least")
+    hopeful = cut_lineage(hopeful.select("host", "window", "parts"), "hopeful")
+    wanted = hopeful.select("host", "window", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    counted = only(several, hopeful, "host").groupBy("host", "part").cogroup(wanted.groupBy("host", "part")).applyInArrow(count, form)
+    everywhere = (seen.where("every").select("host", "part", "window", "n", "above").unionByName(counted)
+                  .groupBy("host", "window").agg(F.sum("n").alias("n"), F.collect_list("part").alias("in")).join(totals, at_host)
+                  .withColumn("wide", F.col("n") >= F.col("least")))
+    shared = cut_lineage(everywhere.where("wide or every and n > 1").select("host", F.explode("in").alias("part"), "window", "wide"), "shared")
+    alone = dealt.where("parts = 1").groupBy("host", "part").applyInArrow(lambda group: judge(group, None), "h string, key binary, less string")
+    judged = alone.unionByName(only(several, shared, "host", "part").groupBy("host", "part").cogroup(shared.groupBy("host", "part")).applyInArrow(
+        judge, "h string, key binary, less string"))
+    changed = cut_lineage(judged, "changed")
     small = (changed.agg(F.sum(F.octet_length("less"))).first()[0] or 0) <= BROADCAST_BYTES
     whole = F.array_join(F.transform(F.filter("blocks", lambda b: b["zone"] != "chrome"), lambda b: b["text"]), "\n\n")
-    return (stored.join(F.broadcast(changed) if small else changed, (F.col("host") == F.col("h")) & (F.col("layout") == F.col("key")), "left")
+    return (stored.join(F.broadcast(changed) if small else changed, at_host & (F.col("layout") == F.col("key")), "left")
             .select("page_id", "url", F.coalesce("less", whole).alias("text")).withColumn("n_chars", F.length("text").cast("long")))

@@ -267,3 +267,23 @@ def test_main_parts_are_judged_too(spark):
     html[40], want[40] = f"<article><p>{line}</p></article>", line
     df = spark.createDataFrame([(i, f"http://c.org/{i}", h) for i, h in html.items()], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == want
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_groups_of_a_host_give_the_result_of_one(spark, marked):
+    draw = random.Random(3)
+    lines = [" ".join(f"line{k}w{j}" for j in range(10)) for k in range(30)]
+    often = "Sign up for our weekly letter and get the best of it by mail"
+
+    def page(i):
+        own = "".join(f"<p>{' '.join(f'p{i}b{b}w{j}' for j in range(12))}</p>" for b in range(2))
+        some = "".join(f"<p>{x}</p>" for x in draw.sample(lines, 2))
+        body = f"{own}{some}" + (f"<p>{often}</p>" if i % 4 == 0 else "")
+        return f"<article>{body}</article>" if marked else f"<div>{body}</div>"
+    html = [page(i) for i in range(60)]
+    rows = [(i, "http://d.org/x", h) for i, h in enumerate(html + html[:5])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert {r.page_id: r.text for r in html_text.main_text(df.repartition(3), pages=7).collect()} == one
+    assert len(one) == 65 and not any(often in t for t in one.values())
+    assert all((lines[0] in one[i]) == (marked and lines[0] in h) for i, _, h in rows)
