@@ -55,7 +55,18 @@ MARKED = {"div", "section", "ul", "ol", "p", "span", "table", "dl", "details", "
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>""", re.S)
 _unfinished = re.compile(r"<[A-Za-z/!?][^>]*\Z")
 _marks = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_hidden = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none""", re.I)
+# One attribute: its name, and its value if it has one.
+_attribute = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_no_display = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+
+
+def _hidden(attributes: str) -> bool:
+    """Whether an element has the attribute `hidden` (but for `until-found`), or a style that does not display it."""
+    for m in _attribute.finditer(attributes):
+        name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
+        if name == "hidden" and value.strip().lower() != "until-found" or name == "style" and _no_display.search(value):
+            return True
+    return False
 
 
 def _is_chrome(name: str, attributes: str) -> bool:
@@ -63,7 +74,7 @@ def _is_chrome(name: str, attributes: str) -> bool:
         return True
     if not attributes or name not in MARKED:
         return False
-    if _hidden.search(attributes):
+    if _hidden(attributes):
         return True
     names = [n for m in _marks.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()]
     parts = [re.split(r"[^a-z]+", n) for n in names]

@@ -287,3 +287,13 @@ def test_groups_of_a_host_give_the_result_of_one(spark, marked):
     assert {r.page_id: r.text for r in html_text.main_text(df.repartition(3), pages=7).collect()} == one
     assert len(one) == 65 and not any(often in t for t in one.values())
     assert all((lines[0] in one[i]) == (marked and lines[0] in h) for i, _, h in rows)
+
+
+@pytest.mark.parametrize(("attributes", "hidden"), [
+    ('class="overflow-hidden"', False), ('aria-hidden="false"', False), ('title="Hidden valley"', False), ("title='display: none'", False),
+    ('data-hidden="1"', False), ('hidden="until-found"', False), ("hidden", True), ('class="a" HIDDEN=""', True), ('style="color:red; display : none"', True),
+])
+def test_hidden_is_an_attribute(attributes, hidden):
+    for name in ("article", "div"):
+        zone = "chrome" if hidden else "main" if name == "article" else "open"
+        assert html_text.blocks(f"<{name} {attributes}>text</{name}>")[1] == [(zone, "text")]
