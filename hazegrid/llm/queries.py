@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from hazegrid.llm import exact_dedup, html_text, jaccard_join, mixing, packing, quality, secret_scan, token_counts, token_files, toxicity
+from hazegrid.llm import (exact_dedup, html_text, jaccard_join, mixing, packing, quality, secret_scan, token_counts, token_files, toxicity,
+                          vector_codes)
 from hazegrid.llm.common import table
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op8_best_fit_packing": lambda spark, d: packing.best_fit_packing(table(spark, d, "documents")),
     "op9_token_files": lambda spark, d: token_files.token_files(table(spark, d, "documents")),
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
+    "op11_vector_codes": lambda spark, d: vector_codes.vector_codes(table(spark, d, "embeddings")),
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.ORACLE,
     "op2_curriculum_mix": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
 }
