@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from hazegrid.llm import (exact_dedup, html_text, jaccard_join, mixing, packing, quality, secret_scan, token_counts, token_files, toxicity,
-                          vector_codes)
+from hazegrid.llm import (exact_dedup, html_text, jaccard_join, mixing, packing, quality, secret_scan, simhash, token_counts, token_files,
+                          toxicity, vector_codes)
 from hazegrid.llm.common import table
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_token_files": lambda spark, d: token_files.token_files(table(spark, d, "documents")),
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
     "op11_vector_codes": lambda spark, d: vector_codes.vector_codes(table(spark, d, "embeddings")),
+    "op12_simhash": lambda spark, d: simhash.simhash_classes(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
