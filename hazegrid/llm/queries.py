@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from hazegrid.llm import (exact_dedup, html_text, jaccard_join, mixing, packing, quality, secret_scan, simhash, token_counts, token_files,
-                          toxicity, vector_codes)
+                          toxicity, vector_codes, whitening)
 from hazegrid.llm.common import table
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
     "op11_vector_codes": lambda spark, d: vector_codes.vector_codes(table(spark, d, "embeddings")),
     "op12_simhash": lambda spark, d: simhash.simhash_classes(table(spark, d, "documents")),
+    "op13_whitening": lambda spark, d: whitening.whitened(table(spark, d, "embeddings")),
 }
 
 ORACLES: dict[str, str] = {
