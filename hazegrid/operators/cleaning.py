@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hazegrid.functions.calendar import hour_of
 from hazegrid.functions.units import to_mass_units, within_physical_range, TARGET_UNIT
 from hazegrid.operators.lookup import dedupe, join_on
-from hazegrid.operators.ordering import over_hours, over_rows
+from hazegrid.operators.ordering import last_known, over_rows
 from hazegrid.session import cut_lineage
 from hazegrid.schema import CLEANED, CLIP_K, FILL_HOURS, FILL_ROWS, FLAG_K, POLLUTANTS, normalize
 
@@ -68,13 +68,8 @@ def deduplicate(
 # ---- gaps -------------------------------------------------------------------------------
 
 def carry_forward_hours(df: DataFrame, cols: list[str], hours: float = FILL_HOURS) -> DataFrame:
-    """Fill a null with the station's last value if that is at most `hours` old.
-
-    All columns share one window; a block needs no more than `hours` of earlier rows.
-    """
-    return over_hours(
-        df, ["station_id"], "ts", lambda w: {c: F.last(c, ignorenulls=True).over(w) for c in cols}, hours,
-    )
+    """Fill a null with the station's last value if that is at most `hours` old. All columns share one window."""
+    return last_known(df, ["station_id"], "ts", cols, hours)
 
 
 def carry_forward_rows(
@@ -83,7 +78,7 @@ def carry_forward_rows(
     """Fill a null with the last value among the `rows` readings before it, per station and
     parameter."""
     return over_rows(
-        long, ["station_id", "parameter"], [F.col(c) for c in order], F.date_trunc("hour", "ts"),
+        long, ["station_id", "parameter"], [F.col(c) for c in order],
         lambda w: {value: F.last(value, ignorenulls=True).over(w.rowsBetween(-rows, 0))}, before=rows,
     )
 

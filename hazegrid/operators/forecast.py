@@ -42,8 +42,7 @@ def lag_features(df: DataFrame, order: list[str] = ["ts"], past_only: bool = Fal
             "pm25_roll24": roll, "target": F.lead("pm25", 1).over(w),
         }
 
-    return over_rows(
-        df, ["station_id"], [F.col(c) for c in order], F.date_trunc("day", "ts"), columns, before=24, after=1)
+    return over_rows(df, ["station_id"], [F.col(c) for c in order], columns, before=24, after=1)
 
 
 def feature_frame(df: DataFrame, weather: bool = True, past_only: bool = False) -> DataFrame:
@@ -59,15 +58,13 @@ def feature_frame(df: DataFrame, weather: bool = True, past_only: bool = False)
 
 def chronological_split(features: DataFrame, share: float = 0.8) -> DataFrame:
     """Add ``is_train``: the first `share` of each station's rows by time."""
-    placed = with_position(features, ["station_id"], [F.col("ts")], F.date_trunc("day", "ts"), "_pos", "_total")
+    placed = with_position(features, ["station_id"], [F.col("ts")], "_pos", "_total")
     return placed.withColumn("is_train", F.col("_pos") <= F.floor(F.col("_total") * share)).drop("_pos", "_total")
 
 
 def training_table(df: DataFrame, weather: bool = True, share: float = 0.8) -> DataFrame:
-    """Features with the training flag. The features are written to the shared folder before
-    they are numbered, and so is the result, which every fit reads many times; runs those jobs."""
-    features = cut_lineage(feature_frame(df, weather), "features")
-    return cut_lineage(chronological_split(features, share), "split")
+    """Features with the training flag, written to the shared folder, because every fit reads them many times. Runs jobs."""
+    return cut_lineage(chronological_split(feature_frame(df, weather), share), "split")
 
 
 # ---- evaluation -------------------------------------------------------------------------

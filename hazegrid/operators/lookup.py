@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,11 +37,9 @@ def missing_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
 def dedupe(df: DataFrame, keys: list[str], prefer: list) -> DataFrame:
     """One row per key: the smallest by `prefer`, then by every other column.
 
-    A minimum over a struct is combined before the shuffle, so a key with very many copies
-    costs no more than one row per task. Nulls sort first. Put the most varied key first.
+    A task keeps one row per key before the shuffle, so a key with very many copies costs no more than one row per task.
+    Nulls sort first. Put the most varied key first.
     """
     rest = [c for c in df.columns if c not in keys]
-    order = F.struct(*[p.alias(f"_p{i}") for i, p in enumerate(prefer)], *[F.col(c) for c in rest])
-    return df.groupBy(*keys).agg(F.min(order).alias("_best")).select(
-        *keys, *[F.col("_best")[c].alias(c) for c in rest]
-    ).select(*df.columns)
+    best = Window.partitionBy(*keys).orderBy(*prefer, *[F.col(c) for c in rest])
+    return df.withColumn("_place", F.row_number().over(best)).where("_place = 1").drop("_place")

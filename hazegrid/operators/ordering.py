@@ -2,15 +2,13 @@
 
 A plain ``Window.partitionBy(station).orderBy(ts)`` puts a whole station into one task. With
 few stations, or one that holds a third of all rows, that task never ends. The helpers here
-cut every group along its order into pieces of bounded size and give each piece the few
-neighbour rows its window frame can reach, so the result is the same as that of the plain
-window.
+sort all rows once, cut the order into pieces of about as many rows each, and give each piece what
+its windows need of the others: the number of rows before it, the few neighbours a frame can reach, or
+the last known values. The result is the same as that of the plain window.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,32 +23,38 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def with_position(
-    df: DataFrame, keys: list[str], order: list[Column], bin: Column,
-    pos: str = "pos", total: str | None = None,
-) -> DataFrame:
+def in_pieces(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The rows sorted by `keys` and `order` and cut into pieces of about as many rows each, with ``_piece`` and ``_at``, a number that grows
+    along the order and by one from row to row of a piece.
+
+    Spark samples the sort key, partitions by ranges of it and sorts every range; a station, an hour or one time with very many rows
+    is cut like any other part of the order. Ties go by the remaining values, and rows that are alike in all columns by their place in the input, so that they too can be told
+    apart. Nulls come first. The pieces are written to the shared folder, where each row keeps its number; runs that job.
+    """
+    rest = F.xxhash64(*[F.col(c) for c in df.columns])
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order, rest, F.col("_row")]
+    placed = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    stored = cut_lineage(placed.drop("_row").withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    return stored.withColumn("_piece", F.shiftright("_at", 33))
+
+
+def with_position(df: DataFrame, keys: list[str], order: list[Column], pos: str = "pos", total: str | None = None) -> DataFrame:
     """Add the 1-based row number within `keys` by `order`, and optionally the group size.
 
-    `bin` must never decrease along `order` (a month for timestamps, a value range for
-    scores). Rows are numbered inside each (keys, bin); the sizes of the earlier bins are
-    added on top. Only the bin sizes, one row per (keys, bin), meet in one task per group. Rows
-    whose key or order value is null stay in the result without a position.
+    The input is evaluated into pieces once. A row's number is its place in its piece plus the rows of its group in
+    earlier pieces; those counts, one row per piece and group in it, are all that meets. Null keys are a group, null order values come first.
+    Runs the job that writes the pieces.
     """
-    binned = df.withColumn("_bin", bin)
-    sizes = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy(*keys).orderBy("_bin")
-    offsets = sizes.select(
-        *keys, "_bin",
-        (F.sum("_n").over(along) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_size"),
-    )
-    inside = Window.partitionBy(*keys, "_bin").orderBy(*order)
-    numbered = binned.withColumn("_rn", F.row_number().over(inside))
-    out = join_on(numbered, offsets, [*keys, "_bin"])  # reuses the window's partitioning
-    out = out.withColumn(pos, F.col("_rn") + F.col("_before"))
+    rows = in_pieces(df, keys, order)
+    counts = rows.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    group = Window.partitionBy(*keys)
+    offsets = counts.select(
+        *keys, "_piece", (F.sum("_n").over(group.orderBy("_piece")) - F.col("_n") - F.col("_first") + 1).alias("_shift"),
+        F.sum("_n").over(group).alias("_size"))
+    out = join_on(rows, offsets, [*keys, "_piece"], "inner", null_safe=True).withColumn(pos, F.col("_at") + F.col("_shift"))
     if total:
         out = out.withColumn(total, F.col("_size"))
-    return out.drop("_bin", "_rn", "_before", "_size")
+    return out.drop("_piece", "_at", "_shift", "_size")
 
 
 def blocks_by_position(
@@ -74,57 +78,47 @@ def blocks_by_position(
     )
 
 
-def blocks_by_time(
-    df: DataFrame, ts: str, lookback_hours: float, block_hours: int = 168,
-    block: str = "_block", core: str = "_core", clock: str = "_us",
-) -> DataFrame:
-    """Add a time block, and repeat the last `lookback_hours` of a block in the next one. A block is at least as long as that."""
-    width = max(block_hours, math.ceil(lookback_hours)) * MICROS_PER_HOUR
-    margin = int(lookback_hours * MICROS_PER_HOUR)
-    us = F.col(clock)
-    # Whole-number arithmetic; dates before 1970 fall into the block below, not towards zero.
-    into = F.pmod(us, F.lit(width))
-    here = ((us - into) / width).cast("long")
-    tail = into >= width - margin
-    homes = F.array(
-        F.struct(here.alias("b"), F.lit(True).alias("c")),
-        F.when(tail, F.struct((here + 1).alias("b"), F.lit(False).alias("c"))),
-    )
-    return (
-        df.withColumn(clock, micros(F.col(ts)))
-        .withColumn("_home", F.explode(F.array_compact(homes)))
-        .withColumns({block: F.col("_home.b"), core: F.col("_home.c")})
-        .drop("_home")
-    )
-
-
 def over_rows(
-    df: DataFrame, keys: list[str], order: list[Column], bin: Column,
+    df: DataFrame, keys: list[str], order: list[Column],
     columns, before: int, after: int = 0, size: int = 10_000, pos: str = "_pos", keep_pos: bool = False,
 ) -> DataFrame:
     """Add window columns whose frames reach at most `before` rows back and `after` ahead.
 
-    `columns(window)` returns {name: Column} for a window over the ordered rows of a group.
+    `columns(window)` returns {name: Column} for a window over the ordered rows of a group. Runs the job of `with_position`.
     """
-    placed = blocks_by_position(with_position(df, keys, order, bin, pos=pos), pos, before, after, size)
+    placed = blocks_by_position(with_position(df, keys, order, pos=pos), pos, before, after, size)
     window = Window.partitionBy(*keys, "_block").orderBy(pos)
     out = placed.withColumns(columns(window)).where("_core").drop("_block", "_core")
     return out if keep_pos else out.drop(pos)
 
 
-def over_hours(
-    df: DataFrame, keys: list[str], ts: str, columns, hours: float, block_hours: int = 168,
-) -> DataFrame:
-    """Add window columns whose frames reach at most `hours` back in time.
+def last_known(df: DataFrame, keys: list[str], ts: str, cols: list[str], hours: float) -> DataFrame:
+    """Replace nulls of `cols` by the group's last value before them that is at most `hours` old.
 
-    `columns(window)` gets a window ordered by microseconds and ranged over those hours.
+    Rows lie in pieces of equal size, however many fall into one hour. What a piece knows of each column at its end is handed to
+    the pieces of the same group behind it, so no rows are repeated: only groups that go on in another piece have such a state,
+    and only rows of their last `hours` make it up. Rows of one time are taken in the order of `in_pieces`; a row without a time fills and is filled by nothing.
+    Runs the job that writes the pieces.
     """
-    placed = blocks_by_time(df, ts, hours, block_hours)
-    window = (
-        Window.partitionBy(*keys, "_block").orderBy("_us")
-        .rangeBetween(-int(hours * MICROS_PER_HOUR), Window.currentRow)
-    )
-    return placed.withColumns(columns(window)).where("_core").drop("_block", "_core", "_us")
+    reach = int(hours * MICROS_PER_HOUR)
+    rows = in_pieces(df.withColumn("_us", micros(F.col(ts))), keys, [F.col("_us")])
+    ends = rows.groupBy(*keys, "_piece").agg(F.max("_us").alias("_end"))
+    group = Window.partitionBy(*keys).orderBy("_piece")
+    going_on = ends.withColumn("_next", F.lead("_piece").over(group)).where("_next is not null")
+
+    def entry(c: str) -> Column:
+        return F.when(F.col(c).isNotNull() & F.col("_us").isNotNull(), F.struct("_at", "_us", F.col(c).alias("v")))
+
+    tails = join_on(rows, going_on, [*keys, "_piece"], "inner", null_safe=True).where(F.col("_us") >= F.col("_end") - reach)
+    at_end = tails.groupBy(*keys, F.col("_next").alias("_piece")).agg(*[F.max(entry(c)).alias(f"_s_{c}") for c in cols])
+    states = at_end.select(*keys, "_piece", *[F.last(f"_s_{c}", ignorenulls=True).over(
+        group.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_k_{c}") for c in cols])
+    inside = Window.partitionBy(*keys, "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    known = join_on(rows, states, [*keys, "_piece"], "left", null_safe=True).withColumns(
+        {f"_k_{c}": F.coalesce(F.last(entry(c), ignorenulls=True).over(inside), F.col(f"_k_{c}")) for c in cols})
+    return known.select(*[
+        F.coalesce(F.col(c), F.when(F.col("_us") - F.col(f"_k_{c}")["_us"] <= reach, F.col(f"_k_{c}")["v"])).alias(c)
+        if c in cols else F.col(c) for c in df.columns])
 
 
 def value_bins(values: DataFrame, value: str, keys: list[str] = []) -> DataFrame:

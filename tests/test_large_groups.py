@@ -26,7 +26,7 @@ def series(spark):
 
 
 def test_positions(series, rows):
-    placed = ordering.with_position(series, ["station_id"], [c("ts"), c("id")], F.date_trunc("day", "ts"), "pos", "size")
+    placed = ordering.with_position(series, ["station_id"], [c("ts"), c("id")], "pos", "size")
     w = Window.partitionBy("station_id")
     want = series.select("id", F.row_number().over(w.orderBy("ts", "id")).cast("long"), F.count("*").over(w))
     assert rows(placed, "id", "pos", "size") == rows(want)
@@ -37,7 +37,7 @@ def test_row_windows(series, rows, size):
     def cols(w):
         return {"a": F.lag("pm25", 3).over(w), "b": F.lead("pm25", 2).over(w),
                 "n": F.count("pm25").over(w.rowsBetween(-3, 1))}
-    got = ordering.over_rows(series, ["station_id"], [c("ts"), c("id")], F.date_trunc("hour", "ts"), cols, 3, 2, size)
+    got = ordering.over_rows(series, ["station_id"], [c("ts"), c("id")], cols, 3, 2, size)
     plain = cols(Window.partitionBy("station_id").orderBy("ts", "id"))
     want = series.select("id", *[e.alias(k) for k, e in plain.items()])
     assert rows(got, "id", "a", "b", "n") == rows(want)
@@ -46,23 +46,88 @@ def test_row_windows(series, rows, size):
 def test_blocks_are_as_long_as_their_margins(series, rows):
     def cols(w):
         return {"a": F.lag("pm25", 11).over(w)}
-    got = ordering.over_rows(series, ["station_id"], [c("ts"), c("id")], F.date_trunc("hour", "ts"), cols, 11, 0, 4)
+    got = ordering.over_rows(series, ["station_id"], [c("ts"), c("id")], cols, 11, 0, 4)
     want = series.select("id", F.lag("pm25", 11).over(Window.partitionBy("station_id").orderBy("ts", "id")).alias("a"))
     assert rows(got, "id", "a") == rows(want)
-    unique = dedupe(series, ["station_id", "ts"], [c("id")])
-    wide = ordering.over_hours(unique, ["station_id"], "ts", lambda w: {"v": F.last("pm25", True).over(w)}, 200, 100)
-    w = Window.partitionBy("station_id").orderBy(ordering.micros(c("ts"))).rangeBetween(-200 * 3_600_000_000, 0)
-    assert rows(wide, "id", "v") == rows(unique.select("id", F.last("pm25", True).over(w)))
-
-
-@pytest.mark.parametrize("block", [3, 5, 168])
-def test_hour_windows(series, rows, block):
-    unique = dedupe(series, ["station_id", "ts"], [c("id")])
-    got = ordering.over_hours(unique, ["station_id"], "ts", lambda w: {"v": F.last("pm25", True).over(w)}, 3, block)
-    us = ordering.micros(c("ts"))
-    w = Window.partitionBy("station_id").orderBy(us).rangeBetween(-3 * 3_600_000_000, 0)
-    assert rows(got, "id", "v") == rows(unique.select("id", F.last("pm25", True).over(w)))
-    assert got.count() == unique.count()
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """A third of all rows lie in one station and one hour, another third at one of two instants; keys and times may be null, rows repeat."""
+    return spark.range(4500).select(
+        F.when(c("id") % 3 < 2, "HOT").when(c("id") % 100 == 2, None).otherwise(F.concat(F.lit("S"), (c("id") % 5).cast("string"))).alias("station_id"),
+        F.when(c("id") % 3 == 0, F.expr("cast('2024-01-01 07:00:00' as timestamp_ntz) + make_dt_interval(0, 0, 0, id * 7 % 3600 + id / 1000000)"))
+        .when(c("id") % 3 == 1, F.expr("cast('2024-01-01 09:00:00' as timestamp_ntz) + make_dt_interval(0, 0, 0, id % 2)"))
+        .when(c("id") % 50 == 2, None)
+        .otherwise(F.expr("cast('2024-01-01' as timestamp_ntz) + make_dt_interval(0, cast(id * 11 % 900 as int), cast(id % 60 as int), 0)")).alias("ts"),
+        F.when(c("id") * 17 % 7 > 4, c("id") * 37 % 1000 / 10).alias("pm25"), F.when(c("id") * 13 % 97 == 0, c("id") % 30 + 0.5).alias("pm10"),
+        "id")
+
+
+def pieces_of(df, keys, order):
+    placed = ordering.in_pieces(df, keys, order)
+    return [r["n"] for r in placed.groupBy("_piece").agg(F.count("*").alias("n")).collect()]
+
+
+def test_pieces_are_even_however_the_rows_lie(crowded, spark):
+    """No piece has more than three times its share, whether rows crowd in one hour, at one instant, or are all alike."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for df in (crowded, crowded.select(F.lit("A").alias("station_id"), F.lit(1).alias("ts"))):
+            sizes = pieces_of(df, ["station_id"], [c("ts")])
+            assert len(sizes) > 8 and max(sizes) < 3 * sum(sizes) / len(sizes) and sum(sizes) == 4500
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_positions_in_crowds(crowded, rows):
+    placed = ordering.with_position(crowded, ["station_id"], [c("ts"), c("id")], "pos", "size")
+    w = Window.partitionBy("station_id")
+    want = crowded.select("id", F.row_number().over(w.orderBy("ts", "id")).cast("long"), F.count("*").over(w))
+    assert rows(placed, "id", "pos", "size") == rows(want)
+    assert ordering.with_position(crowded.where("false"), ["station_id"], [c("ts")]).count() == 0
+
+
+def test_plans_scan_their_input_once(spark, crowded, tmp_path):
+    """The input's file occurs in no plan of the result; the job that wrote the pieces scanned it."""
+    crowded.write.parquet(str(tmp_path / "input"))
+    df = spark.read.parquet(str(tmp_path / "input"))
+    for out in (forecast.chronological_split(df.select("station_id", "ts", "id")), forecast.lag_features(df)):
+        assert str(tmp_path) not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("hours", [0.5, 3, 200])
+@pytest.mark.parametrize("parts", [1, 16])
+def test_last_known_values(crowded, series, rows, spark, hours, parts):
+    """Equal to one unlimited window per station, whatever lies in one hour; a value may come from many pieces before."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        for df in (crowded, series):
+            # one row for each time, so that the order is given
+            unique = dedupe(df.where("ts is not null"), ["station_id", "ts"], [c("id")])
+            got = rows(ordering.last_known(unique, ["station_id"], "ts", ["pm25", "pm10"], hours), "id", "pm25", "pm10")
+            us = ordering.micros(c("ts"))
+            w = Window.partitionBy("station_id").orderBy(us).rowsBetween(Window.unboundedPreceding, 0)
+
+            def filled(p):
+                last = F.last(F.when(c(p).isNotNull(), F.struct(us.alias("us"), c(p).alias("v"))), ignorenulls=True).over(w)
+                return F.when(us - last["us"] <= int(hours * 3_600_000_000), last["v"])
+
+            assert got == rows(unique.select("id", filled("pm25"), filled("pm10")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_last_known_without_times(spark, rows):
+    df = spark.createDataFrame([("A", None, 1.0), ("A", None, None), (None, 5, None), (None, 4, 2.0)], "station_id string, t int, v double")
+    df = df.withColumn("ts", F.expr("cast('2024-01-01' as timestamp_ntz) + make_dt_interval(0, t)"))
+    got = ordering.last_known(df, ["station_id"], "ts", ["v"], 3)
+    assert rows(got, "station_id", "t", "v") == sorted([("A", None, 1.0), ("A", None, None), (None, 5, 2.0), (None, 4, 2.0)], key=repr)
+    assert ordering.last_known(df.where("false"), ["station_id"], "ts", ["v"], 3).count() == 0
 
 
 def test_rank(series, rows):
