@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hazegrid.functions.aqi import index_ceiling
 from hazegrid.functions.atmosphere import boundary_layer_height, clip
 from hazegrid.functions.calendar import by_season, hour_of, with_calendar
+from hazegrid.operators.fitted import fit_linear, predictor, score_linear, with_row
 from hazegrid.operators.lookup import join_on
 from hazegrid.operators.ordering import over_rows, with_position
 from hazegrid.schema import SEASONS
@@ -129,6 +130,16 @@ def score(model: PipelineModel, split: DataFrame) -> DataFrame:
     return model.transform(split.where(~F.col("is_train"))).select("station_id", "ts", "target", "prediction")
 
 
+def fit_line(split: DataFrame) -> DataFrame:
+    """Least squares on the training rows, from one aggregation; a row of `fit_linear`. Lazy."""
+    return fit_linear(split.where("is_train"), feature_columns(split))
+
+
+def score_line(model: DataFrame, split: DataFrame) -> DataFrame:
+    """Time, target and prediction of the rows held out, with a model of `fit_line`."""
+    return score_linear(split.where(~F.col("is_train")), model, feature_columns(split)).select("station_id", "ts", "target", "prediction")
+
+
 def compare(split: DataFrame, estimators: dict | None = None) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Fit every estimator and table its errors next to the baseline's, best first.
 
@@ -235,34 +246,41 @@ def day_ahead_formula(state: DataFrame, weather: DataFrame | None = None, hours:
 
 
 def day_ahead_model(
-    state: DataFrame, model: PipelineModel, weather: DataFrame | None = None, hours: int = 24, cut_every: int = 8,
+    state: DataFrame, model: PipelineModel | DataFrame, weather: DataFrame | None = None, hours: int = 24, features: list[str] | None = None,
 ) -> DataFrame:
-    """Recursive forecast with a fitted model, all stations at once, one transform per hour, with the index of each step.
+    """Recursive forecast with a fitted model, all stations at once, with the index of each step.
 
     `state` has station_id, ts, the three lag columns and the weather features, which `weather` replaces hour by hour where it
-    knows them. The lineage is cut every few steps by writing the state to the shared folder; runs those jobs.
+    knows them. The model is evaluated inside one fold over the coming hours, so a station's path is made in one stage, in one row.
+    A row of `fit_linear` needs its `features` named.
     """
     names = ["temperature", "humidity", "wind_speed"]
+    row, make = predictor(model, features)
 
-    def features(h: Column) -> Column:
+    def known(h: Column) -> dict[str, Column]:
         month = F.month(h["ts"])
-        height = boundary_layer_height(F.hour(h["ts"]), month, h["temperature"], h["wind_speed"])
-        return F.struct(
-            F.hour(h["ts"]).alias("hour"), F.dayofweek(h["ts"]).alias("dow"), month.alias("month"),
-            by_season(month, {s: i for i, s in enumerate(SEASONS)}).alias("season_code"), height.alias("blh_m"), *[h[n].alias(n) for n in names])
-
-    current = _coming_hours(state, weather, hours, names).withColumns({
-        "_steps": F.transform("_hours", features), "path": F.array().cast("array<double>")}).drop("_hours", *names)
-    kept = current.columns
-    for step in range(hours):
-        frame = current.withColumn("_s", F.col("_steps")[step]).select("*", "_s.*")
-        scored = model.transform(frame).withColumn("_p", clip(F.round("prediction", 1), 6.0))
-        current = scored.withColumns({
-            "pm25_lag1": F.col("_p"), "pm25_roll24": F.col("pm25_roll24") * 0.95 + F.col("_p") * 0.05,
-            "path": F.array_append("path", F.col("_p"))}).select(*kept)
-        if (step + 1) % cut_every == 0 and step + 1 < hours:
-            current = cut_lineage(current, "forecast")
-    return current.select("station_id", "ts", F.posexplode("path").alias("step", "pm25")).select(
+        return {
+            "hour": F.hour(h["ts"]), "dow": F.dayofweek(h["ts"]), "month": month,
+            "season_code": by_season(month, {s: i for i, s in enumerate(SEASONS)}),
+            "blh_m": boundary_layer_height(F.hour(h["ts"]), month, h["temperature"], h["wind_speed"]), **{n: h[n] for n in names}}
+
+    steps = _coming_hours(state, weather, hours, names).withColumn(
+        "_steps", F.transform("_hours", lambda h: F.struct(*[v.alias(n) for n, v in known(h).items()]))).drop("_hours", *names)
+    start = F.struct(F.col("pm25_lag1").cast("double").alias("lag1"), F.col("pm25_roll24").cast("double").alias("roll"),
+                     F.array().cast("array<double>").alias("path"))
+
+    def step(acc: Column, h: Column) -> Column:
+        x = {n: h[n] for n in ["hour", "dow", "month", "season_code", "blh_m", *names]}
+        x |= {"pm25_lag1": acc["lag1"], "pm25_lag24": F.col("pm25_lag24"), "pm25_roll24": acc["roll"]}
+        # the prediction is bound once, as the one element of an array, however often it is used
+        once = F.array(clip(F.round(predict(x), 1), 6.0))
+        return F.transform(once, lambda p: F.struct(
+            p.alias("lag1"), (acc["roll"] * 0.95 + p * 0.05).alias("roll"), F.array_append(acc["path"], p).alias("path")))[0]
+
+    ready = with_row(steps, row, "_model")
+    predict = make(F.col("_model"))
+    path = F.aggregate("_steps", start, step, lambda acc: acc["path"])
+    return ready.select("station_id", "ts", F.posexplode(path).alias("step", "pm25")).select(
         "station_id", "step", F.expr("ts + make_dt_interval(0, step)").alias("ts"), "pm25", index_ceiling(F.col("pm25")).alias("aqi"))
 
 

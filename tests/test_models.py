@@ -5,7 +5,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from hazegrid.operators import forecast
+from hazegrid.operators import fitted, forecast
 
 c = F.col
 
@@ -119,7 +119,7 @@ def test_day_ahead_model_follows_its_own_predictions(spark, linear):
     model = forecast.fit(linear, forecast.candidates()["LinearRegression"])
     state = spark.sql("select 'A' as station_id, timestamp_ntz'2024-01-31 22:00:00' as ts, 30.0d as pm25_lag1, 20.0d as pm25_lag24, "
                       "25.0d as pm25_roll24, 20.0d as temperature, 50.0d as humidity, 2.0d as wind_speed")
-    got = forecast.day_ahead_model(state, model, hours=5, cut_every=2).orderBy("step").collect()
+    got = forecast.day_ahead_model(state, model, hours=5).orderBy("step").collect()
     lag, roll = 30.0, 25.0
     for r, hour in zip(got, (22, 23, 0, 1, 2)):
         want = max(6.0, lag * 0.6 + roll * 0.3 + hour * 0.1 + 2)
@@ -128,6 +128,95 @@ def test_day_ahead_model_follows_its_own_predictions(spark, linear):
     assert len(got) == 5 and str(got[2].ts) == "2024-02-01 00:00:00"
 
 
+NAMES = ["a", "b", "flat", "twice", "none"]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_least_squares_from_merged_moments(spark, parts):
+    """Equal to a dense solution, far from zero and on very different scales; a constant feature and one that others explain get no weight; nulls are left out."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(1e6, 3.0, 500), rng.normal(-2.0, 1e-3, 500)
+    y = 5.0 * a - 700.0 * b + rng.normal(0, 0.1, 500)
+    data = [(float(x), float(z), 7.0, float(2 * x + 1), float(i % 3), float(t)) for i, (x, z, t) in enumerate(zip(a, b, y, strict=True))]
+    df = spark.createDataFrame([*data, (None, 1.0, 7.0, 1.0, 1.0, 1e9), (1.0, 1.0, 7.0, 1.0, 1.0, None)],
+                               "a double, b double, flat double, twice double, none double, target double").repartition(parts)
+    m = fitted.fit_linear(df, NAMES).first()
+    x = np.array(data)[:, [0, 1, 4]]
+    centred = x - x.mean(axis=0)
+    want = np.linalg.lstsq(centred, y - y.mean(), rcond=None)[0]
+    assert m.n == 500 and m.features == NAMES and m.coefficients[2] == m.coefficients[3] == 0.0
+    assert [m.coefficients[i] for i in (0, 1, 4)] == pytest.approx(want.tolist(), rel=1e-6)
+    assert m.intercept == pytest.approx(y.mean() - x.mean(axis=0) @ want, rel=1e-6)
+    empty = fitted.fit_linear(df.where("false"), NAMES).first()
+    assert empty.n == 0 and empty.intercept is None and set(empty.coefficients) == {0.0}
+
+
+def test_line_from_moments_equals_the_estimator(linear):
+    line = forecast.score_line(forecast.fit_line(linear), linear).withColumnRenamed("prediction", "p")
+    both = line.join(forecast.score(forecast.fit(linear, forecast.candidates()["LinearRegression"]), linear), ["station_id", "ts"])
+    assert both.count() == 80 and both.agg(F.max(F.abs(c("p") - c("prediction")))).first()[0] < 1e-4
+
+
+@pytest.fixture(scope="module")
+def ensembles(linear):
+    from pyspark.ml.regression import GBTRegressor
+
+    how = {"featuresCol": "features", "labelCol": "target", "seed": 3}
+    return {"forest": forecast.fit(linear, RandomForestRegressor(numTrees=7, maxDepth=5, **how)),
+            "boosted": forecast.fit(linear, GBTRegressor(maxIter=6, maxDepth=3, stepSize=0.2, **how))}
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_node_tables_predict_as_the_model(spark, linear, ensembles, kind, tmp_path):
+    """As column expressions, and in SQL from the stored table, by another engine."""
+    import duckdb
+
+    model = ensembles[kind]
+    cols = forecast.feature_columns(linear)
+    nodes = fitted.node_table(model)
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    want = {(r.station_id, r.ts): r.prediction for r in model.transform(linear).collect()}
+    ours = fitted.score_forest(linear, nodes, cols, model.stages[-1].getMaxDepth(), "p")
+    ours.select("station_id", "ts", "p", *cols).write.parquet(str(tmp_path / "rows"))
+    for r in ours.collect():
+        assert r.p == pytest.approx(want[r.station_id, r.ts], abs=1e-9)
+    split_on = " ".join(f"when '{x}' then r.{x}" for x in cols)
+    wrong = duckdb.sql(f"""
+      with recursive n as (select * from '{tmp_path}/nodes/*.parquet'), r as (select * from '{tmp_path}/rows/*.parquet'),
+      walk as (select r.*, n.tree, n.node from r, n where n.node = 0
+        union all select walk.* exclude (node), case when (case n.feature {split_on.replace('r.', 'walk.')} end) <= n.split then n.left else n.right end
+        from walk join n on n.tree = walk.tree and n.node = walk.node where n.feature is not null)
+      select count(*), count(*) filter (where abs(v - p) > 1e-9) from (
+        select station_id, ts, any_value(p) as p, sum(tree_weight * value) as v from walk join n on n.tree = walk.tree and n.node = walk.node
+        where n.feature is null group by all)""").fetchall()
+    assert wrong == [(400, 0)]
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_importances_from_node_tables(linear, ensembles, kind):
+    model = ensembles[kind]
+    got = {r.feature: r.importance for r in fitted.tree_importance(fitted.node_table(model), per_tree=kind == "forest").collect()}
+    for name, want in zip(forecast.feature_columns(linear), model.stages[-1].featureImportances.toArray(), strict=True):
+        assert got.get(name, 0.0) == pytest.approx(want, abs=1e-9)
+
+
+def test_day_ahead_by_trees_is_one_fold(spark, linear, ensembles):
+    """Equal to one transform per hour."""
+    model = ensembles["forest"]
+    state = spark.sql("select 'A' as station_id, timestamp_ntz'2024-01-31 22:00:00' as ts, 30.0d as pm25_lag1, 20.0d as pm25_lag24, "
+                      "25.0d as pm25_roll24, 20.0d as temperature, 50.0d as humidity, 2.0d as wind_speed")
+    out = forecast.day_ahead_model(state, model, hours=4)
+    lag, roll = 30.0, 25.0
+    for r, (hour, dow, month) in zip(out.orderBy("step").collect(), ((22, 4, 1), (23, 4, 1), (0, 5, 2), (1, 5, 2))):
+        one = spark.createDataFrame([(lag, 20.0, roll, hour, dow, month, 0)], "pm25_lag1 double, pm25_lag24 double, pm25_roll24 double, "
+                                    "hour int, dow int, month int, season_code int")
+        lag = max(6.0, round(model.transform(one).first().prediction, 1))
+        assert r.pm25 == pytest.approx(lag)
+        roll = 0.95 * roll + 0.05 * lag
+
+
 def test_peak_takes_the_first_hour(spark):
     df = spark.createDataFrame([("A", 0, 5.0), ("A", 1, 9.0), ("A", 2, 9.0)], "station_id string, step int, pm25 double")
     r = forecast.peak(df).first()
