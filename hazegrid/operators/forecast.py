@@ -317,3 +317,10 @@ def seeded_sample(df: DataFrame, key: list[str], share: float, seed: int = 42) -
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
     part = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return df.where(part < share)
+
+
+def bottom_sample(df: DataFrame, key: list[str], n: int = 3_000, seed: int = 42) -> DataFrame:
+    """At most `n` rows, all if there are fewer: those with the least hashes of their keys, ties by all their values. The same rows however
+    `df` is partitioned. Every task keeps its `n` least rows, and only those are merged. Null keys count as empty."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    return df.withColumn("_hash", F.md5(text)).orderBy("_hash", *df.columns).limit(n).drop("_hash")

@@ -48,24 +48,69 @@ def with_station(df: DataFrame, stations: DataFrame) -> DataFrame:
     return out.drop("_lat", "_lon")
 
 
+def first_keywords(texts: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
+    """Distinct texts (``_text``, lower-cased) that hold a keyword, and ``_first``: (place, keyword, label, amount) of the first in table order.
+
+    `keywords` has keyword, label, amount and place; ties of place go to the smaller keyword. Each keyword is filed under one run of three characters, the one that the fewest
+    texts have (keywords of fewer characters under themselves); texts and keywords meet on equal runs, and only then the whole keyword is looked for. So
+    the work grows with the texts and their real candidates, not with texts times keywords. Null keywords never match, the empty one always does.
+    """
+    low = texts.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).distinct()
+    words = keywords.where("keyword is not null").select(F.lower("keyword").alias("_word"), "place", "keyword", "label", "amount")
+    size = F.least(F.length("_word"), F.lit(3))
+
+    def runs(of: Column, width: Column) -> Column:
+        return F.when(F.length(of) >= width, F.transform(
+            F.sequence(F.lit(1), F.length(of) - width + 1), lambda i: F.substring(of, i, width)))
+
+    held = F.array_distinct(F.flatten(F.filter(F.transform("_sizes", lambda k: runs(F.col("_text"), k)), lambda r: r.isNotNull())))
+    sized = low.withColumn("_sizes", words.agg(F.collect_set(size)).scalar())
+    filed = sized.select("_text", F.explode(held).alias("_run"))
+    common = filed.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    each = words.select("*", F.explode(runs(F.col("_word"), size)).alias("_run"))
+    # a run that no text has rules the keyword out
+    best = join_on(each.select("_word", "_run").distinct(), common, ["_run"]).groupBy("_word").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_run")).alias("_b")).where("_b.n > 0").select("_word", F.col("_b._run").alias("_run"))
+    index = join_on(words, best, ["_word"], "inner")
+    met = join_on(filed, index, ["_run"], "inner").where(F.contains("_text", "_word"))
+    return met.groupBy("_text").agg(F.min(F.struct("place", "keyword", "label", "amount")).alias("_first"))
+
+
+def _known_places(df: DataFrame, known: list[tuple], area: Column, people: Column) -> DataFrame:
+    for station, name, amount in reversed(known):
+        hit = F.col("station_id") == station
+        area = F.when(hit, name).otherwise(area)
+        people = F.when(hit, F.lit(amount).cast("long")).otherwise(people)
+    return df.select("station_id", area.alias("catchment_area_name"), people.alias("population_catchment"))
+
+
+def catchment_from_table(
+    stations: DataFrame, keywords: DataFrame, known: list[tuple] = [],
+    default: tuple = (UNMATCHED_AREA, DEFAULT_DENSITY), per_km2: bool = True,
+) -> DataFrame:
+    """As `catchment_from_name`, for a keyword table (keyword, label, amount, place) of any length that is data."""
+    import math
+
+    area_km2 = math.pi * CATCHMENT_KM**2 if per_km2 else 1.0
+    found = first_keywords(stations, "station_name", keywords)
+    named = join_on(stations.withColumn("_text", F.lower(F.coalesce("station_name", F.lit("")))), found, ["_text"])
+    amount = F.coalesce("_first.amount", F.lit(default[1]))
+    return _known_places(named, known, F.coalesce("_first.label", F.lit(default[0])), F.floor(amount * F.lit(area_km2)).cast("long"))
+
+
 def catchment_from_name(
     stations: DataFrame, keywords: list[tuple], known: list[tuple] = [],
     default: tuple = (UNMATCHED_AREA, DEFAULT_DENSITY), per_km2: bool = True,
 ) -> DataFrame:
     """Area and population of a station: a known id wins, then the first keyword in table
     order found in its name, then the default. Amounts are densities unless `per_km2` is
-    false."""
+    false. `keywords` is a fixed list here; a table of them goes to `catchment_from_table`."""
     import math
 
     area_km2 = math.pi * CATCHMENT_KM**2 if per_km2 else 1.0
     matched = first_keyword(F.coalesce(F.col("station_name"), F.lit("")), keywords, default)
     area, people = matched["label"], F.floor(matched["amount"] * F.lit(area_km2)).cast("long")
-    for station, name, amount in reversed(known):
-        hit = F.col("station_id") == station
-        area = F.when(hit, name).otherwise(area)
-        people = F.when(hit, F.lit(amount).cast("long")).otherwise(people)
-    return stations.select(
-        "station_id", area.alias("catchment_area_name"), people.alias("population_catchment"))
+    return _known_places(stations, known, area, people)
 
 
 def per_crf(df: DataFrame, crfs: list[tuple] = CRF_ANNUAL) -> DataFrame:

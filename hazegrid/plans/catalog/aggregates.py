@@ -6,13 +6,14 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from hazegrid.operators import cleaning, forecast, health as H, joins, profile, signatures
+from hazegrid.operators import cleaning, forecast, health as H, joins, profile, signatures, sketches
 from hazegrid.operators.lookup import dedupe
 from hazegrid.operators.quantiles import exact_quantiles
 from hazegrid.plans.catalog.expressions import CAT_SQL, PM10_BANDS, PM25_BANDS, SEASON_SQL, strict_sql
 from hazegrid.plans.catalog.registry import query
 from hazegrid.plans.tables import sql
 from hazegrid.schema import DAILY_LIMITS, POLLUTANTS, SEASONS, SOURCES, WEATHER
+from hazegrid.session import cut_lineage
 
 c = F.col
 SIX = {p: 6 for p in POLLUTANTS}
@@ -379,6 +380,32 @@ def a40(t):
     return t.readings.agg(F.countDistinct("station_id").alias("stations"), F.countDistinct("parameter").alias("parameters"))
 
 
+@query("a40_distinct_sketches", sql("""
+  select station_id, count(distinct event_id) as events, count(distinct ts::date) as days, true as within from readings group by 1""", "readings"))
+def a40_sketches(t):
+    """Distinct readings per station, united from stored daily sketches, next to the exact numbers."""
+    stored = cut_lineage(sketches.distinct_sketches(t.readings, ["station_id", F.to_date("ts").alias("date")], "event_id"), "sketches")
+    near = sketches.distinct_counts(stored, ["station_id"], "estimate")
+    exact = t.readings.groupBy("station_id").agg(F.countDistinct("event_id").alias("events"), F.countDistinct(F.to_date("ts")).alias("days"))
+    return joins.join_on(exact, near, ["station_id"]).select(
+        "station_id", "events", "days", (F.abs(c("estimate") - c("events")) <= c("events") * 0.02).alias("within"))
+
+
+@query("a11_fences_from_sketches", sql("""
+  select station_id, parameter, count(value) as n, true as within from readings where value is not null group by 1, 2""", "readings"))
+def a11_sketches(t):
+    """Quartiles per station and parameter from stored daily sketches: ranks within one percent of the rows of the exact ones."""
+    rows = t.readings.where("value is not null")
+    stored = cut_lineage(sketches.quantile_sketches(rows, ["station_id", "parameter", F.to_date("ts").alias("date")], "value"), "sketches")
+    fences = sketches.fences(stored, ["station_id", "parameter"])
+    ranked = joins.join_on(rows, fences, ["station_id", "parameter"]).groupBy("station_id", "parameter").agg(
+        F.count("value").alias("n"), *[F.count_if(c("value") < c(q)).alias(f"below_{q}") for q in ("q1", "q3")],
+        *[F.count_if(c("value") <= c(q)).alias(f"upto_{q}") for q in ("q1", "q3")])
+    slack = F.greatest(c("n") * 0.01, F.lit(1.0))
+    near = [(c(f"below_{q}") <= c("n") * share + slack) & (c(f"upto_{q}") >= c("n") * share - slack) for q, share in (("q1", 0.25), ("q3", 0.75))]
+    return ranked.select("station_id", "parameter", "n", (near[0] & near[1]).alias("within"))
+
+
 SIGN_NULLS = ", ".join(f"case when count({p}) > 0 then (count(*) - count({p})) * 100.0::double / count(*) else 0 end"
                        for p in POLLUTANTS)
 HAVE_P = " + ".join(f"(count({p}) > 0)::int" for p in POLLUTANTS)
@@ -496,6 +523,13 @@ def k04(t):
     return forecast.seeded_sample(t.readings.select("event_id", "station_id", "parameter", "value"), ["station_id", "event_id"], 0.3)
 
 
+@query("k04_bottom_sample", sql("""
+  select event_id, station_id, parameter, value from readings
+  order by md5('42|' || station_id || '|' || event_id::varchar), event_id limit 3000""", "readings"), rounds={"value": 6})
+def k04_bottom(t):
+    return forecast.bottom_sample(t.readings.select("event_id", "station_id", "parameter", "value"), ["station_id", "event_id"], 3_000)
+
+
 @query("k06_category_order", sql(f"""
   select season, n, row_number() over (order by case season when 'Winter' then 0 when 'Pre-Monsoon' then 1
     when 'Monsoon' then 2 else 3 end) - 1 as ordinal

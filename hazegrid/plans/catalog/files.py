@@ -85,6 +85,57 @@ def s03(t):
     return landed.weather(landed.read_json(t.spark, path, landed.WEATHER_JSON))
 
 
+def _land_lines(df, name, broken):
+    """Records as lines of JSON, cut in the middle where `broken`."""
+    path = scratch_path(df.sparkSession, name)
+    line = F.to_json(F.struct(*df.columns), out.JSON_TIMES)
+    df.select(F.when(broken, F.substring(line, F.lit(1), F.length(line) - 5)).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+@query("s01_station_rejects", """
+  select case when s_suppkey % 10 = 0 then 'malformed' when s_suppkey % 7 = 0 then 'no coordinates' when s_suppkey % 3 = 0 then 'no tracked sensor'
+    else 'accepted' end as reason, count(*) as n from supplier group by 1""")
+def s01_rejects(t):
+    key = F.col("s_suppkey")
+    sensor = F.struct(key.alias("id"), F.struct(F.when(key % 3 == 0, "humidity").otherwise("pm25").alias("name")).alias("parameter"))
+    pages = t.raw("supplier").select(
+        key.cast("string").alias("id"), F.col("s_name").alias("name"),
+        F.struct(F.when(key % 7 != 0, 23.7).alias("latitude"), F.lit(90.4).alias("longitude")).alias("coordinates"), F.array(sensor).alias("sensors"))
+    path = _land_lines(pages, "station-lines", F.col("id").cast("long") % 10 == 0)
+    read = landed.read_checked(t.spark, path, landed.STATION_JSON)
+    return landed.rejects(read, landed.station_reasons()).select("reason").unionAll(
+        landed.stations(read).select(F.lit("accepted"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s02_measurement_rejects", sql("""
+  select case when event_id % 10 = 0 then 'malformed' when event_id % 97 = 0 then 'no time' when event_id % 89 = 0 then 'unreadable time'
+    when value is null then 'no value' else 'accepted' end as reason, count(*) as n from readings group by 1""", "readings"))
+def s02_rejects(t):
+    e = F.col("event_id")
+    utc = F.when(e % 89 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    records = t.readings.select(
+        "event_id", "station_id", F.col("parameter").alias("parameter_name"), "value", F.struct(F.when(e % 97 != 0, utc).alias("utc")).alias("datetime"))
+    path = _land_lines(records, "measurement-lines", e % 10 == 0)
+    read = landed.read_checked(t.spark, path, landed.MEASUREMENT_JSON)
+    return landed.rejects(read, landed.measurement_reasons()).select("reason").unionAll(
+        landed.measurements(read).select(F.lit("accepted"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s03_weather_rejects", sql("""
+  select case when n % 10 = 0 then 'malformed' when n % 7 = 0 then 'no hours' else 'accepted' end as reason, count(*) as n
+  from (select count(*) as n from weather group by station_id, ts_hour::date) group by 1""", "weather"))
+def s03_rejects(t):
+    days = t.weather.groupBy("station_id", F.to_date("ts_hour").alias("d")).agg(
+        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.date_format("ts_hour", "yyyy-MM-dd'T'HH:mm"))).alias("time"))
+    hours = F.when(F.col("n") % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("time"))
+    records = days.select("n", "d", "station_id", F.struct(hours.alias("time")).alias("hourly"))
+    path = _land_lines(records, "weather-lines", F.col("n") % 10 == 0)
+    read = landed.read_checked(t.spark, path, landed.WEATHER_JSON)
+    whole = read.where(F.col(landed.CORRUPT).isNull() & (F.size("hourly.time") > 0)).select(F.lit("accepted"))
+    return landed.rejects(read, landed.weather_reasons()).select("reason").unionAll(whole).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s04_window_clamp", sql(f"""
   select {READING_COLS} from readings
   where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-21'""", "readings"))
@@ -128,6 +179,20 @@ def s08(t):
         "station_id", "ts", "pm25", "date", "year", "month")
 
 
+@query("s08_replaced_days", sql("""
+  select station_id, ts, case when ts::date between date '2024-01-10' and date '2024-01-12' then pm25 + 1 else pm25 end as pm25, year(ts) as year,
+    month(ts) as month from wide where ts < timestamp '2024-01-21'""", "wide"), rounds={"pm25": 6})
+def s08_days(t):
+    """A store of twenty days, three of which are written again with other values, twice."""
+    path = scratch_path(t.spark, "station-months")
+    rows = t.wide.select("station_id", "ts", "pm25")
+    out.replace_days(landed.within_days(rows, "2024-01-01", "2024-01-20"), path)
+    for _ in range(2):
+        out.replace_days(landed.within_days(rows, "2024-01-10", "2024-01-12").withColumn("pm25", F.col("pm25") + 1), path)
+    return out.read_parquet(t.spark, path, T.StructType.fromDDL(
+        "station_id string, ts timestamp_ntz, pm25 double, year int, month int")).select("station_id", "ts", "pm25", "year", "month")
+
+
 @query("s09_partition_month", sql("""
   select year(ts) as year, month(ts) as month, count(*) as n, count(pm25) as n_pm25 from wide_s
   where month(ts) = 4 group by 1, 2""", "wide_s"))

@@ -112,7 +112,23 @@ def j08(t):
 def j09(t):
     named = t.raw("part").select(
         F.concat(F.lit("P"), c("p_partkey").cast("string")).alias("station_id"), F.upper("p_name").alias("station_name"))
-    return joins.catchment_from_name(named, KEYWORDS, known=[("P7", "Known", 123456)])
+    table = t.spark.createDataFrame([(*k, i) for i, k in enumerate(KEYWORDS)], "keyword string, label string, amount long, place long")
+    return joins.catchment_from_table(named, table, known=[("P7", "Known", 123456)])
+
+
+@query("j09_many_keywords", """
+  select s_suppkey, min_by(l_orderkey, (l_orderkey, word)) as place, min_by(word, (l_orderkey, word)) as keyword
+  from (select s_suppkey, lower(s_name) as name from supplier) s
+  join (select min(l_orderkey) as l_orderkey, l_suppkey::varchar as word from lineitem group by l_suppkey) k on contains(name, word)
+  group by 1""")
+def j09_many(t):
+    """Every supplier number that occurs in the line items as a keyword, looked for in all supplier names."""
+    key = c("l_suppkey").cast("string")
+    words = t.raw("lineitem").groupBy(key.alias("keyword")).agg(F.min("l_orderkey").alias("place")).withColumns(
+        {"label": F.lit(""), "amount": F.lit(0)})
+    names = t.raw("supplier").select("s_suppkey", "s_name")
+    found = joins.first_keywords(names, "s_name", words)
+    return names.join(found, F.lower("s_name") == c("_text")).select("s_suppkey", c("_first.place").alias("place"), c("_first.keyword").alias("keyword"))
 
 
 @query("j10_population_square", sql(f"""

@@ -28,6 +28,43 @@ def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
     return spark.read.schema(schema).options(**JSON_TIMES).json(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_checked(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """As `read_json`, with the text of a line that is no such record in ``_corrupt_record`` (null for good lines), so that no line is lost
+    without a trace. Fields of the wrong type make a line corrupt too."""
+    whole = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())
+    return spark.read.schema(whole).options(**JSON_TIMES, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).json(path)
+
+
+def rejects(records: DataFrame, reasons: dict[str, Column]) -> DataFrame:
+    """``reason`` and ``record`` (the line, or the record as JSON) of the records of `read_checked` that are corrupt or meet one of the `reasons`,
+    the first of them. Every record is either here or passes all reasons."""
+    why = F.when(F.col(CORRUPT).isNotNull(), "malformed")
+    for name, test in reasons.items():
+        why = why.when(F.coalesce(test, F.lit(False)), name)
+    fields = [c for c in records.columns if c != CORRUPT]
+    return records.select(why.alias("reason"), F.coalesce(CORRUPT, F.to_json(F.struct(*fields))).alias("record")).where("reason is not null")
+
+
+def station_reasons() -> dict[str, Column]:
+    """Why `stations` leaves a record out, wherever the box is."""
+    tracked = F.exists("sensors", lambda s: s["id"].isNotNull() & is_tracked(parameter_name(s["parameter"]["name"])))
+    return {"no coordinates": F.col("coordinates.latitude").isNull() | F.col("coordinates.longitude").isNull(),
+            "no tracked sensor": ~F.coalesce(tracked, F.lit(False))}
+
+
+def measurement_reasons() -> dict[str, Column]:
+    """Why `measurements` leaves a record out."""
+    return {"no time": _local_or_utc().isNull(), "unreadable time": F.try_to_timestamp(_local_or_utc()).isNull(), "no value": F.col("value").isNull()}
+
+
+def weather_reasons() -> dict[str, Column]:
+    """Why `weather` gets no hour from a record."""
+    return {"no hours": F.coalesce(F.size("hourly.time"), F.lit(0)) < 1}
+
+
 def read_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records out of stored response pages, one page per line with its records in
     ``results``; an empty page adds nothing."""

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from hazegrid.operators.lookup import join_on
+from hazegrid.session import cut_lineage
+
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Parquet with the station id as text, also where it is a folder name such as
@@ -28,6 +31,46 @@ def write_by_station_month(df: DataFrame, path: str, ts: str = "ts") -> None:
     dated.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
+MANIFEST = "station_id string, year int, month int, rows long, first_day date, last_day date, written timestamp"
+
+
+def replace_days(df: DataFrame, path: str, ts: str = "ts") -> DataFrame:
+    """Put the days of `df` into the store that `write_by_station_month` lays out; returns the manifest entries of this run.
+
+    Of the stored rows, those of a station and date that `df` has are replaced; the station's other days in the same month stay. Only the folders of those
+    station-months are read and rewritten. What they will hold is written to the shared folder first, and Spark puts the new folders in place only when
+    all of them are written, so a run that fails leaves the old rows, and one that is repeated gives the same rows. The manifest below ``_manifest``
+    (which reads of the store skip) then gets one entry per folder written.
+    """
+    spark = df.sparkSession
+    keys = ["station_id", "year", "month"]
+    new = df.withColumns({"date": F.to_date(ts), "year": F.year(ts), "month": F.month(ts)})
+    new = cut_lineage(new, "days")
+    touched = new.select(*keys).distinct()
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = spark.createDataFrame([], new.schema)
+    # the folders to read are named by the join; days that come anew are left out
+    kept = join_on(join_on(old, touched, keys, "left_semi"), new.select("station_id", "date").distinct(), ["station_id", "date"], "left_anti")
+    merged = cut_lineage(kept.unionByName(new), "months")
+    (merged.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
+    entries = cut_lineage(merged.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_day"), F.max("date").alias("last_day"),
+    ).withColumn("written", F.current_timestamp()), "manifest")
+    entries.write.mode("append").parquet(f"{path}/_manifest")
+    return entries
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest entry of every station-month of a store."""
+    entries = spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
+    newest = entries.groupBy("station_id", "year", "month").agg(F.max(F.struct("written", "rows", "first_day", "last_day")).alias("e"))
+    return newest.select("station_id", "year", "month", "e.rows", "e.first_day", "e.last_day", "e.written")
+
+
 def write_by_month(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Partition by year and month, rebalanced in the same way."""
     dated = df.withColumns({"year": F.year(ts), "month": F.month(ts)})
