@@ -17,7 +17,7 @@ def distinct_sketches(df: DataFrame, keys: list[str | Column], value: str, regis
 
 
 def united(stored: DataFrame, keys: list[str]) -> DataFrame:
-    """One sketch per key for all stored ones, equal to the sketch of all their rows."""
+    """One sketch per key for all stored ones, in one step or in several. Its estimate depends a little on the steps, within the standard error."""
     return stored.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
 
 
