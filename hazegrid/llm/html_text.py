@@ -10,6 +10,7 @@ that no boilerplate covers; chrome is never text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 import numpy as np
@@ -34,6 +35,8 @@ BROADCAST_BYTES = 16 << 20
 
 # Elements by what they do to the text.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "object", "math", "canvas"}
+# Of these, the ones whose inside HTML reads as text: without an end tag they reach to the end of the page. Others end at the next block then.
+RAW_TEXT = {"script", "style", "textarea", "title", "iframe"}
 CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button"}
 MAIN = ("article", "main")
 BLOCK = {
@@ -48,8 +51,13 @@ MARKS = {
     "banner", "comment", "comments", "disqus", "newsletter", "subscribe", "breadcrumb", "breadcrumbs", "menu", "navbar", "nav", "popup", "modal",
     "share", "social", "related", "widget", "pagination", "toolbar",
 }
-# A class that begins so tells of something elsewhere ("no-sidebar").
-ABOUT_OTHERS = {"no", "has", "with", "without"}
+# Words that say nothing of an element's kind. A class marks chrome if all its words are marks or these, one a mark at least: "cookie-banner" and
+# "related-posts" do, "share-price", "comment-policy" and "no-sidebar" tell of something else.
+NEUTRAL = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "content", "desktop", "form", "header", "icons", "inline",
+    "inner", "item", "items", "js", "left", "link", "links", "list", "main", "mobile", "overlay", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site",
+    "sticky", "thread", "title", "top", "unit", "wrap", "wrapper",
+}
 MARKED = {"div", "section", "ul", "ol", "p", "span", "table", "dl", "details", "article", "li"}
 
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>""", re.S)
@@ -77,22 +85,46 @@ def _is_chrome(name: str, attributes: str) -> bool:
     if _hidden(attributes):
         return True
     names = [n for m in _marks.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()]
-    parts = [re.split(r"[^a-z]+", n) for n in names]
-    return any(p[0] not in ABOUT_OTHERS and not MARKS.isdisjoint(p) for p in parts)
+    parts = [{w for w in re.split(r"[^a-z]+", n) if w} for n in names]
+    return any(p & MARKS and p <= MARKS | NEUTRAL for p in parts)
+
+
+class _Inside:
+    """Which elements of a page hold its main part or its heading. Places are looked up once per page, so many elements cost no more."""
+
+    def __init__(self, low: str):
+        self.low = low
+        self.heads = [m.start() for m in re.finditer(r"<(?:article|main|h1)\b", low)]
+        self.ends: dict[str, list[int]] = {}
+
+    def holds_main(self, begin: int, name: str) -> bool:
+        """For the element `name` that opens before `begin`, up to its next end tag; without one, up to the end of the page."""
+        if name not in self.ends:
+            self.ends[name] = [m.start() for m in re.finditer(rf"</{name}\b", self.low)]
+        ends = self.ends[name]
+        at = bisect_left(ends, begin)
+        close = ends[at] if at < len(ends) else len(self.low)
+        at = bisect_left(self.heads, begin)
+        return at < len(self.heads) and self.heads[at] < close
+
+
+_next_block = re.compile("<(?:" + "|".join(sorted(BLOCK)) + r")\b", re.I)
+
 
+def _lower(html: str) -> str:
+    """Lower case with every place kept: the few characters that would become two stay as they are."""
+    low = html.lower()
+    return low if len(low) == len(html) else html.translate(_LOWER)
 
-def _holds_main(html: str, begin: int, name: str) -> bool:
-    """Whether the element that opens before `begin` holds the page's main part, or in it its heading."""
-    close = html.lower().find(f"</{name}", begin) if name != "div" else -1
-    inside = html[begin:close if close >= 0 else begin].lower()
-    return any(x in inside for x in ("<article", "<main", "<h1"))
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def blocks(html: str) -> tuple[bool, list[tuple[str, str]]]:
     """Whether the page has a main part, and its blocks in order as (zone, text), zone being main, chrome or open."""
     out: list[tuple[str, str]] = []
     pieces: list[str] = []
-    low = None
+    low = inside = None
     main = 0                      # depth inside main parts
     skip, depth = "", 0           # the chrome element we are in, and how often its name is open
     has_main = False
@@ -119,9 +151,14 @@ def blocks(html: str) -> tuple[bool, list[tuple[str, str]]]:
             pieces.append(" ")
         if name in RAW:
             if not closing and not attributes.endswith("/"):
-                low = low if low is not None else html.lower()
+                low = low if low is not None else _lower(html)
                 end = low.find(f"</{name}", at)
-                at = len(html) if end < 0 else (low.find(">", end) + 1 or len(html))
+                if end >= 0:
+                    at = low.find(">", end) + 1 or len(html)
+                elif name in RAW_TEXT:
+                    at = len(html)
+                else:
+                    at = m.start() if (m := _next_block.search(html, at)) else len(html)
             continue
         if skip:
             if closing:
@@ -142,7 +179,13 @@ def blocks(html: str) -> tuple[bool, list[tuple[str, str]]]:
         if closing:
             if name in MAIN and main:
                 main -= 1
-        elif name not in VOID and _is_chrome(name, attributes) and not (main and name == "header" and _holds_main(html, at, name)):
+        elif name not in VOID and _is_chrome(name, attributes):
+            # a header in a main part and a form around the page are no chrome if the heading or the article is in them
+            if name == "form" or main and name == "header":
+                low = low if low is not None else _lower(html)
+                inside = inside or _Inside(low)
+                if inside.holds_main(at, name):
+                    continue
             flush()
             skip, depth = name, 1
         elif name in MAIN:
@@ -224,21 +267,6 @@ def _inside(begins: np.ndarray, n: int, long: int) -> np.ndarray:
     return np.cumsum(marks)[:n] > 0
 
 
-def covered(pages: list[list[int]], long: int = LONG, least: int = 2) -> list[np.ndarray]:
-    """For each page's tokens, which of them lie in a substring of `long` tokens that at least `least` distinct pages have.
-
-    The pages are concatenated and their suffixes sorted. Pages with equal streams count once."""
-    streams = list({tuple(p): None for p in pages})
-    tokens, owner, _ = _tokens(streams)
-    rank, counts, _ = _windows(tokens, owner, long)
-    inside = _inside(np.flatnonzero(counts[rank] >= least), len(tokens), long)
-    out, at = {}, 0
-    for s in streams:
-        out[s] = inside[at:at + len(s)]
-        at += len(s) + 1
-    return [out[tuple(p)] for p in pages]
-
-
 def _own_runs(hit: np.ndarray, long: int) -> np.ndarray:
     """A block's covered tokens, without runs shorter than `long` that only reach in from a neighbouring block."""
     hit = hit.copy()
@@ -253,20 +281,26 @@ def _own_runs(hit: np.ndarray, long: int) -> np.ndarray:
 def _kept(page: list[tuple[str, str]], twice: np.ndarray, wide: np.ndarray, long: int) -> str:
     """The text of a page: open blocks without the tokens in `twice`, main blocks without those in `wide`, chrome not at all.
 
-    A page whose main part would lose more than half of its tokens keeps them: there the passage is the article."""
-    at, blocks_ = 0, []
-    lost = total = 0
+    A page whose main part would lose more than half of its tokens keeps them: there the passage is the article. If more than three quarters
+    of its open blocks would go, it is a page that another one repeats with few changes (a print version, a reprint); then only what is in
+    `wide` goes from them."""
+    parts, at = [], 0
     for zone, text in page:
         words = text.split()
-        hit = _own_runs((wide if zone == "main" else twice)[at:at + len(words)], long)
+        parts.append((zone, text, words, twice[at:at + len(words)], wide[at:at + len(words)]))
         at += len(words)
-        if zone == "main":
-            lost, total = lost + int(hit.sum()), total + len(words)
-        if zone != "chrome":
-            blocks_.append((zone, text, words, hit))
+
+    def share(zone: str, mask: int) -> float:
+        hits = [_own_runs(p[mask], long) for p in parts if p[0] == zone]
+        return sum(int(h.sum()) for h in hits) / max(1, sum(map(len, hits)))
+
+    lost_main, repeated = share("main", 4) > 0.5, share("open", 3) > 0.75
     out = []
-    for zone, text, words, hit in blocks_:
-        if not hit.any() or (zone == "main" and 2 * lost > total):
+    for zone, text, words, two, many in parts:
+        if zone == "chrome":
+            continue
+        hit = _own_runs(many if zone == "main" or repeated else two, long)
+        if not hit.any() or (zone == "main" and lost_main):
             out.append(text)
         elif not hit.all():
             out.append(" ".join(w for w, h in zip(words, hit, strict=True) if not h))

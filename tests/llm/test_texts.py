@@ -5,6 +5,7 @@ from base64 import b64encode
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -221,23 +222,121 @@ def test_blocks():
     assert html_text.blocks("<p>a<nav>menu") == (False, [("open", "a"), ("chrome", "menu")])
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 3), max_size=25), max_size=6))
-def test_covered(pages):
-    long = 4
-    want = []
-    distinct = {tuple(p) for p in pages}
+def plain_runs(pages, long):
+    """Kept text of one host's pages by comparing all windows of all pages; zones, guards and short runs as stated."""
+    streams = {tuple(w for _, t in p for w in t.split()) for p in pages}
     grams = {}
-    for p in distinct:
-        for i in range(len(p) - long + 1):
-            grams.setdefault(p[i:i + long], set()).add(p)
-    for p in map(tuple, pages):
-        hit = [False] * len(p)
-        for i in range(len(p) - long + 1):
-            if len(grams[p[i:i + long]]) > 1:
-                hit[i:i + long] = [True] * long
-        want.append(hit)
-    assert [x.tolist() for x in html_text.covered(pages, long)] == want
+    for s in streams:
+        for i in range(len(s) - long + 1):
+            grams.setdefault(s[i:i + long], set()).add(s)
+    least = max(10, -(-len(streams) // 5))
+
+    def hits(s, n):
+        out = [False] * len(s)
+        for i in range(len(s) - long + 1):
+            if len(grams[s[i:i + long]]) >= n:
+                out[i:i + long] = [True] * long
+        return out
+
+    def own(h):
+        if all(h):
+            return list(h)
+        out, i = list(h), 0
+        while i < len(h):
+            j = i
+            while j < len(h) and h[j] == h[i]:
+                j += 1
+            if h[i] and j - i < long:
+                out[i:j] = [False] * (j - i)
+            i = j
+        return out
+
+    texts = []
+    for p in pages:
+        s = tuple(w for _, t in p for w in t.split())
+        at, cut = 0, []
+        for zone, t in p:
+            n = len(t.split())
+            cut.append((zone, t.split(), own(hits(s, 2)[at:at + n]), own(hits(s, least)[at:at + n])))
+            at += n
+
+        def share(zone, k):
+            mine = [c for c in cut if c[0] == zone]
+            return sum(sum(c[k]) for c in mine) / max(1, sum(len(c[1]) for c in mine))
+
+        keep_main, repeated = share("main", 3) > 0.5, share("open", 2) > 0.75
+        blocks = []
+        for zone, words, two, many in cut:
+            if zone != "chrome":
+                h = many if zone == "main" or repeated else two
+                left = words if zone == "main" and keep_main else [w for w, x in zip(words, h, strict=True) if not x]
+                if left:
+                    blocks.append(" ".join(left))
+        texts.append("\n\n".join(blocks))
+    return texts
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["main", "open", "open", "chrome"]), st.lists(st.sampled_from("abcd"), min_size=1, max_size=14)),
+                         max_size=4), max_size=24), st.booleans())
+def test_unique_runs_equal_a_comparison_of_all_windows(pages, by_hash):
+    pages = [[(z, " ".join(w)) for z, w in p] for p in pages if p]
+    shared = None
+    if by_hash:
+        # as a host of several groups does it: by the hashes of windows that two pages, or enough of them, have
+        _, tokens, owner, words = html_text._joined([[w for _, t in p for w in t.split()] for p in pages])
+        at, h = html_text._hashes(tokens, words, 4)
+        on = {}
+        for x, k in zip(h.tolist(), owner[at].tolist(), strict=True):
+            on.setdefault(x, set()).add(k)
+        least = html_text.main_least(int((tokens < 0).sum()))
+        shared = tuple(np.array([x for x, o in on.items() if len(o) >= n], np.int64) for n in (2, least))
+    assert html_text.unique_runs(pages, 4, shared) == plain_runs(pages, 4)
+
+
+def words_of(i, n):
+    return " ".join(f"p{i}w{k}" for k in range(n))
+
+
+def test_near_equal_pages_keep_their_article(spark):
+    """A print version that differs in a word, and a reprint that differs in a paragraph of six: both keep all of it; what many pages share still goes."""
+    line = "Sign up for our weekly letter and get the best of it by mail"
+    story = [words_of(0, 60).replace("p0w", f"s{b}w") for b in range(6)]
+    changed = [*story[:2], words_of(99, 60), *story[3:]]
+    bodies = {1: story, 2: [story[0].replace("s0w7", "other"), *story[1:]], 3: changed}
+    bodies |= {10 + i: [words_of(i, 80)] for i in range(20)}
+    html = {k: "".join(f"<p>{t}</p>" for t in [*b, line]) for k, b in bodies.items()}
+    df = spark.createDataFrame([(k, f"http://e.org/{k}", f"<div>{h}</div>") for k, h in html.items()], "page_id long, url string, html string")
+    for pages in (200, 6):
+        got = {r.page_id: r.text for r in html_text.main_text(df, pages=pages).collect()}
+        assert got == {k: "\n\n".join(b) for k, b in bodies.items()}
+
+
+@pytest.mark.parametrize("html", [
+    '<main><p>A</p><div class="share-price">B</div><p>C</p></main>', '<main><p>A</p><ul class="related-work"><li>B</li></ul><p>C</p></main>',
+    '<main><p>A</p><details class="notice-period">B</details><p>C</p></main>', '<article class="comment-policy"><p>A</p><p>B</p><p>C</p></article>',
+    '<form action="/x"><h1>A</h1><p>B</p><p>C</p></form>', '<article><p>A</p><select><option>B</option><p>C</p>'.replace("<option>B</option>", "<p>B</p>"),
+    "<article><p>A</p><svg><path d='x'><p>B</p><p>C</p></article>", "<article><p>A</p><object data=x><div>B</div><p>C</p></article>",
+    "<article><p>A</p><math><mi>x<p>B</p><p>C</p></article>", "<article><header><h1>A</h1></header><p>B</p><p>C</p></article>"])
+def test_no_article_text_is_lost_to_markup(html):
+    assert [t for z, t in html_text.blocks(html)[1] if z != "chrome"] == ["A", "B", "C"]
+
+
+@pytest.mark.parametrize("html", ['<div class="cookie-banner">x</div>', '<ul class="related-posts"><li>x</li></ul>', '<section id="comments-area">x</section>',
+                                  '<div class="ad">x</div>', "<form><input><p>x</p></form>", '<article class="comment">x</article>', "<script>x", "<p><textarea>x"])
+def test_chrome_is_still_no_text(html):
+    assert [t for z, t in html_text.blocks(f"<p>kept</p>{html}")[1] if z != "chrome"] == ["kept"]
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    def took(n):
+        begun = time.perf_counter()
+        html_text.blocks("<article>" + "<header><p>x</p>" * n + "</header>" + "<form>" * n + "<select>" * 50 + "<p>y</p>" * n)
+        return time.perf_counter() - begun
+    took(100)
+    assert took(8_000) < 12 * max(took(2_000), 0.02)
 
 
 def test_main_text(spark):
