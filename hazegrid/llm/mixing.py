@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazegrid.operators.ordering import with_position
 from hazegrid.session import cut_lineage
 
 ROWS_PER_BUCKET = 2_000
@@ -68,13 +69,14 @@ def curriculum_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A source may hold a third of all rows: its queue is cut into buckets by md5, bucket sums meet in a window, and rows are
     ordered within their bucket only. Sizes are written to the shared folder first, without texts (runs a job).
 
-    A null text has size 0; a null source is a source of its own, last in order; a null id sorts as an
-    empty one. Repeated rows queue up as often as they occur. Without any word all targets are 0. An empty table gives an empty result. Clashing columns
+    Sizes and keys are made of whole texts, however long. A null text has size 0; documents of size 0 take up no words and have the passes
+    that their place in the queue gives them. A null source is a source of its own, last in order; rows without an id are queued by the md5 of their texts, so that many of
+    them spread like others. Repeated rows queue up as often as they occur; ties are rows alike in id, source and size, which may change places. Without any word all targets are 0. An empty table gives an empty result. Clashing columns
     are not read."""
     names = [f"__c{i}" for i in range(len(carry))]
     sized = cut_lineage(df.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"),
-        F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).alias("key"),
+        F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))).alias("key"),
         *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)]), "sizes")
     buckets = max(LEAST_BUCKETS, sized.count() // ROWS_PER_BUCKET)
     cell = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(float(1 << 32))).alias("bucket")
@@ -97,29 +99,45 @@ def curriculum_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def training_order(mix: DataFrame) -> DataFrame:
-    """One row per document and pass, range-sorted by training position."""
-    return mix.withColumn("position", F.explode("positions")).drop("positions").orderBy("position", "doc_id")
+    """One row per document and pass with its training `position` and, from 1 on, its `place` in the whole order; stored sorted by it.
+
+    The passes are partitioned by ranges of the position and sorted within, and places follow from the number of passes in the ranges before. Equal positions
+    go by id (nulls first) and then by the other columns. `mix` is evaluated once; runs the job that writes the sorted passes."""
+    passes = mix.withColumn("position", F.explode("positions")).drop("positions")
+    return with_position(passes, [], [F.col("position"), F.col("doc_id")], pos="place")
 
 
 def mixed(df: DataFrame) -> DataFrame:
-    return curriculum_mix(df).drop("positions")
+    """The mix as one row per document: doc_id, size, source_size, target, taken, and from the training order `n_passes` (0 to 3), `first_position` and `first_place` (null
+    without a pass)."""
+    mix = cut_lineage(curriculum_mix(df).withColumn("row", F.monotonically_increasing_id()), "mix")
+    placed = training_order(mix.select("row", "doc_id", "positions")).groupBy("row").agg(
+        F.count("*").alias("n_passes"), F.min("position").alias("first_position"), F.min("place").alias("first_place"))
+    return mix.drop("positions").join(placed.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left").select(
+        "doc_id", "size", "source_size", "target", "taken", F.coalesce("n_passes", F.lit(0)).alias("n_passes"), "first_position", "first_place")
 
 
 ORACLE = r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(doc_id::varchar, '')) as key from documents),
-p as (select source, sum(size)::bigint as source_size, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint as weight from d group by source),
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+  md5(coalesce(doc_id::varchar, md5(coalesce(text, '')))) as key from documents),
+p as (select source, sum(size)::bigint as source_size, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint as weight,
+  ((row_number() over (order by source nulls last) - 1) % 3 - 1) * 0.5::double as slope from d group by source),
 o as (select *, 3 * source_size as cap,
         sum(source_size) over () - coalesce(sum(3 * source_size) over (order by 3 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as room,
         sum(weight) over () - coalesce(sum(weight) over (order by 3 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as weights
       from p),
 c as (select *, cap * weights < room * weight as capped from o),
 l as (select arg_max(room, weights) as room, max(weights) as weights from c where not capped),
-t as (select c.source, c.source_size, case when capped then cap::double else (l.room * c.weight)::double / l.weights end as target from c, l),
-q as (select d.doc_id, d.size, t.source_size, t.target,
+t as (select c.source, c.source_size, c.slope, case when capped then cap::double else (l.room * c.weight)::double / l.weights end as target from c, l),
+q as (select d.doc_id, d.size, t.source_size, t.target, t.slope, row_number() over () as number,
         sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows between unbounded preceding and current row) - d.size as ahead
-      from d join t on d.source is not distinct from t.source)
-select doc_id, size::bigint as size, source_size, target,
-  (size * ((2 * ahead + size <= 2 * target)::int + (2 * (source_size + ahead) + size <= 2 * target)::int
-    + (2 * (2 * source_size + ahead) + size <= 2 * target)::int))::bigint as taken
-from q
+      from d join t on d.source is not distinct from t.source),
+x as (select q.*, 2 * (pass * source_size + ahead) + size as twice from q, range(3) as p(pass)),
+u as (select *, 1 + slope as a, case when target > 0 then twice / (2 * target) else 0 end as share from x where twice <= 2 * target),
+v as (select *, case when target <= 0 then 0 when slope = 0 then share
+  else (a - sqrt(greatest(a * a - 4 * slope * share, 0))) / (2 * slope) end as position from u),
+w as (select *, row_number() over (order by position, doc_id nulls first, number) as place from v),
+g as (select number, count(*) as n, min(position) as first_position, min(place) as first_place from w group by number)
+select doc_id, size::bigint as size, source_size, target, (size * coalesce(n, 0))::bigint as taken, coalesce(n, 0)::bigint as n_passes, first_position, first_place
+from q left join g using (number)
 """

@@ -105,8 +105,23 @@ def test_mixing(docs, no_docs, rows_of_documents):
     assert mixing.curriculum_mix(no_docs).count() == 0
     again = mixing.curriculum_mix(docs.repartition(7), carry=("source",)).collect()
     assert Counter(map(str, again)) == Counter(map(str, got))
-    order = [r.position for r in mixing.training_order(mixing.curriculum_mix(docs)).collect()]
-    assert order == sorted(order) and len(order) == sum(len(r.positions) for r in got)
+    order = sorted(mixing.training_order(mixing.curriculum_mix(docs)).collect(), key=lambda r: r.place)
+    assert [r.place for r in order] == list(range(1, 1 + sum(len(r.positions) for r in got)))
+    assert all((a.position, a.doc_id is not None, a.doc_id or 0) <= (b.position, b.doc_id is not None, b.doc_id or 0) for a, b in zip(order, order[1:]))
+    whole = mixing.mixed(docs).collect()
+    assert Counter((r.doc_id, r.n_passes, r.first_position) for r in whole) == Counter((r.doc_id, len(r.positions), min(r.positions, default=None)) for r in got)
+    first = {}
+    for r in order:
+        first.setdefault(r.doc_id, r.place)
+    assert {r.doc_id: r.first_place for r in whole if r.doc_id != 6 and r.n_passes} == {d: p for d, p in first.items() if d != 6}
+    assert mixing.mixed(no_docs).count() == 0
+
+
+def test_many_rows_without_an_id_spread_over_the_queue(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    got = mixing.mixed(df).collect()
+    assert len(got) == 3000 and all(r.n_passes == 1 for r in got) and sorted(r.first_place for r in got) == list(range(1, 3001))
+    assert len({r.first_position for r in got}) == 3000
 
 
 @settings(max_examples=15, deadline=None)
