@@ -83,13 +83,17 @@ def split_word(word: str) -> list[str]:
     return _pre_tokens.findall(word)
 
 
+# Longer words are merged each time and not kept.
+KEPT_BYTES = 64
+
+
 class Words(dict):
-    """Lower-cased word → its row in a flat table of ids. At `limit` words the table starts again, so
-    that a worker's memory stays bounded."""
+    """Lower-cased word → its row in a flat table of ids. Words of up to KEPT_BYTES are kept. Before a slice of texts the table starts again if it holds
+    more than `limit` words, `limit_bytes` of words or as many ids, so that a worker's memory stays bounded whatever the texts hold."""
 
-    def __init__(self, name: str = VOCABULARY, limit: int = 1_000_000):
+    def __init__(self, name: str = VOCABULARY, limit: int = 400_000, limit_bytes: int = 8 << 20):
         super().__init__()
-        self.tok, self.limit = library(name), limit
+        self.tok, self.limit, self.limit_bytes = library(name), limit, limit_bytes
         self.proven = whole_tokens(name)
         self.pieces: dict[str, int] = {}
         self.reset()
@@ -97,6 +101,7 @@ class Words(dict):
     def reset(self) -> None:
         self.clear()
         self.pieces.clear()
+        self.bytes = 0
         self.flat, self.start, self.length = array("I"), array("q"), array("q")
 
     def __missing__(self, word: str) -> int:
@@ -111,19 +116,23 @@ class Words(dict):
             if known is None:
                 at = len(flat)
                 flat.extend([t.id for t in self.tok.model.tokenize(entry)])
-                if len(entry) <= 64:
+                if len(entry) <= KEPT_BYTES:
                     self.pieces[entry] = at << 20 | len(flat) - at
+                    self.bytes += len(entry)
             else:
                 at = known >> 20
                 flat.extend(flat[at:at + (known & 0xFFFFF)])
-        row = self[word] = len(self.start)
+        row = len(self.start)
+        if len(word) <= KEPT_BYTES and (word.isascii() or len(word.encode()) <= KEPT_BYTES):
+            self[word] = row
+            self.bytes += len(word)
         self.start.append(begun)
         self.length.append(len(flat) - begun)
         return row
 
     def _rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
         """Table rows of all words, words per text, and the ids of texts that the library encodes whole."""
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.bytes > self.limit_bytes or len(self.flat) > self.limit_bytes:
             self.reset()
         split, whole = [], {}
         for i, t in enumerate(texts):

@@ -163,3 +163,17 @@ def test_best_fit_packing(docs, no_docs, rows_of_documents, library_ids, monkeyp
         assert at <= 64
     assert len(held) <= 1.02 * sum(r.length for r in got) / 64 + 1
     assert packing.best_fit_packing(no_docs).count() == 0
+
+
+def test_the_table_of_words_is_bounded_in_bytes(library_ids):
+    """Long words are encoded and not kept; many words, many bytes or many ids start the table again; counts stay those of the library."""
+    from hazegrid.llm import bpe
+
+    table = bpe.Words(limit=50, limit_bytes=2_000)
+    texts = ["x" * 20_000 + f" word{i} " + "é" * 40 + f" a{i}b " + "ab3" * 30 for i in range(40)]
+    for t in texts + texts[:3]:
+        assert table.counts([t]).tolist() == [len(library_ids(t))]
+        assert table.ids([t])[0].tolist() == library_ids(t)
+        assert max(map(len, [*table, *table.pieces]), default=0) <= bpe.KEPT_BYTES
+        # one slice may go beyond the limits, the next begins anew
+        assert table.bytes <= 2_000 + 2 * bpe.KEPT_BYTES and len(table) <= 52
