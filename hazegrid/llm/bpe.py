@@ -89,9 +89,9 @@ KEPT_BYTES = 64
 
 class Words(dict):
     """Lower-cased word → its row in a flat table of ids. Words of up to KEPT_BYTES are kept. Before a slice of texts the table starts again if it holds
-    more than `limit` words, `limit_bytes` of words or as many ids, so that a worker's memory stays bounded whatever the texts hold."""
+    more than `limit` words, `limit_bytes` of words or a quarter as many ids, so that a worker's memory stays bounded whatever the texts hold."""
 
-    def __init__(self, name: str = VOCABULARY, limit: int = 400_000, limit_bytes: int = 8 << 20):
+    def __init__(self, name: str = VOCABULARY, limit: int = 1_000_000, limit_bytes: int = 32 << 20):
         super().__init__()
         self.tok, self.limit, self.limit_bytes = library(name), limit, limit_bytes
         self.proven = whole_tokens(name)
@@ -132,7 +132,7 @@ class Words(dict):
 
     def _rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
         """Table rows of all words, words per text, and the ids of texts that the library encodes whole."""
-        if len(self) > self.limit or self.bytes > self.limit_bytes or len(self.flat) > self.limit_bytes:
+        if len(self) > self.limit or self.bytes > self.limit_bytes or 4 * len(self.flat) > self.limit_bytes:
             self.reset()
         split, whole = [], {}
         for i, t in enumerate(texts):
