@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,14 @@ COMMON = {
 N_COMMON = 16
 CLASSES = ("lower", "upper", "space", "digit", "symbol", "punctuation", "other")
 
-# Guards: a histogram of fewer counts than this says nothing. Distances lie between 0 and 1.
+# Guards: a shorter text's histograms say nothing. Distances lie between 0 and 1.
 LEAST_CHARS = 200
-LEAST_COMMON = 40
+LEAST_WORDS = 50
 MOST_CHAR_DISTANCE = 0.3
-MOST_WORD_DISTANCE = 0.6
+# Words: the limit is on the divergence beyond what so few words show by chance, see `by_chance`.
+MOST_WORD_DIVERGENCE = 0.06
+# A text's part in a reference is its shares in whole parts of this, so that sums are exact in any order.
+PARTS = 1_000_000
 
 
 def bind(value: Column, f) -> Column:
@@ -103,7 +108,7 @@ def _features(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
 
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     found = source.select(
-        "doc_id", "lang",
+        "doc_id", "lang", F.md5("text").alias("md5"),
         F.length("text").alias("n"), F.length(F.regexp_replace("text", "[^A-Z]+", "")).alias("upper"),
         bind(F.regexp_replace("text", r"\p{L}+", ""), char_stats).alias("c"),
         bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
@@ -112,42 +117,59 @@ def _features(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
     classes = [F.col("n") - F.col("c.rest") - F.col("upper"), F.col("upper"), space, digit, F.col("c.marks.symbol"), F.col("c.marks.punctuation"),
                F.col("c.marks.n") - F.col("c.marks.symbol") - F.col("c.marks.punctuation")]
     return found.select(
-        "doc_id", "lang", F.col("w.n_words").alias("n_words"), (F.col("n") - space).cast("long").alias("word_chars"),
+        "doc_id", "lang", "md5", F.col("w.n_words").alias("n_words"), (F.col("n") - space).cast("long").alias("word_chars"),
         F.col("c.marks.symbol").cast("long").alias("n_symbols"), "n_dup_lines", F.col("w.n_repeat_words").alias("n_repeat_words"),
-        F.array(*[x.cast("long") for x in classes]).alias("chars"), F.col("w.words").alias("words"))
+        F.array(*[x.cast("long") for x in classes]).alias("chars"),
+        F.when(F.size("w.words") > 0, F.concat("w.words", F.array(F.col("w.n_words") - _size(F.col("w.words"))))).alias("words"))
+
+
+def _size(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def by_chance(n: Column) -> Column:
+    """The divergence (in bits) that `n` words drawn from the reference itself have from it on average, to first order: one degree of
+    freedom for each common word."""
+    return F.lit(N_COMMON / (8 * math.log(2))) / n
+
+
+def references(found: DataFrame) -> DataFrame:
+    """l, ref_chars, ref_words: the mean shares of each language, in whole PARTS, over its distinct texts that pass the base rule.
+
+    Copies count once and long texts no more than short ones. Equal texts meet by md5: histograms are shuffled, texts are not."""
+    shares = [F.floor(F.get(a, F.lit(i)) * PARTS / _size(F.col(a))).alias(f"{a}{i}") for a, n in (("chars", len(CLASSES)), ("words", N_COMMON + 1)) for i in range(n)]
+    distinct = found.where(~F.col("base_failed")).groupBy("lang", "md5").agg(F.first("chars").alias("chars"), F.first("words").alias("words"))
+    sums = distinct.select("lang", *shares).groupBy(F.col("lang").alias("l")).agg(
+        *[F.sum(f"chars{i}").alias(f"c{i}") for i in range(len(CLASSES))], *[F.coalesce(F.sum(f"words{i}"), F.lit(0)).alias(f"w{i}") for i in range(N_COMMON + 1)])
+    return sums.select("l", F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("ref_chars"), F.array(*[f"w{i}" for i in range(N_COMMON + 1)]).alias("ref_words"))
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  most_char_distance: float = MOST_CHAR_DISTANCE, most_word_distance: float = MOST_WORD_DISTANCE) -> DataFrame:
+                  most_char_distance: float = MOST_CHAR_DISTANCE, most_word_divergence: float = MOST_WORD_DIVERGENCE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance.
 
-    The references are the histograms of all documents of a language: character classes, and the language's common words.
-    A document fails the method if its distance from either is above the limit; a histogram of fewer than
-    LEAST_CHARS characters or LEAST_COMMON common words is not judged. All counts come from whole texts, within the
-    row: only the counts are written to the shared folder (runs a job), and one row per task and language is shuffled.
+    A document has two histograms: of character classes, and of its language's common words with one bin for all other words, so
+    that too few common words are a distance too. It fails the method if its characters are further from its language's reference than
+    the limit, or if the divergence of its words exceeds the limit by more than `by_chance`, so that short texts are judged as
+    surely as long ones. Texts of fewer than LEAST_CHARS characters or LEAST_WORDS words are not judged by that histogram.
+    References are the mean shares of the distinct texts that pass the base rule. All counts come from whole texts, however long, within
+    the row: only the counts are written to the shared folder (runs a job), and histograms, not texts, are shuffled.
 
     A null or empty text has no words and fails the base rule. Documents without a language share a reference of characters;
-    a language without a word list is judged by characters alone. Repeated rows give
-    repeated rows; an empty table gives an empty result; other columns are ignored."""
-    found = cut_lineage(_features(df, id_col, text_col, lang_col), "features")
-    sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
-    sums += [F.coalesce(F.sum(F.get("words", F.lit(i))), F.lit(0)).alias(f"w{i}") for i in range(N_COMMON)]
-    refs = found.groupBy("lang").agg(*sums).select(
-        F.col("lang").alias("l"), F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("ref_chars"),
-        F.array(*[f"w{i}" for i in range(N_COMMON)]).alias("ref_words"))
-
-    def size(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-
-    char = F.when(size(F.col("chars")) >= LEAST_CHARS, jensen_shannon(F.col("chars"), F.col("ref_chars")))
-    word = F.when(size(F.col("words")) >= LEAST_COMMON, jensen_shannon(F.col("words"), F.col("ref_words")))
+    a language without a word list is judged by characters alone, and the only text of a language is its own reference.
+    Repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored."""
+    found = _features(df, id_col, text_col, lang_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    far = F.coalesce(F.col("char_distance") > most_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > most_word_distance, F.lit(False))
-    return (found.join(refs, F.col("lang").eqNullSafe(F.col("l")), "left")
-            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-                    char.alias("char_distance"), word.alias("word_distance"))
-            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance"))
+    found = cut_lineage(found.withColumn("base_failed", failed), "features")
+    char = F.when(_size(F.col("chars")) >= LEAST_CHARS, jensen_shannon(F.col("chars"), F.col("ref_chars")))
+    word = F.when(F.col("n_words") >= LEAST_WORDS, jensen_shannon(F.col("words"), F.col("ref_words")))
+    far = F.coalesce(F.col("char_distance") > most_char_distance, F.lit(False)) | F.coalesce(
+        F.pow("word_distance", F.lit(2.0)) - by_chance(F.col("n_words")) > most_word_divergence, F.lit(False))
+    counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    # one row of 24 numbers per language; whether it is broadcast, adaptive execution decides by its measured size
+    return (found.join(references(found), F.col("lang").eqNullSafe(F.col("l")), "left")
+            .select(*counts, char.alias("char_distance"), word.alias("word_distance"))
+            .select(*counts, (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance"))
 
 
 def verdicts(df: DataFrame) -> DataFrame:
@@ -167,26 +189,28 @@ c as (select doc_id, lang, t, common, length(t) as n, length(regexp_replace(t, '
 ]+', '', 'g')) as space,
         length(regexp_replace(t, '[^0-9]+', '', 'g')) as digit, length(regexp_replace(t, '[^{SYMBOLS}]+', '', 'g')) as symbol,
         length(regexp_replace(t, '[^.,;:!?''"()\-]+', '', 'g')) as point from d),
-h as (select doc_id, lang, 'c' as kind, unnest(range(7)) as k,
-        unnest([n - rest - upper, upper, space, digit, symbol, point, rest - space - digit - symbol - point]) as x from c
-      union all
-      select d.doc_id, d.lang, 'w', u.k, count(m.word) from (select doc_id, unnest(range(len(common))) as k, unnest(common) as word from d) u
+b as (select c.doc_id, c.lang, md5(c.t) as m, c.t, len(w.w) as n_words, c.n - space as word_chars, symbol as n_symbols,
+        (select count(*) - count(distinct l) from (select unnest(string_split(c.t, chr(10))) as l) where regexp_matches(l, '[^ 	-
+]')) as n_dup_lines,
+        coalesce(cov.n, 0) as n_repeat_words, n_words < 50 or 100 * coalesce(cov.n, 0) > 50 * n_words as base_failed
+      from c join w using (doc_id) left join cov using (doc_id)),
+hits as (select d.doc_id, u.k, count(m.word) as x from (select doc_id, unnest(range(len(common))) as k, unnest(common) as word from d) u
         join d using (doc_id) left join (select doc_id, lower(unnest(w)) as word from w) m on m.doc_id = u.doc_id and m.word = u.word
         group by all),
-r as (select lang, kind, k, sum(x)::double as y from h group by all),
-s as (select h.doc_id, h.kind, h.x / nullif(sum(h.x) over g, 0) as p, r.y / nullif(sum(r.y) over g, 0) as q, sum(h.x) over g as all_x
-      from h join r on h.lang is not distinct from r.lang and h.kind = r.kind and h.k = r.k window g as (partition by h.doc_id, h.kind)),
-j as (select doc_id, kind, max(all_x) as all_x, sqrt(greatest(sum(case when p > 0 then p * log2(p / ((p + q) / 2)) / 2 else 0 end
+h as (select doc_id, 'c' as kind, unnest(range(7)) as k,
+        unnest([n - rest - upper, upper, space, digit, symbol, point, rest - space - digit - symbol - point]) as x from c
+      union all select doc_id, 'w', k, x from hits
+      union all select doc_id, 'w', {N_COMMON}, n_words - sum(x) from hits join b using (doc_id) group by doc_id, n_words),
+z as (select doc_id, lang, kind, k, x, sum(x) over (partition by doc_id, kind) as all_x, n_words from h join b using (doc_id)),
+one as (select min(doc_id) as doc_id from b where not base_failed group by lang, m),
+r as (select lang, kind, k, sum((x * {PARTS}) // all_x)::double as y from z join one using (doc_id) group by all),
+s as (select z.doc_id, z.kind, z.x / nullif(z.all_x, 0) as p, r.y / nullif(sum(r.y) over g, 0) as q, z.all_x, z.n_words
+      from z join r on z.lang is not distinct from r.lang and z.kind = r.kind and z.k = r.k window g as (partition by z.doc_id, z.kind)),
+j as (select doc_id, kind, max(all_x) as all_x, max(n_words) as n_words, sqrt(greatest(sum(case when p > 0 then p * log2(p / ((p + q) / 2)) / 2 else 0 end
         + case when q > 0 then q * log2(q / ((p + q) / 2)) / 2 else 0 end), 0)) as dist from s group by doc_id, kind),
 far as (select distinct doc_id from j where kind = 'c' and all_x >= {LEAST_CHARS} and dist > {MOST_CHAR_DISTANCE}
-        or kind = 'w' and all_x >= {LEAST_COMMON} and dist > {MOST_WORD_DISTANCE}),
-b as (select c.doc_id, len(w.w) as n_words, c.n - space as word_chars, symbol as n_symbols,
-        (select count(*) - count(distinct l) from (select unnest(string_split(c.t, chr(10))) as l) where regexp_matches(l, '[^ 	-
-]')) as n_dup_lines,
-        coalesce(cov.n, 0) as n_repeat_words
-      from c join w using (doc_id) left join cov using (doc_id))
-select b.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and doc_id not in (select doc_id from far) as kept from b
+        or kind = 'w' and n_words >= {LEAST_WORDS} and dist * dist - {N_COMMON} / (8 * ln(2)) / n_words > {MOST_WORD_DIVERGENCE})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from far) as kept from b
 """
 
 

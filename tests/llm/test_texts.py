@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 from base64 import b64encode
 from collections import Counter
 from zlib import crc32
@@ -52,7 +53,65 @@ def test_quality_rules_tell_junk_from_prose(spark):
     got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[i].kept for i in range(60))
     assert not got[100].kept and got[100].char_distance > quality.MOST_CHAR_DISTANCE
-    assert not got[101].kept and got[101].word_distance > quality.MOST_WORD_DISTANCE
+    assert not got[101].kept and got[101].word_distance ** 2 > quality.MOST_WORD_DIVERGENCE
+
+
+def histograms(text, lang):
+    text = text or ""
+    letters = re.findall(r"[^\W\d_]", text)
+    upper = sum(c in string.ascii_uppercase for c in text)
+    space, digit, symbol = (sum(c in x for c in text) for x in (" \t\n\v\f\r", string.digits, quality.SYMBOLS))
+    points = sum(c in quality.PUNCTUATION for c in text)
+    words = WORD.findall(text)
+    common = [sum(w.lower() == c for w in words) for c in quality.COMMON.get(lang, [])]
+    return ([len(letters) - upper, upper, space, digit, symbol, points, len(text) - len(letters) - space - digit - symbol - points],
+            common + [len(words) - sum(common)] if common else None)
+
+
+def plain_distance(p, q):
+    p, q = np.array(p) / sum(p), np.array(q) / sum(q)
+    m = (p + q) / 2
+    return sum((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum() / 2 for x in (p, q)) ** 0.5
+
+
+def plain_verdicts(rows):
+    """(doc_id, kept, char_distance, word_distance) as the docstring of the operator has them."""
+    base = {}
+    for d, t, lang in rows:
+        c = plain_counts(t)
+        base[t] = c[0] < 50 or 100 * c[4] > 50 * c[0], c[0]
+    refs = {}
+    for t, lang in {(t, lang) for _, t, lang in rows if not base[t][0]}:
+        for i, h in enumerate(histograms(t, lang)):
+            if h:
+                share = np.array([x * quality.PARTS // sum(h) for x in h])
+                refs[lang, i] = refs.get((lang, i), 0) + share
+    for d, t, lang in rows:
+        (failed, n), (chars, words) = base[t], histograms(t, lang)
+        char = plain_distance(chars, refs[lang, 0]) if sum(chars) >= quality.LEAST_CHARS and (lang, 0) in refs else None
+        word = plain_distance(words, refs[lang, 1]) if words and n >= quality.LEAST_WORDS and (lang, 1) in refs else None
+        far = char is not None and char > quality.MOST_CHAR_DISTANCE or word is not None and (
+            word ** 2 - quality.N_COMMON / (8 * np.log(2) * n) > quality.MOST_WORD_DIVERGENCE)
+        yield d, not failed and not far, char, word
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    draw = random.Random(3)
+
+    def text(lang, share, n):
+        common = quality.COMMON.get(lang, ["x"])
+        return " ".join(draw.choice(common) if draw.random() < share else "".join(draw.choices("abcdehilnorstÜé.,", k=5)) for _ in range(n))
+    rows = [(i, text(lang, 0.4, draw.randrange(40, 400)), lang) for i, lang in enumerate(["en", "en", "de", "fr", None, "xx"] * 12)]
+    rows += [(200, text("en", 0, 20_000), "en"), (201, text("de", 0.4, 300), "en"), (202, "buy now " * 3 + text("en", 0, 90), "en"), (203, None, "en"),
+             (204, "", None), (205, text("en", 0.4, 45), "en"), (206, text("es", 0.4, 80), "es"), (207, "#" * 5_000, "it")]
+    rows += [(300 + i, rows[-8][1], "en") for i in range(100)]     # copies of junk do not move the reference
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)).collect()}
+    assert len(got) == len(rows)
+    for d, kept, char, word in plain_verdicts(rows):
+        assert got[d].kept == kept, d
+        assert got[d].char_distance == (char if char is None else pytest.approx(char, abs=1e-9))
+        assert got[d].word_distance == (word if word is None else pytest.approx(word, abs=1e-9))
+    assert not any(got[d].kept for d in (200, 201, 300, 399)) and all(got[i].kept for i in range(72) if got[i].n_words >= 50)
 
 
 @settings(max_examples=25, deadline=None)
