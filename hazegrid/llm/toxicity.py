@@ -72,14 +72,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets with a weight, their weights, and the bias; empty if there are no labels.
 
-    At most `rows` labelled rows outside the held-out fifth are joined with their texts; that sample, bounded whatever
-    the table holds, is learnt in order of a hash of the ids, in one task."""
+    At most `rows` labelled rows outside the held-out fifth are joined with their texts. Of texts under one id the smallest is learnt, once
+    for each label of the id, so that the sample is bounded however often an id repeats. It is learnt in order of a hash of the ids, in one task."""
     chosen = (labels.select(F.col(f"`{id_col}`").alias("l"), F.col(f"`{label_col}`").cast("int").alias("label"))
               .where(F.col("label").isin(0, 1) & F.col("l").isNotNull() & ~held_out(F.col("l")))
               .orderBy(F.xxhash64("l"), "l", "label").limit(rows))
     texts = docs.select(F.col(f"`{id_col}`").alias("d"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     # at most `rows` pairs of numbers, so broadcasting them is safe
-    sample = texts.join(F.broadcast(chosen), F.col("d") == F.col("l")).select("d", "text", "label")
+    sample = texts.join(F.broadcast(chosen), F.col("d") == F.col("l")).groupBy("d", "label").agg(F.min("text").alias("text"))
 
     def learn(batches):
         seen = []
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(model.weights(used), model.bias))], names=["bucket", "weight"])
 
-    # every task that reads labelled documents sends them to one; their number is bounded by `rows`
+    # texts of one id meet per task first; then at most `rows` of them go to one task
     model = (sample.withColumn("order", F.xxhash64("d")).select("order", "text", "label").repartition(1)
              .mapInArrow(learn, "bucket long, weight double").collect())
     model.sort()
@@ -134,8 +134,8 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """doc_id, held_out, score, predicted for each row of `df`. Runs the training job.
 
     Texts alone are features. Null and empty texts score the bias; without labels every score is 0. A null id counts as an empty one and is
-    held out. Labels that are null or no 0 or 1 are not learnt. Repeated rows give repeated rows, an empty table an
-    empty result; other columns are ignored."""
+    held out. Labels that are null or no 0 or 1 are not learnt. Whole texts are scored, one at a time, however long. Repeated rows give
+    repeated rows, an empty table an empty result; other columns are ignored."""
     return score(df, fit(df, labels, id_col, text_col, label_col, rows), id_col, text_col)
 
 

@@ -1,13 +1,16 @@
 import hashlib
+import math
 import random
 import re
 import string
+import struct
 from base64 import b64encode
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -279,6 +282,55 @@ def test_toxicity_on_held_out_rows(spark, docs, no_docs):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def plain_ftrl(samples, epochs, alpha, beta, l1, l2):
+    """FTRL-proximal one coordinate at a time, on dictionaries."""
+    z, n, bias, bias_n = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(epochs):
+        for buckets, label in samples:
+            w = {i: weight(i) for i in buckets}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - label
+            for i in buckets:
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / alpha * w[i]
+            bias_n += g * g
+            bias -= alpha * g / (beta + math.sqrt(bias_n))
+    return {i: weight(i) for i in z if weight(i)}, bias
+
+
+def labelled(n):
+    draw = random.Random(11)
+    words = ["".join(draw.choices("aeinorst", k=4)) for _ in range(40)] + ["grubby", "vile"]
+    return [(i, " ".join(draw.choices(words[:40 + 2 * (i % 4 == 0)], k=draw.randrange(60))), int(i % 4 == 0)) for i in range(n)]
+
+
+def test_fit_equals_plain_ftrl(spark):
+    rows = labelled(250)
+    learnt = sorted((r for r in rows if crc32(str(r[0]).encode()) % 5),
+                    key=lambda r: struct.unpack("<q", xxhash.xxh64(struct.pack("<q", r[0]), seed=42).intdigest().to_bytes(8, "little"))[0])
+    want, bias = plain_ftrl([(set(toxicity.features(t).tolist()), y) for _, t, y in learnt], toxicity.EPOCHS,
+                            toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    at, weights, got_bias = toxicity.fit(df.drop("toxic"), df.drop("text"))
+    assert len(want) > 5 and got_bias == pytest.approx(bias, abs=1e-9)
+    assert dict(zip(at.tolist(), weights.tolist())) == pytest.approx(want, abs=1e-9)
+
+
+def test_an_id_with_many_rows_is_learnt_once(spark):
+    rows = labelled(120)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    hot = next(r for r in rows if r[2] and r[1] and crc32(str(r[0]).encode()) % 5)
+    copies = spark.range(20_000).select(F.lit(hot[0]).alias("doc_id"), F.concat(F.lit(hot[1] + " "), F.col("id").cast("string")).alias("text"))
+    once = toxicity.fit(df.drop("toxic"), df.drop("text"))
+    often = toxicity.fit(df.drop("toxic").union(copies), df.drop("text").union(df.drop("text").where(F.col("doc_id") == hot[0])))
+    assert (once[0] == often[0]).all() and (once[1] == often[1]).all() and once[2] == often[2]
+
+
 # ---- main text
 
 
