@@ -210,19 +210,39 @@ def p17(t):
     return t.bulk.select("station_id", "ts", aqi.category(index).alias("aqi_cat"))
 
 
-def text_case(test: str, bands: list, otherwise: str) -> str:
-    arms = " ".join(f"when {test.format(x=x)} then '{text}'" for x, text in bands)
-    return f"case {arms} {otherwise} end"
-
-
-ADVICE_SQL = [text_case("aqi <= {x}", [(b[0], b[i]) for b in aqi.ADVICE[:-1]], f"when aqi is not null then '{aqi.ADVICE[-1][i]}'") for i in (1, 2, 3)]
-WARNING_SQL = text_case("pm25 between {x[0]} and {x[1]}", [(band, text) for band, (_, text) in zip(aqi.PM25_SIX, aqi.WARNINGS)], f"else '{aqi.NO_CATEGORY}'")
+# Bounds and texts written out, apart from the tables of advice and warnings, so that a change of those shows.
+ADVICE_SQL = """
+    case
+      when aqi <= 50 then 'Ideal conditions across Dhaka. Open-air commutes via rickshaw or bicycle pose minimal respiratory strain.'
+      when aqi <= 100 then 'Acceptable air. Unusually sensitive individuals on major arterial routes (Airport Rd, Mirpur Rd) should take light precautions.'
+      when aqi <= 150 then 'Active commuters on open CNGs, rickshaws, and motorcycles will experience particulate irritation during rush hour.'
+      when aqi <= 200 then 'Heavy exhaust and brick-kiln smoke trapping. Motorcyclists and open-vehicle commuters face elevated fine particulate deposition.'
+      when aqi is not null then 'CRITICAL: Severe thermal inversion in progress. High concentrations of combustion soot and toxic aerosol.' end as commuter,
+    case
+      when aqi <= 50 then 'Masking not required for general population.'
+      when aqi <= 100 then 'Surgical or cloth mask optional for dust protection.'
+      when aqi <= 150 then 'N95 / KN95 particulate respirator strongly recommended for children, asthmatics, and transit police.'
+      when aqi <= 200 then 'Mandatory N95 / FFP2 respirators with airtight seal for anyone outdoors >30 minutes.'
+      when aqi is not null then 'Strict N95/P100 respirator requirement. Eliminate outdoor walking and cycling.' end as mask,
+    case
+      when aqi <= 50 then 'Open windows across Mirpur, Dhanmondi, and Gulshan for natural convective exchange.'
+      when aqi <= 100 then 'Windows can remain open; best air exchange window between 12:00 PM and 3:30 PM.'
+      when aqi <= 150 then 'Keep windows closed during early morning rush hours (08:00–10:00). Open briefly around solar noon.'
+      when aqi <= 200 then 'Seal residential windows; run HEPA air purification where available. Avoid natural ventilation before 1:00 PM.'
+      when aqi is not null then 'Complete window sealing. Do not open windows. Vulnerable groups must remain indoors.' end as ventilation,
+    case when pm25 is null or pm25 < 0 then 'No data available.'
+      when pm25 > 500.4 then '🟤 Extreme Health Alert: Hazardous toxic conditions. Remain indoors completely.'
+      when pm25 between 0.0 and 12.0 then '🟢 Minimal health impact. Air quality is considered satisfactory.'
+      when pm25 between 12.1 and 35.4 then '🟡 Acceptable quality. Very sensitive individuals may experience minor respiratory symptoms.'
+      when pm25 between 35.5 and 55.4 then '🟠 General public not likely affected; active children/adults and people with respiratory disease should limit outdoor exertion.'
+      when pm25 between 55.5 and 150.4 then '🔴 Everyone may begin to experience health effects; sensitive groups may experience more serious effects. Avoid prolonged outdoor exertion.'
+      when pm25 between 150.5 and 250.4 then '🟣 Health warnings of emergency conditions. The entire population is more likely to be affected. Stay indoors.'
+      when pm25 between 250.5 and 500.4 then '🟤 Health alert: everyone may experience more serious health effects. Remain indoors and keep activity levels low.'
+      else 'Unknown' end as warning"""
 
 
 @query("p18_advice", sql(f"""
-  select l_orderkey, l_linenumber::bigint as l_linenumber, ts, {ADVICE_SQL[0]} as commuter, {ADVICE_SQL[1]} as mask,
-    {ADVICE_SQL[2]} as ventilation, case when pm25 is null or pm25 < 0 then '{aqi.NO_DATA_WARNING}'
-      when pm25 > 500.4 then '{aqi.TOP_WARNING}' else {WARNING_SQL} end as warning
+  select l_orderkey, l_linenumber::bigint as l_linenumber, ts, {ADVICE_SQL}
   from (select *, {CEIL_SQL} as aqi from ({SHIFTED}))""", "bulk_raw"))
 def p18(t):
     commuter, mask, ventilation = aqi.advice(aqi.index_ceiling(c("pm25")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazegrid.operators import cleaning, joins
-from hazegrid.schema import POLLUTANTS, SOURCE_RULES
+from hazegrid.schema import POLLUTANTS
 
 TIE = ["l_orderkey", "l_linenumber"]
 # Keywords that occur in the given station names: keyword, area, people per km2.
@@ -138,23 +138,24 @@ _NN = " + ".join(f"({p} is not null)::int" for p in POLLUTANTS)
 _NULLS_FIRST = ", ".join(f"{c} nulls first" for c in [*TIE, *POLLUTANTS])
 _KEY_CASE = " ".join(f"when contains(lower(station_name), '{w}') then floor({d} * pi() * 9)" for w, _, d in KEYWORDS)
 
-
-
-def _rule_sql(rule: dict) -> str:
-    """A source rule in SQL: terms and steps add up where the gate and the thresholds hold."""
-    def ranges(tests: dict) -> list[str]:
-        return ["(" + " or ".join(f"{n} between {a} and {b}" for a, b in r) + ")" for n, r in tests.items()]
-
-    def exceeds(tests: dict) -> list[str]:
-        return [f"coalesce({n} > {x}, false)" for n, x in tests.items()]
-
-    gate = " and ".join(ranges(rule["gate"]) + exceeds(rule["gate_above"]))
-    full = " and ".join(ranges(rule["within"]) + exceeds(rule["above"]))
-    parts = [f"{w} * least(({n} - {o}) / {s}::double, 1)" for w, n, o, s in rule["terms"]]
-    parts += [f"{w} * (case " + " ".join(f"when {n} between {a} and {b} then {x}" for (a, b), x in r) + f" else {other} end)" for w, n, r, other in rule["steps"]]
-    total = " + ".join([str(rule["always"]), *parts])
-    return f"(case when not ({gate}) then 0 when {full} then least(1, {total}) else {rule['partial']} end)::double"
-
+# The scores written out, apart from the table of rules, so that a changed threshold shows.
+_SCORES = """
+        (case when hour(ts) not in (8, 9, 10, 17, 18, 19, 20) or dayofweek(ts) in (0, 6) then 0
+              when no2 > 30 and pm10 > 60 then least(1, 0.45 + 0.30 * least(no2 / 80.0::double, 1) + 0.25 * least(pm10 / 120.0::double, 1))
+              else 0.3 end)::double as score_traffic,
+        (case when month(ts) not in (11, 12, 1, 2, 3, 4) or hour(ts) not between 6 and 12 then 0
+              when so2 > 15 and pm10 > 80 then least(1, 0.35 * least(so2 / 50.0::double, 1) + 0.30 * least(pm10 / 150.0::double, 1)
+                + case month(ts) when 12 then 0.20 when 1 then 0.20 when 2 then 0.20 when 11 then 0.14 when 3 then 0.14 else 0.08 end
+                + case when hour(ts) between 7 and 11 then 0.15 else 0.075 end)
+              else 0.2 end)::double as score_brick_kiln,
+        (case when month(ts) not in (10, 11) or hour(ts) not between 17 and 22 then 0
+              when co > 1.0 and pm25 > 50 then least(1, 0.40 * least(co / 5.0::double, 1) + 0.35 * least(pm25 / 120.0::double, 1)
+                + case when month(ts) = 11 then 0.25 else 0.175 end)
+              else 0.15 end)::double as score_biomass,
+        (case when pm25 is null or pm10 is null or pm25 <= 0 or pm10 / pm25 <= 2.5 then 0
+              when hour(ts) between 7 and 18 and pm25 > 5 then least(1, 0.50 * least((pm10 / pm25 - 2.5) / 4.5::double, 1)
+                + 0.30 * least(pm10 / 200.0::double, 1) + case when hour(ts) between 9 and 16 then 0.20 else 0.10 end)
+              else 0.10 end)::double as score_construction"""
 
 CTES = {
     "readings": """select event_id, 'ST' || (user_id // 15 * 13)::varchar as station_id, ts,
@@ -206,8 +207,7 @@ CTES = {
     "cal": """select *, hour(ts) as hour, dayofweek(ts) + 1 as dow, month(ts) as month,
         case when month(ts) in (12, 1, 2) then 'Winter' when month(ts) in (3, 4, 5) then 'Pre-Monsoon'
              when month(ts) in (6, 7, 8, 9) then 'Monsoon' else 'Post-Monsoon' end as season from bulk""",
-    "scored": f"""select * exclude (ratio), {', '.join(f'{_rule_sql(r)} as {n}' for n, r in SOURCE_RULES.items())}
-        from (select *, pm10 / case when pm25 > 0 then pm25 end as ratio from cal)""",
+    "scored": f"""select *, {_SCORES} from cal""",
     "station_season_scores": """select station_id, season, avg(score_traffic) as score_traffic,
         avg(score_brick_kiln) as score_brick_kiln, avg(score_biomass) as score_biomass,
         avg(score_construction) as score_construction, count(*) as n_readings from scored group by 1, 2""",
