@@ -1,20 +1,25 @@
-"""The three jobs of a deployment: build the store, derive the result tables, train the forecast.
+"""The jobs of a deployment: build the store, derive the result tables, train the forecast, serve it.
 
-    python -m hazegrid.plans.flows build --stations S --measurements M --weather W --store OUT --from DAY --to DAY
+    python -m hazegrid.plans.flows build --stations S --measurements M --weather W --store OUT --from DAY --to DAY [--cells CELLS]
     python -m hazegrid.plans.flows analyse --store OUT --results DIR
     python -m hazegrid.plans.flows train --store OUT --results DIR
+    python -m hazegrid.plans.flows serve --store OUT --results DIR [--weather W]
 """
 
 from __future__ import annotations
 
 import argparse
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazegrid.functions import aqi
+from hazegrid.functions.atmosphere import boundary_layer_height, clip
 from hazegrid.functions.calendar import with_calendar
 from hazegrid.functions.signatures import with_source_scores
-from hazegrid.operators import cleaning, forecast, health, joins, profile, signatures
+from hazegrid.operators import cleaning, fitted, forecast, health, joins, profile, signatures, spatial
+from hazegrid.operators.lookup import join_on
 from hazegrid.schema import AREA_DENSITY, CLEANED, KNOWN_CATCHMENTS, POLLUTANTS, WEATHER
 from hazegrid.session import SETTINGS, cut_lineage
 from hazegrid.sources import landed, tables
@@ -22,18 +27,21 @@ from hazegrid.sources import landed, tables
 
 def build_store(
     spark: SparkSession, stations: str, measurements: str, weather: str, store: str, first_day: str, last_day: str,
-    population: DataFrame | None = None, box: dict[str, float] | None = None,
+    population: DataFrame | None = None, box: dict[str, float] | None = None, cells: DataFrame | None = None, radius_km: float = 3.0,
 ) -> None:
     """Landed files to the cleaned store, partitioned by station, year and month.
 
-    `population` has station_id and population_catchment, for example from
-    `spatial.population_in_square`; without it the catchments come from the station names.
+    `population` has station_id and population_catchment. Without it the catchments are the sums of the population `cells` (cell_id, lat, lon, pop)
+    within `radius_km` of a station in latitude and longitude, and without cells they come from the station names.
     """
     places = landed.stations(landed.read_json(spark, stations, landed.STATION_JSON), box).drop("sensors")
     readings = landed.within_days(
         landed.measurements(landed.read_json(spark, measurements, landed.MEASUREMENT_JSON)), first_day, last_day)
     wide = cleaning.widen(cleaning.standardise(readings), ["ts", "station_id"])
-    people = joins.catchment_from_name(places, AREA_DENSITY, KNOWN_CATCHMENTS) if population is None else population
+    people = population
+    if people is None:
+        people = (joins.catchment_from_name(places, AREA_DENSITY, KNOWN_CATCHMENTS) if cells is None
+                  else spatial.population_in_square(places, cells, radius_km))
     hourly = landed.weather(landed.read_json(spark, weather, landed.WEATHER_JSON))
     full = joins.with_population(joins.with_weather(joins.with_station(wide, places), hourly), people)
     tables.write_by_station_month(cleaning.clean_store(full, POLLUTANTS + WEATHER), store)
@@ -73,6 +81,13 @@ def analyse(spark: SparkSession, store: str, results: str) -> None:
         "correlations": profile.correlations(df, POLLUTANTS + WEATHER),
         "monthly_profile": profile.mean_std_by(df, F.month("ts"), "month").orderBy("month"),
         "diurnal_profile": profile.mean_std_by(df, F.hour("ts"), "hour").orderBy("hour"),
+        "hour_by_day_type": profile.hour_by_day_type(df).orderBy("hour", "day_type"),
+        "seasonal_box": profile.seasonal_box(df).orderBy("season"),
+        "wind_profile": profile.wind_profile(df).orderBy("ordinal"),
+        "exceedance_calendar": profile.exceedance_calendar(df).orderBy("year", "day_of_year"),
+        "weekly_trend": profile.weekly_trend(df),
+        "station_aqi": profile.station_aqi(df).orderBy("station_id"),
+        "station_vs_limit": profile.station_vs_limit(df).orderBy("station_id"),
         "sign_off": profile.sign_off(df),
     }
     for name, table in outputs.items():
@@ -104,23 +119,81 @@ def train(spark: SparkSession, store: str, results: str, estimators: dict | None
     return best
 
 
+def live_state(df: DataFrame, hours: int = 72) -> DataFrame:
+    """station_id, ts (last hour), pm25_lag1, pm25_lag24, pm25_roll24 and the last known weather of each station, over its last `hours` hours with
+    values carried forward. Stations without a PM2.5 value, or without weather in those hours, are left out."""
+    names = ["temperature", "humidity", "wind_speed"]
+    spine = joins.on_spine(df.select("station_id", "ts", "pm25", *names), hours, carry=("pm25",))
+    last = spine.groupBy("station_id").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("ts"))).alias(n) for n in names])
+    return join_on(forecast.live_vector(spine.select("station_id", "ts", "pm25")), last, ["station_id"]).na.drop()
+
+
+def next_hour(state: DataFrame, model: PipelineModel | None) -> DataFrame:
+    """`state` with `next_pm25`: the model's prediction from the last hour (5 at least), or the formula's without a model."""
+    known = with_calendar(state).withColumn("blh_m", boundary_layer_height(F.hour("ts"), F.month("ts"), F.col("temperature"), F.col("wind_speed")))
+    if model is None:
+        value = forecast.next_hour_formula(F.col("pm25_lag1"), F.col("pm25_roll24"), F.col("blh_m"))
+        return known.withColumn("next_pm25", value).select(*state.columns, "next_pm25")
+    row, make = fitted.predictor(model)
+    ready = fitted.with_row(known, row, "_model")
+    predicted = make(F.col("_model"))({c: F.col(c) for c in forecast.FEATURES + forecast.WEATHER_FEATURES})
+    return ready.withColumn("next_pm25", clip(F.round(predicted, 1), 5.0)).select(*state.columns, "next_pm25")
+
+
+def stored_model(spark: SparkSession, results: str) -> PipelineModel | None:
+    """The model that `train` stored, or None where the baseline won."""
+    best = spark.read.json(f"{results}/model_metadata").first()["model_name"]
+    return None if best == forecast.BASELINE else PipelineModel.load(f"{results}/model")
+
+
+def serve(spark: SparkSession, store: str, results: str, weather: str | None = None) -> None:
+    """Forecasts of every station from the end of its readings: next_hour with index and advice, day_ahead hour by hour, and its peak.
+
+    They come from the stored model, or from the formulas where the baseline won. The day starts from the next hour's value, as
+    its first lag. `weather` names landed weather files that cover coming hours; hours they do not know have the station's last weather."""
+    model = stored_model(spark, results)
+    hourly = None if weather is None else landed.weather(landed.read_json(spark, weather, landed.WEATHER_JSON))
+    state = cut_lineage(next_hour(live_state(read_store(spark, store)), model), "state")
+    index = aqi.index_ceiling(F.col("next_pm25"))
+    commuter, mask, ventilation = aqi.advice(index)
+    tables.write_csv(state.select(
+        "station_id", (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), F.col("pm25_lag1").alias("last_pm25"), "next_pm25", index.alias("aqi"),
+        aqi.category(index).alias("aqi_cat"), commuter.alias("commuter"), mask.alias("mask"), ventilation.alias("ventilation")), f"{results}/next_hour")
+    if model is None:
+        start = state.select("station_id", "ts", F.col("next_pm25").alias("pm25"), "temperature", "wind_speed")
+        path = forecast.day_ahead_formula(start, hourly).drop("blh_m")
+    else:
+        path = forecast.day_ahead_model(state.withColumn("pm25_lag1", F.col("next_pm25")).drop("next_pm25"), model, hourly)
+    path = cut_lineage(path, "day_ahead")
+    tables.write_csv(path.orderBy("station_id", "step"), f"{results}/day_ahead")
+    tables.write_csv(forecast.peak(path), f"{results}/day_ahead_peak")
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     jobs = parser.add_subparsers(dest="job", required=True)
     build = jobs.add_parser("build")
     for name in ("stations", "measurements", "weather", "store", "from", "to"):
         build.add_argument(f"--{name}", required=True)
-    for name in ("analyse", "train"):
+    build.add_argument("--cells", help="Parquet with cell_id, lat, lon, pop")
+    build.add_argument("--radius-km", type=float, default=3.0)
+    for name in ("analyse", "train", "serve"):
         job = jobs.add_parser(name)
         job.add_argument("--store", required=True)
         job.add_argument("--results", required=True)
+        if name == "serve":
+            job.add_argument("--weather", help="landed weather of coming hours")
     args = vars(parser.parse_args())
     builder = SparkSession.builder.appName(f"hazegrid {args['job']}")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     if args["job"] == "build":
-        build_store(spark, args["stations"], args["measurements"], args["weather"], args["store"], args["from"], args["to"])
+        cells = None if args["cells"] is None else spark.read.parquet(args["cells"])
+        build_store(spark, args["stations"], args["measurements"], args["weather"], args["store"], args["from"], args["to"],
+                    cells=cells, radius_km=args["radius_km"])
+    elif args["job"] == "serve":
+        serve(spark, args["store"], args["results"], args["weather"])
     else:
         {"analyse": analyse, "train": train}[args["job"]](spark, args["store"], args["results"])
 

@@ -5,6 +5,7 @@ import math
 from datetime import datetime, timedelta
 
 from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
 
 from hazegrid.plans import flows
 
@@ -57,3 +58,43 @@ def test_flow(spark, tmp_path):
     facts = spark.read.json(f"{results}/model_metadata").first()
     assert facts.model_name == best and facts.training_rows + facts.test_rows == 2 * (120 - 25)
     assert spark.read.option("header", True).csv(f"{results}/test_predictions").count() == facts.test_rows
+
+    box = {r.season: r for r in spark.read.option("header", True).csv(f"{results}/seasonal_box").collect()}
+    assert set(box) == {"Winter"} and spark.read.option("header", True).csv(f"{results}/wind_profile").count() == 8
+    assert spark.read.option("header", True).csv(f"{results}/weekly_trend").count() == 10
+
+    later = lines(tmp_path / "later.json", [{"station_id": "007", "hourly": {
+        "time": [(hours[-1] + timedelta(hours=h)).isoformat() for h in range(24)], "temperature_2m": [30.0] * 24,
+        "relative_humidity_2m": [40.0] * 24, "wind_speed_10m": [1.0] * 24}}])
+
+    def read(name):
+        return spark.read.option("header", True).option("inferSchema", True).csv(f"{results}/{name}").collect()
+
+    # once with the line, once with the formulas, whichever won
+    fitted = flows.forecast.fit(flows.forecast.training_table(df), line["LinearRegression"])
+    flows.forecast.save_model(fitted, f"{results}/model")
+    for name in ("LinearRegression", flows.forecast.BASELINE):
+        flows.tables.write_metadata(spark, f"{results}/model_metadata", model_name=name)
+        flows.serve(spark, store, results, later)
+        soon, ahead, peaks = read("next_hour"), read("day_ahead"), read("day_ahead_peak")
+        assert len(soon) == 2 and {r.ts for r in soon} == {hours[-1] + timedelta(hours=1)}
+        last = {r.station_id: r.pm25 for r in df.where(f"ts = '{hours[-1]}'").collect()}
+        assert all(r.last_pm25 == last[f"{r.station_id:03}"] and r.next_pm25 >= 5 and r.aqi_cat and r.mask for r in soon)
+        assert sorted((r.station_id, r.step, r.ts) for r in ahead) == [(s, h, hours[-1] + timedelta(hours=h)) for s in (7, 6240023) for h in range(24)]
+        assert {(r.station_id, r.peak_pm25) for r in peaks} == {(s, max(r.pm25 for r in ahead if r.station_id == s)) for s in (7, 6240023)}
+        if name == "LinearRegression":
+            state = flows.live_state(df)
+            plain = fitted.transform(flows.with_calendar(state).withColumn("blh_m", flows.boundary_layer_height(
+                F.hour("ts"), F.month("ts"), F.col("temperature"), F.col("wind_speed"))))
+            assert {int(r.station_id): max(round(r.prediction, 1), 5.0) for r in plain.collect()} == {r.station_id: r.next_pm25 for r in soon}
+
+
+def test_store_with_population_cells(spark, tmp_path):
+    stations = lines(tmp_path / "s.json", [{"id": "1", "name": "A", "coordinates": {"latitude": 23.7, "longitude": 90.4},
+                                            "sensors": [{"id": 1, "parameter": {"name": "pm25"}}]}])
+    measured = lines(tmp_path / "m.json", [{"station_id": "1", "parameter_name": "pm25", "value": 9.0,
+                                            "period": {"datetimeFrom": {"utc": "2024-01-01T00:00:00Z"}}}])
+    weather = lines(tmp_path / "w.json", [{"station_id": "1", "hourly": {"time": ["2024-01-01T00:00"], "temperature_2m": [20.0]}}])
+    cells = spark.createDataFrame([(1, 23.7, 90.4, 100.0), (2, 23.71, 90.41, 20.0), (3, 24.7, 90.4, 7.0)], "cell_id long, lat double, lon double, pop double")
+    flows.build_store(spark, stations, measured, weather, str(tmp_path / "store"), "2024-01-01", "2024-01-02", cells=cells)
+    assert [r.population_catchment for r in flows.read_store(spark, str(tmp_path / "store")).collect()] == [120]
