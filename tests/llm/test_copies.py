@@ -76,7 +76,7 @@ def plain_set(text):
 
 def plain_components(rows):
     sets = [(d, plain_set(t)) for d, t in rows]
-    parent = list(range(len(sets)))
+    parent, links = list(range(len(sets))), Counter()
 
     def find(i):
         while parent[i] != i:
@@ -86,11 +86,12 @@ def plain_components(rows):
         for j, (_, b) in enumerate(sets[:i]):
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
+                links.update((i, j))
     least = {}
     for i, (d, _) in enumerate(sets):
         if d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
-    return Counter((d, len(s), least.get(find(i)) if s else d) for i, (d, s) in enumerate(sets))
+    return Counter((d, len(s), least.get(find(i)) if s else d, links[i]) for i, (d, s) in enumerate(sets))
 
 
 def close_texts(seed, families, copies):
@@ -114,28 +115,44 @@ def test_components(spark, docs, rows_of_documents, tiles, monkeypatch):
     rows += [(9000, "shared passage of more than five words that many have " + " ".join(f"own{i}" for i in range(8)))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = jaccard_join.ngram_jaccard(df, tile_rows=tiles).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == plain_components(rows)
 
 
 def test_edges_of_the_join(docs, no_docs, rows_of_documents):
     got = jaccard_join.ngram_jaccard(docs).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components((d, t) for d, t, *_ in rows_of_documents)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == plain_components((d, t) for d, t, *_ in rows_of_documents)
     assert jaccard_join.ngram_jaccard(no_docs).count() == 0
 
 
+def test_rows_that_share_an_id(spark, monkeypatch):
+    """Many texts under no id, and one text many times under one id, are told apart and counted."""
+    monkeypatch.setattr(jaccard_join, "CHUNK_POSTINGS", 300)
+    texts = [t for _, t in close_texts(8, 12, 7)]
+    rows = [(None, t) for t in texts] + [(1, t) for t in texts[::3]] + [(2, texts[0])] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for tiles in (1500, 4):
+        got = jaccard_join.ngram_jaccard(df, tile_rows=tiles).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == plain_components(rows)
+
+
 @settings(max_examples=40, deadline=None)
-@given(st.integers(0, 10_000))
-def test_the_tree_loses_no_pair(seed):
-    rows = close_texts(seed, 8, 9)
-    sets = [s for s in (jaccard_join.shingles(t) for _, t in rows) if len(s)]
-    sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s >> np.uint64(59)).astype(int), minlength=jaccard_join.GROUPS) for s in sets])
-    a, b, _ = jaccard_join.RTree(points, sizes).pairs(75)
-    found = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    links = {(i, j) for j in range(len(sets)) for i in range(j) if jaccard_join.linked(sets[i], sets[j], 75)}
-    assert links <= found
-    labels = jaccard_join.classes(sets)
-    assert all(labels[i] == labels[j] for i, j in links)
+@given(st.integers(0, 10_000), st.booleans())
+def test_links_of_a_tile(seed, narrow):
+    sets = [s for s in (jaccard_join.shingles(t) for _, t in close_texts(seed, 8, 9)) if len(s)]
+    side = np.arange(len(sets)) % 2
+    plain = [set(s.tolist()) for s in sets]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(plain[i] & plain[j]) >= 75 * len(plain[i] | plain[j])}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard_join, "BIT_BYTES", 0 if narrow else 1 << 20)
+        m.setattr(jaccard_join, "STEP_BYTES", 100)
+        a, b = jaccard_join.links(sets)
+        found = [tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert sorted(found) == sorted(want)
+        c, d = jaccard_join.links(sets, side=side)
+        assert {tuple(sorted(p)) for p in zip(c.tolist(), d.tolist(), strict=True)} == {p for p in want if side[p[0]] != side[p[1]]}
+    label = jaccard_join.classes(len(sets), a, b).tolist()
+    assert all(label[i] == label[j] for i, j in want)
+    assert len(set(label)) == len({c for _, _, c, _ in plain_components([(i, t) for i, t in close_texts(seed, 8, 9) if t])})
 
 
 @settings(max_examples=60, deadline=None)
@@ -176,7 +193,7 @@ def test_pipeline_stage_by_stage(spark, docs, tmp_path):
             want = list(want.values())
         elif name == "ngram_jaccard":
             found = plain_components((r["doc_id"], r["text"]) for r in before)
-            gone = {d for d, _, c in found if d is not None and d != c}
+            gone = {d for d, _, c, _ in found if d is not None and d != c}
             want = [r for r in before if r["doc_id"] not in gone]
         elif name == "mixing":
             passes = {r.doc_id: len(r.positions) for r in mixing.curriculum_mix(now).collect()}
