@@ -1,9 +1,10 @@
-"""The jobs of a deployment: build the store, derive the result tables, train the forecast, serve it.
+"""The jobs of a deployment: build the store, derive the result tables, train the forecast, serve it, follow live readings.
 
     python -m hazegrid.plans.flows build --stations S --measurements M --weather W --store OUT --from DAY --to DAY [--cells CELLS]
     python -m hazegrid.plans.flows analyse --store OUT --results DIR
     python -m hazegrid.plans.flows train --store OUT --results DIR
     python -m hazegrid.plans.flows serve --store OUT --results DIR [--weather W]
+    python -m hazegrid.plans.flows live --measurements M --results DIR [--delay "3 hours"]
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from hazegrid.operators.lookup import join_on
 from hazegrid.schema import AREA_DENSITY, CLEANED, KNOWN_CATCHMENTS, POLLUTANTS, WEATHER
 from hazegrid.session import SETTINGS, cut_lineage
 from hazegrid.sources import landed, tables
+from hazegrid.streaming import live
 
 
 def build_store(
@@ -169,6 +171,30 @@ def serve(spark: SparkSession, store: str, results: str, weather: str | None = N
     tables.write_csv(forecast.peak(path), f"{results}/day_ahead_peak")
 
 
+def follow(spark: SparkSession, measurements: str, results: str, delay: str = "3 hours") -> None:
+    """Take up the measurement files that have landed in a folder since the last call, as streams whose state and rows stay below `results`:
+    readings (each once), latest, hourly, daily and hourly_aqi; the newest value per station with index and advice is written as CSV latest_aqi.
+
+    Readings are the same when station, parameter, time, value and unit are. One that comes more than `delay` after the newest is left out
+    of all but what it was counted in before. An hour is written once `delay` has passed since its end, so every row is final."""
+    arriving = spark.readStream.schema(landed.MEASUREMENT_JSON).options(**tables.JSON_TIMES).json(measurements)
+    readings = live.timed(cleaning.standardise(landed.measurements(arriving))).where("value is not null")
+    once = live.run_available(live.without_repeats(readings, ["station_id", "parameter", "ts", "value", "unit"], delay), f"{results}/readings")
+
+    def unique() -> DataFrame:
+        return spark.readStream.schema(once.schema).parquet(f"{results}/readings/rows")
+
+    live.run_available(live.hourly_means(unique(), delay), f"{results}/hourly")
+    live.run_available(live.daily_means_hourly(unique(), delay), f"{results}/daily")
+    live.run_available(live.hourly_aqi(unique(), delay), f"{results}/hourly_aqi")
+    latest = live.run_updates(live.latest_valid(unique()), f"{results}/latest", ["station_id"])
+    index = aqi.index_live(F.col("value"))
+    commuter, mask, ventilation = aqi.advice(index)
+    tables.write_csv(latest.select(
+        "station_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").alias("pm25"), index.alias("aqi"), aqi.category(index).alias("aqi_cat"),
+        commuter.alias("commuter"), mask.alias("mask"), ventilation.alias("ventilation")), f"{results}/latest_aqi")
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -183,6 +209,10 @@ def main() -> None:
         job.add_argument("--results", required=True)
         if name == "serve":
             job.add_argument("--weather", help="landed weather of coming hours")
+    job = jobs.add_parser("live")
+    job.add_argument("--measurements", required=True, help="folder of landed measurement files")
+    job.add_argument("--results", required=True)
+    job.add_argument("--delay", default="3 hours")
     args = vars(parser.parse_args())
     builder = SparkSession.builder.appName(f"hazegrid {args['job']}")
     for key, value in SETTINGS.items():
@@ -194,6 +224,8 @@ def main() -> None:
                     cells=cells, radius_km=args["radius_km"])
     elif args["job"] == "serve":
         serve(spark, args["store"], args["results"], args["weather"])
+    elif args["job"] == "live":
+        follow(spark, args["measurements"], args["results"], args["delay"])
     else:
         {"analyse": analyse, "train": train}[args["job"]](spark, args["store"], args["results"])
 

@@ -46,10 +46,11 @@ def daily_means_hourly(readings: DataFrame, delay: str = "10 minutes") -> DataFr
         F.try_divide("total", "n").alias("mean_value"), "n")
 
 
-def without_repeats(readings: DataFrame, key: str = "event_id", delay: str = "10 minutes") -> DataFrame:
+def without_repeats(readings: DataFrame, key: str | list[str] = "event_id", delay: str = "10 minutes") -> DataFrame:
     """Drop repeats of an event that arrive within the delay; state older than that is freed."""
+    keys = [key] if isinstance(key, str) else key
     out = readings.withWatermark("ts", delay)
-    return out.dropDuplicatesWithinWatermark([key]) if readings.isStreaming else out.dropDuplicates([key])
+    return out.dropDuplicatesWithinWatermark(keys) if readings.isStreaming else out.dropDuplicates(keys)
 
 
 def hourly_aqi(readings: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -98,3 +98,49 @@ def test_store_with_population_cells(spark, tmp_path):
     cells = spark.createDataFrame([(1, 23.7, 90.4, 100.0), (2, 23.71, 90.41, 20.0), (3, 24.7, 90.4, 7.0)], "cell_id long, lat double, lon double, pop double")
     flows.build_store(spark, stations, measured, weather, str(tmp_path / "store"), "2024-01-01", "2024-01-02", cells=cells)
     assert [r.population_catchment for r in flows.read_store(spark, str(tmp_path / "store")).collect()] == [120]
+
+
+def test_live_readings(spark, tmp_path):
+    """Files arrive in two calls, with repeats, a late reading, an impossible value and a corrected unit; results equal a plain count."""
+    folder, results = tmp_path / "landed", str(tmp_path / "live")
+    folder.mkdir()
+
+    def reading(station, minute, value, unit="µg/m³"):
+        return {"station_id": station, "parameter_name": "pm2.5", "value": value, "unit": unit,
+                "period": {"datetimeFrom": {"utc": (START + timedelta(minutes=minute)).isoformat() + "Z"}}}
+
+    first = [reading("007", m, 20.0 + m % 7) for m in range(0, 600, 10)] + [reading("8", m, 55.0) for m in range(0, 600, 30)]
+    lines(folder / "a.json", first + first[:9] + [reading("8", 605, -4.0), {"station_id": "8", "value": 3.0}])
+    flows.follow(spark, str(folder), results, "1 hour")
+
+    def hours():
+        return {(r.station_id, r.hour_start.hour): (round(r.mean_value, 6), r.n) for r in spark.read.parquet(f"{results}/hourly/rows").collect()}
+
+    def plain(readings, last):
+        found = {}
+        for r in readings:
+            at = datetime.fromisoformat(r["period"]["datetimeFrom"]["utc"][:-1])
+            if at < START + timedelta(hours=last):
+                found.setdefault((r["station_id"], at.hour), []).append(r["value"])
+        return {k: (round(sum(v) / len(v), 6), len(v)) for k, v in found.items()}
+
+    def newest():
+        rows = spark.read.option("header", True).csv(f"{results}/latest_aqi").collect()
+        return {int(r.station_id): (r.ts[11:16], float(r.pm25)) for r in rows if r.aqi_cat and r.mask}
+
+    assert hours() == plain(first, 8)          # the newest reading is of 9:50, so 8:50 is the watermark
+    assert newest() == {7: ("09:50", 20.0 + 590 % 7), 8: ("09:30", 55.0)}
+
+    second = [reading("007", m, 30.0) for m in range(600, 900, 20)]
+    lines(folder / "b.json", second + first[-5:] + [reading("007", 15, 500.0)])       # repeats, and one long after its hour
+    flows.follow(spark, str(folder), results, "1 hour")
+    assert hours() == plain(first + second, 13)
+    assert newest() == {7: ("14:40", 30.0), 8: ("09:30", 55.0)}
+    assert spark.read.parquet(f"{results}/readings/rows").count() == len(first) + len(second)
+    done = hours()
+    flows.follow(spark, str(folder), results, "1 hour")
+    assert hours() == done
+    index = {(r.station_id, r.hour_start.hour): r.aqi for r in spark.read.parquet(f"{results}/hourly_aqi/rows").collect()}
+    assert index.keys() == done.keys() and index["8", 3] == 149
+    day = spark.read.parquet(f"{results}/daily/rows").where("station_id = '8'").groupBy("window_end").count()
+    assert day.where("count > 1").isEmpty() and day.count() == 13
