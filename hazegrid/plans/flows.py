@@ -1,6 +1,7 @@
 """The jobs of a deployment: build the store, derive the result tables, train the forecast, serve it, follow live readings.
 
     python -m hazegrid.plans.flows build --stations S --measurements M --weather W --store OUT --from DAY --to DAY [--cells CELLS]
+    python -m hazegrid.plans.flows build-long --stations S --measurements M --store OUT --results DIR --from DAY --to DAY
     python -m hazegrid.plans.flows analyse --store OUT --results DIR
     python -m hazegrid.plans.flows train --store OUT --results DIR
     python -m hazegrid.plans.flows serve --store OUT --results DIR [--weather W]
@@ -49,6 +50,23 @@ def build_store(
     tables.write_by_station_month(cleaning.clean_store(full, POLLUTANTS + WEATHER), store)
 
 
+def build_long_store(spark: SparkSession, stations: str, measurements: str, store: str, results: str, first_day: str, last_day: str,
+                     box: dict[str, float] | None = None) -> None:
+    """Landed files to a store of one row per station, parameter and time, partitioned by station, year and month: the value as measured, is_outlier,
+    and value_clean, where outliers and missing values are filled from the three readings before and then from the day's median.
+
+    Of several readings at one time the smallest value stays, a missing one only if there is no other. The outliers per parameter, counted before
+    filling, go to outlier_summary below `results`, and the hourly table of filled values, one column per pollutant, to hourly."""
+    places = landed.stations(landed.read_json(spark, stations, landed.STATION_JSON), box).drop("sensors")
+    readings = cleaning.standardise(landed.within_days(
+        landed.measurements(landed.read_json(spark, measurements, landed.MEASUREMENT_JSON)), first_day, last_day))
+    once = cut_lineage(cleaning.deduplicate(readings, ["ts", "station_id", "parameter"], ["value"]), "once")
+    tables.write_csv(cleaning.outlier_summary(cleaning.flag_outliers(once)).orderBy("parameter"), f"{results}/outlier_summary")
+    filled = cut_lineage(cleaning.fill_gaps_long(once), "filled")
+    tables.write_by_station_month(joins.with_station(filled, places), store)
+    tables.write_parquet(cleaning.hourly_wide(filled.withColumn("value", F.col("value_clean"))), f"{results}/hourly")
+
+
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """The store with its declared types; the float32 pollutants are widened for arithmetic."""
     df = tables.read_parquet(spark, store, CLEANED)
@@ -209,6 +227,9 @@ def main() -> None:
         job.add_argument("--results", required=True)
         if name == "serve":
             job.add_argument("--weather", help="landed weather of coming hours")
+    long = jobs.add_parser("build-long")
+    for name in ("stations", "measurements", "store", "results", "from", "to"):
+        long.add_argument(f"--{name}", required=True)
     job = jobs.add_parser("live")
     job.add_argument("--measurements", required=True, help="folder of landed measurement files")
     job.add_argument("--results", required=True)
@@ -224,6 +245,8 @@ def main() -> None:
                     cells=cells, radius_km=args["radius_km"])
     elif args["job"] == "serve":
         serve(spark, args["store"], args["results"], args["weather"])
+    elif args["job"] == "build-long":
+        build_long_store(spark, args["stations"], args["measurements"], args["store"], args["results"], args["from"], args["to"])
     elif args["job"] == "live":
         follow(spark, args["measurements"], args["results"], args["delay"])
     else:

@@ -144,3 +144,35 @@ def test_live_readings(spark, tmp_path):
     assert index.keys() == done.keys() and index["8", 3] == 149
     day = spark.read.parquet(f"{results}/daily/rows").where("station_id = '8'").groupBy("window_end").count()
     assert day.where("count > 1").isEmpty() and day.count() == 13
+
+
+def test_long_store(spark, tmp_path):
+    """One outlier, one impossible value, repeats and a day without a good reading, against values worked out by hand."""
+    stations = lines(tmp_path / "s.json", [{"id": "1", "name": "A", "coordinates": {"latitude": 23.7, "longitude": 90.4},
+                                            "sensors": [{"id": 1, "parameter": {"name": "pm25"}}]}])
+    values = {h: 20.0 + h % 5 for h in range(48)}
+    values |= {10: 900.0, 20: -1.0, 21: -1.0, 22: -1.0, 23: -1.0}
+    values |= {h: -1.0 for h in range(48, 72)}
+
+    def reading(hour, value):
+        return {"station_id": "1", "parameter_name": "pm25", "value": value,
+                "period": {"datetimeFrom": {"utc": (START + timedelta(hours=hour)).isoformat() + "Z"}}}
+
+    landed = [reading(h, v) for h, v in values.items()]
+    landed += [reading(3, 800.0), reading(20, -1.0), reading(30, values[30]), reading(24 * 40, 5.0)]
+    store, results = str(tmp_path / "store"), str(tmp_path / "results")
+    flows.build_long_store(spark, stations, lines(tmp_path / "m.json", landed), store, results, "2024-01-01", "2024-01-31")
+
+    rows = {round((r.ts - START).total_seconds() / 3600): r for r in spark.read.parquet(store).collect()}
+    assert sorted(rows) == list(range(72)) and {(r.station_name, str(r.month)) for r in rows.values()} == {("A", "1")}
+    assert rows[10].is_outlier and rows[10].value == 900.0 and rows[10].value_clean == values[9]
+    assert rows[3].value == values[3] and not rows[3].is_outlier                # the smaller of two
+    assert [rows[h].value_clean for h in (20, 21, 22)] == [values[19]] * 3      # three readings back at most
+    good = sorted(v for h, v in values.items() if h < 20 and h != 10)
+    assert rows[23].value is None and rows[23].value_clean == good[(len(good) - 1) // 2]
+    assert [rows[h].value_clean for h in (48, 50)] == [values[47]] * 2
+    assert all(rows[h].value_clean is None for h in range(51, 72))              # that day has no median
+    outliers = spark.read.option("header", True).csv(f"{results}/outlier_summary").collect()
+    assert [(r.parameter, int(r.valid_records), int(r.outliers_flagged)) for r in outliers] == [("pm25", 43, 1)]
+    hourly = {r.ts: r.pm25 for r in spark.read.parquet(f"{results}/hourly").collect()}
+    assert len(hourly) == 72 and hourly[START + timedelta(hours=10)] == values[9]
