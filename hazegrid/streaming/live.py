@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,6 +91,11 @@ def run_updates(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
     query.awaitTermination()
     schema = T.StructType(stream.schema.fields + [T.StructField("batch", T.LongType())])
     rest = [c for c in stream.columns if c not in keys]
-    newest = stream.sparkSession.read.schema(schema).parquet(f"{path}/rows/*").groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), "batch").alias("_r"))
+    try:
+        rows = stream.sparkSession.read.schema(schema).parquet(f"{path}/rows/*")
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = stream.sparkSession.createDataFrame([], schema)      # nothing has arrived yet
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
     return newest.select(*keys, "_r.*")

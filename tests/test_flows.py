@@ -109,6 +109,7 @@ def test_live_readings(spark, tmp_path):
         return {"station_id": station, "parameter_name": "pm2.5", "value": value, "unit": unit,
                 "period": {"datetimeFrom": {"utc": (START + timedelta(minutes=minute)).isoformat() + "Z"}}}
 
+    flows.follow(spark, str(folder), results, "1 hour")          # nothing has landed yet
     first = [reading("007", m, 20.0 + m % 7) for m in range(0, 600, 10)] + [reading("8", m, 55.0) for m in range(0, 600, 30)]
     lines(folder / "a.json", first + first[:9] + [reading("8", 605, -4.0), {"station_id": "8", "value": 3.0}])
     flows.follow(spark, str(folder), results, "1 hour")
