@@ -16,6 +16,8 @@ from hazegrid.operators.lookup import join_on
 from hazegrid.session import cut_lineage
 
 MICROS_PER_HOUR = 3_600_000_000
+# Groups of up to so many rows are left whole where that saves a shuffle; larger ones are cut into pieces.
+GROUP_ROWS = 500_000
 
 
 def micros(ts: Column) -> Column:
@@ -92,33 +94,76 @@ def over_rows(
     return out if keep_pos else out.drop(pos)
 
 
-def last_known(df: DataFrame, keys: list[str], ts: str, cols: list[str], hours: float) -> DataFrame:
+def by_group_size(df: DataFrame, keys: list[str], whole, pieces, most: int = GROUP_ROWS) -> DataFrame:
+    """`whole(rows)` of the groups with at most `most` rows and `pieces(rows)` of the larger ones, put together.
+
+    A group of the first kind fits one task, so `whole` may gather its rows by `keys` once and do all its steps there. The rows per group
+    are counted first, which reads the keys of `df` and runs that job; `df` should be a stored table or cheap to read. Null keys are a group.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = cut_lineage(counts.where(F.col("_n") > most).select(*keys), "large")
+    if large.isEmpty():
+        return whole(df)
+    small = whole(join_on(df, large, keys, "left_anti", null_safe=True))
+    return small.unionByName(pieces(join_on(df, large, keys, "left_semi", null_safe=True)))
+
+
+def last_known(df: DataFrame, keys: list[str], ts: str, cols: list[str], hours: float, most: int = GROUP_ROWS) -> DataFrame:
     """Replace nulls of `cols` by the group's last value before them that is at most `hours` old.
 
+    A row without a time fills and is filled by nothing; rows of one time are taken in the order of `in_pieces`. `df` is written to the shared
+    folder, as its groups are counted before; groups of more than `most` rows go in pieces. Runs those jobs.
+    """
+    return by_group_size(
+        cut_lineage(df, "rows"), keys, lambda rows: last_known_whole(rows.repartition(*keys), keys, ts, cols, hours),
+        lambda rows: last_known_in_pieces(rows, keys, ts, cols, hours), most)
+
+
+def _entry(c: str, *place: str) -> Column:
+    """The value of a row that has one and a time, with its place in the order."""
+    return F.when(F.col(c).isNotNull() & F.col("_us").isNotNull(), F.struct(*place, "_us", F.col(c).alias("v")))
+
+
+def _filled_from(known: DataFrame, columns: list[str], cols: list[str], hours: float) -> DataFrame:
+    """`columns`, where nulls of `cols` are the value in their ``_k_`` entry if that is young enough."""
+    reach = int(hours * MICROS_PER_HOUR)
+    return known.select(*[
+        F.coalesce(F.col(c), F.when(F.col("_us") - F.col(f"_k_{c}")["_us"] <= reach, F.col(f"_k_{c}")["v"])).alias(c)
+        if c in cols else F.col(c) for c in columns])
+
+
+def last_known_whole(df: DataFrame, keys: list[str], ts: str, cols: list[str], hours: float) -> DataFrame:
+    """`last_known` with one window per group, for groups that fit one task. `df` should be partitioned by `keys`, or the
+    shuffle in front of the window also carries the entries. Lazy."""
+    rows = df.withColumn("_us", micros(F.col(ts)))
+    rest = F.xxhash64(*[F.col(c) for c in rows.columns])
+    inside = Window.partitionBy(*keys).orderBy("_us", rest).rowsBetween(Window.unboundedPreceding, 0)
+    known = rows.withColumns({f"_k_{c}": F.last(_entry(c), ignorenulls=True).over(inside) for c in cols})
+    return _filled_from(known, df.columns, cols, hours)
+
+
+def last_known_in_pieces(df: DataFrame, keys: list[str], ts: str, cols: list[str], hours: float) -> DataFrame:
+    """`last_known` for groups of any size.
+
     Rows lie in pieces of equal size, however many fall into one hour. What a piece knows of each column at its end is handed to
     the pieces of the same group behind it, so no rows are repeated: only groups that go on in another piece have such a state,
-    and only rows of their last `hours` make it up. Rows of one time are taken in the order of `in_pieces`; a row without a time fills and is filled by nothing.
-    Runs the job that writes the pieces.
+    and only rows of their last `hours` make it up. Ends and states, about one row per piece, are written to the shared folder, so that Spark knows
+    their size and joins them without a shuffle of the rows. Runs these jobs.
     """
     reach = int(hours * MICROS_PER_HOUR)
     rows = in_pieces(df.withColumn("_us", micros(F.col(ts))), keys, [F.col("_us")])
     ends = rows.groupBy(*keys, "_piece").agg(F.max("_us").alias("_end"))
     group = Window.partitionBy(*keys).orderBy("_piece")
-    going_on = ends.withColumn("_next", F.lead("_piece").over(group)).where("_next is not null")
-
-    def entry(c: str) -> Column:
-        return F.when(F.col(c).isNotNull() & F.col("_us").isNotNull(), F.struct("_at", "_us", F.col(c).alias("v")))
-
+    going_on = cut_lineage(ends.withColumn("_next", F.lead("_piece").over(group)).where("_next is not null"), "ends")
     tails = join_on(rows, going_on, [*keys, "_piece"], "inner", null_safe=True).where(F.col("_us") >= F.col("_end") - reach)
-    at_end = tails.groupBy(*keys, F.col("_next").alias("_piece")).agg(*[F.max(entry(c)).alias(f"_s_{c}") for c in cols])
-    states = at_end.select(*keys, "_piece", *[F.last(f"_s_{c}", ignorenulls=True).over(
-        group.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_k_{c}") for c in cols])
+    at_end = tails.groupBy(*keys, F.col("_next").alias("_piece")).agg(*[F.max(_entry(c, "_at")).alias(f"_s_{c}") for c in cols])
+    states = cut_lineage(at_end.select(*keys, "_piece", *[F.last(f"_s_{c}", ignorenulls=True).over(
+        group.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_k_{c}") for c in cols]), "states")
     inside = Window.partitionBy(*keys, "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    known = join_on(rows, states, [*keys, "_piece"], "left", null_safe=True).withColumns(
-        {f"_k_{c}": F.coalesce(F.last(entry(c), ignorenulls=True).over(inside), F.col(f"_k_{c}")) for c in cols})
-    return known.select(*[
-        F.coalesce(F.col(c), F.when(F.col("_us") - F.col(f"_k_{c}")["_us"] <= reach, F.col(f"_k_{c}")["v"])).alias(c)
-        if c in cols else F.col(c) for c in df.columns])
+    # partitioned here, because a shuffle in front of the window would also carry the entries
+    known = join_on(rows.repartition(*keys, "_piece"), states, [*keys, "_piece"], "left", null_safe=True).withColumns(
+        {f"_k_{c}": F.coalesce(F.last(_entry(c, "_at"), ignorenulls=True).over(inside), F.col(f"_k_{c}")) for c in cols})
+    return _filled_from(known, df.columns, cols, hours)
 
 
 def value_bins(values: DataFrame, value: str, keys: list[str] = []) -> DataFrame:

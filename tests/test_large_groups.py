@@ -260,3 +260,16 @@ def test_all_null_columns_survive(spark):
         {p: F.lit(None).cast("double") for p in POLLUTANTS[1:]})
     out = cleaning.clean_store(df, POLLUTANTS).first()
     assert out.pm25 == 5.0 and all(out[p] is None for p in POLLUTANTS[1:])
+
+
+@pytest.mark.parametrize("most", [0, 700, 10_000])
+def test_last_known_by_group_size(crowded, series, rows, most):
+    """The same values whether a group is left whole, cut into pieces, or there are groups of both kinds."""
+    for df in (crowded, series):
+        unique = dedupe(df, ["station_id", "ts"], [c("id")])
+        us = ordering.micros(c("ts"))
+        w = Window.partitionBy("station_id").orderBy(us).rowsBetween(Window.unboundedPreceding, 0)
+        last = F.last(F.when(c("pm25").isNotNull() & us.isNotNull(), F.struct(us.alias("us"), c("pm25").alias("v"))), ignorenulls=True).over(w)
+        want = unique.select("id", F.coalesce("pm25", F.when(us - last["us"] <= 3 * 3_600_000_000, last["v"])))
+        assert rows(ordering.last_known(unique, ["station_id"], "ts", ["pm25"], 3, most), "id", "pm25") == rows(want)
+
