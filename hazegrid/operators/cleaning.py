@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazegrid.functions.calendar import hour_of
 from hazegrid.functions.units import to_mass_units, within_physical_range, TARGET_UNIT
 from hazegrid.operators.lookup import dedupe, join_on
-from hazegrid.operators.ordering import last_known, over_rows
+from hazegrid.operators.ordering import GROUP_ROWS, by_group_size, last_known, last_known_in_pieces, last_known_whole, over_rows
 from hazegrid.session import cut_lineage
 from hazegrid.schema import CLEANED, CLIP_K, FILL_HOURS, FILL_ROWS, FLAG_K, POLLUTANTS, normalize
 
@@ -68,7 +68,7 @@ def deduplicate(
 # ---- gaps -------------------------------------------------------------------------------
 
 def carry_forward_hours(df: DataFrame, cols: list[str], hours: float = FILL_HOURS) -> DataFrame:
-    """Fill a null with the station's last value if that is at most `hours` old. All columns share one window."""
+    """Fill a null with the station's last value if that is at most `hours` old. All columns share one window. Runs the jobs of `last_known`."""
     return last_known(df, ["station_id"], "ts", cols, hours)
 
 
@@ -97,9 +97,28 @@ def fill_from_hour_medians(df: DataFrame, cols: list[str], medians: DataFrame |
         F.coalesce(F.col(c), F.col(f"median_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def fill_gaps(df: DataFrame, cols: list[str], hours: float = FILL_HOURS) -> DataFrame:
-    """Carry forward up to `hours`, then fill from hour medians of the carried values."""
-    return fill_from_hour_medians(carry_forward_hours(df, cols, hours), cols)
+def fill_gaps(df: DataFrame, cols: list[str], hours: float = FILL_HOURS, most: int = GROUP_ROWS) -> DataFrame:
+    """Carry forward up to `hours`, then fill from hour medians of the carried values. `df` is written to the shared folder, as its stations
+    are counted before; stations of more than `most` rows go in pieces. Runs those jobs."""
+    return by_group_size(
+        cut_lineage(df, "rows"), ["station_id"], lambda rows: _filled_whole(rows.repartition("station_id"), cols, hours),
+        lambda rows: _filled_in_pieces(rows, cols, hours), most)
+
+
+def _filled_whole(df: DataFrame, cols: list[str], hours: float = FILL_HOURS) -> DataFrame:
+    """Filled rows of stations that fit one task. `df` is partitioned by station, which serves both windows. Lazy."""
+    carried = last_known_whole(df, ["station_id"], "ts", cols, hours).withColumn("_hour", F.hour("ts"))
+    same_hour = Window.partitionBy("station_id", "_hour")
+    known = F.col("station_id").isNotNull() & F.col("_hour").isNotNull()
+    return carried.withColumns({
+        c: F.coalesce(F.col(c), F.when(known, F.percentile_approx(c, 0.5, SKETCH).over(same_hour))) for c in cols}).drop("_hour")
+
+
+def _filled_in_pieces(df: DataFrame, cols: list[str], hours: float = FILL_HOURS) -> DataFrame:
+    """Filled rows of stations of any size. Carried rows and medians are written to the shared folder; medians of few stations are joined without a
+    shuffle of the rows. Runs these jobs."""
+    carried = cut_lineage(last_known_in_pieces(df, ["station_id"], "ts", cols, hours), "carried")
+    return fill_from_hour_medians(carried, cols, cut_lineage(hour_medians(carried, cols), "medians"))
 
 
 def day_medians(long: DataFrame, value: str) -> DataFrame:
@@ -147,11 +166,15 @@ def clip_outliers(df: DataFrame, cols: list[str] = POLLUTANTS, k: float = CLIP_K
     Reads `df` twice, for the fences and for the rows."""
     fences = quartile_fences(df, cols, k).select(
         "station_id", *[f"lower_{c}" for c in cols], *[f"upper_{c}" for c in cols])
-    joined = join_on(df, fences, ["station_id"])
-    return joined.select(*[
+    return _clipped(join_on(df, fences, ["station_id"]), cols, df.columns)
+
+
+def _clipped(fenced: DataFrame, cols: list[str], columns: list[str]) -> DataFrame:
+    """`columns` with `cols` bounded by their ``lower_`` and ``upper_`` columns."""
+    return fenced.select(*[
         (F.when(F.col(c) < F.col(f"lower_{c}"), F.col(f"lower_{c}"))
          .when(F.col(c) > F.col(f"upper_{c}"), F.col(f"upper_{c}")).otherwise(F.col(c)).alias(c))
-        if c in cols else F.col(c) for c in df.columns])
+        if c in cols else F.col(c) for c in columns])
 
 
 def reading_fences(long: DataFrame, value: str = "value", k: float = FLAG_K) -> DataFrame:
@@ -195,27 +218,41 @@ def enforce_schema(df: DataFrame) -> DataFrame:
     return normalize(with_dates, CLEANED)
 
 
-def _filled(df: DataFrame, cols: list[str], tie_break: list[str]) -> DataFrame:
-    """Deduplicated and filled rows. Medians, fences and result all read the carried rows, so
-    these are written to the shared folder once."""
-    carried = cut_lineage(carry_forward_hours(deduplicate(df, tie_break=tie_break), cols), "carried")
-    return fill_from_hour_medians(carried, cols)
+def _fenced(df: DataFrame, cols: list[str], clipped: list[str], tie_break: list[str], k: float, most: int) -> DataFrame:
+    """Deduplicated and filled rows with the fences of their station as ``lower_`` and ``upper_`` columns.
+
+    The rows of a station that fits one task meet once, and every step is done there; only stations of more than `most` rows go
+    in pieces, with the values between the steps written to the shared folder. `df` is read twice, first for the rows per station. Runs these jobs."""
+    bounds = [f"{side}_{c}" for c in clipped for side in ("lower", "upper")]
+
+    def whole(rows: DataFrame) -> DataFrame:
+        filled = _filled_whole(deduplicate(rows.repartition("station_id"), tie_break=tie_break), cols)
+        quartiles = filled.withColumns({f"_q_{c}": F.when(F.col("station_id").isNotNull(), F.percentile_approx(
+            c, [0.25, 0.75], SKETCH).over(Window.partitionBy("station_id"))) for c in clipped})
+        fences = [_fences(F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1], k) for c in clipped]
+        return quartiles.select(*df.columns, *[side.alias(name) for name, side in zip(bounds, [b for pair in fences for b in pair])])
+
+    def pieces(rows: DataFrame) -> DataFrame:
+        filled = _filled_in_pieces(deduplicate(rows, tie_break=tie_break), cols)
+        fences = cut_lineage(quartile_fences(filled, clipped, k).select("station_id", *bounds), "fences")
+        return join_on(filled, fences, ["station_id"]).select(*df.columns, *bounds)
+
+    return by_group_size(df, ["station_id"], whole, pieces, most)
 
 
-def clean_store(df: DataFrame, cols: list[str], tie_break: list[str] = []) -> DataFrame:
-    """Deduplicate, fill, clip, then project onto the documented table. Runs one job that
-    writes the carried rows."""
-    filled = _filled(df, cols, tie_break)
-    return enforce_schema(clip_outliers(filled, [c for c in POLLUTANTS if c in cols]))
+def clean_store(df: DataFrame, cols: list[str], tie_break: list[str] = [], most: int = GROUP_ROWS) -> DataFrame:
+    """Deduplicate, fill, clip, then project onto the documented table. Runs the job that counts the rows per station, and
+    those for stations of more than `most` rows."""
+    clipped = [c for c in POLLUTANTS if c in cols]
+    return enforce_schema(_clipped(_fenced(df, cols, clipped, tie_break, CLIP_K, most), clipped, df.columns))
 
 
 def cleaning_audit(before: DataFrame, tie_break: list[str] = [], cols: list[str] = POLLUTANTS,
                    k: float = CLIP_K) -> DataFrame:
     """Rows in and out of deduplication, and per column the nulls left and values clipped:
-    one row per column, all columns counted in one pass. Runs the job of `clean_store`."""
-    filled = _filled(before, cols, tie_break)
-    fences = quartile_fences(filled, cols, k)
-    joined = join_on(filled, fences, ["station_id"])
+    one row per column, all columns counted in one pass. Runs the jobs that fill the rows."""
+    filled = _filled_in_pieces(deduplicate(before, tie_break=tie_break), cols)
+    joined = join_on(filled, quartile_fences(filled, cols, k), ["station_id"])
     counts = joined.agg(
         F.count(F.lit(1)).alias("rows_after"),
         *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in cols],

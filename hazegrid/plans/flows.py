@@ -46,7 +46,7 @@ def build_store(
         people = (joins.catchment_from_name(places, AREA_DENSITY, KNOWN_CATCHMENTS) if cells is None
                   else spatial.population_in_square(places, cells, radius_km))
     hourly = landed.weather(landed.read_json(spark, weather, landed.WEATHER_JSON))
-    full = joins.with_population(joins.with_weather(joins.with_station(wide, places), hourly), people)
+    full = cut_lineage(joins.with_population(joins.with_weather(joins.with_station(wide, places), hourly), people), "full")
     tables.write_by_station_month(cleaning.clean_store(full, POLLUTANTS + WEATHER), store)
 
 

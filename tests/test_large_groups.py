@@ -273,3 +273,42 @@ def test_last_known_by_group_size(crowded, series, rows, most):
         want = unique.select("id", F.coalesce("pm25", F.when(us - last["us"] <= 3 * 3_600_000_000, last["v"])))
         assert rows(ordering.last_known(unique, ["station_id"], "ts", ["pm25"], 3, most), "id", "pm25") == rows(want)
 
+
+@pytest.fixture(scope="module")
+def untidy(crowded):
+    """Repeated keys, null stations and times, spikes, and a column that is all null."""
+    nulls = {p: F.lit(None).cast("double") for p in POLLUTANTS[2:]}
+    spiked = crowded.withColumns({"pm25": c("pm25") * F.when(c("id") % 50 == 7, 60).otherwise(1), **nulls})
+    return spiked.withColumn("ts", F.date_trunc("minute", "ts").cast("timestamp_ntz")).repartition(5)
+
+
+@pytest.mark.parametrize("most", [0, 700])
+def test_store_by_group_size(untidy, rows, most):
+    for f in (lambda most: cleaning.clean_store(untidy, POLLUTANTS, ["id"], most).select("station_id", "ts", *POLLUTANTS),
+              lambda most: cleaning.fill_gaps(dedupe(untidy, ["station_id", "ts"], [c("id")]), ["pm25", "pm10"], most=most)):
+        assert rows(f(most)) == rows(f(10_000))
+
+
+def test_store_equals_its_steps(untidy, rows):
+    """Null stations are filled within themselves, and have neither medians nor fences."""
+    steps = cleaning.carry_forward_hours(cleaning.deduplicate(untidy, tie_break=["id"]), POLLUTANTS)
+    filled = cleaning.fill_from_hour_medians(steps, POLLUTANTS)
+    cols = ["station_id", "ts", *POLLUTANTS]
+    want = cleaning.enforce_schema(cleaning.clip_outliers(filled))
+    assert rows(cleaning.clean_store(untidy, POLLUTANTS, ["id"]), *cols) == rows(want, *cols)
+
+
+def test_rows_of_small_stations_meet_once(spark, untidy, tmp_path):
+    """One shuffle of the rows for all steps of the store and carried values, with no sketches in it."""
+    untidy.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+
+    def shuffles(out):
+        return out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(cleaning.clean_store(df, POLLUTANTS, ["id"])) == 1
+    assert shuffles(cleaning.carry_forward_hours(df, ["pm25"])) == 1
+    assert shuffles(cleaning.fill_gaps(df, ["pm25"])) == 1
+    # with stations in pieces one more for those, and none for joins with the few states, medians and fences
+    assert shuffles(ordering.last_known(df, ["station_id"], "ts", ["pm25"], 3, 0)) == 2
+    plan = cleaning.clean_store(df, POLLUTANTS, ["id"], 0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
