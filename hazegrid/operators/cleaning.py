@@ -248,11 +248,10 @@ def clean_store(df: DataFrame, cols: list[str], tie_break: list[str] = [], most:
 
 
 def cleaning_audit(before: DataFrame, tie_break: list[str] = [], cols: list[str] = POLLUTANTS,
-                   k: float = CLIP_K) -> DataFrame:
+                   k: float = CLIP_K, most: int = GROUP_ROWS) -> DataFrame:
     """Rows in and out of deduplication, and per column the nulls left and values clipped:
-    one row per column, all columns counted in one pass. Runs the jobs that fill the rows."""
-    filled = _filled_in_pieces(deduplicate(before, tie_break=tie_break), cols)
-    joined = join_on(filled, quartile_fences(filled, cols, k), ["station_id"])
+    one row per column, all columns counted in one pass. Runs the jobs of `clean_store`."""
+    joined = _fenced(before, cols, cols, tie_break, k, most)
     counts = joined.agg(
         F.count(F.lit(1)).alias("rows_after"),
         *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in cols],

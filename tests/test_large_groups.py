@@ -285,6 +285,7 @@ def untidy(crowded):
 @pytest.mark.parametrize("most", [0, 700])
 def test_store_by_group_size(untidy, rows, most):
     for f in (lambda most: cleaning.clean_store(untidy, POLLUTANTS, ["id"], most).select("station_id", "ts", *POLLUTANTS),
+              lambda most: cleaning.cleaning_audit(untidy, ["id"], most=most),
               lambda most: cleaning.fill_gaps(dedupe(untidy, ["station_id", "ts"], [c("id")]), ["pm25", "pm10"], most=most)):
         assert rows(f(most)) == rows(f(10_000))
 
@@ -296,16 +297,24 @@ def test_store_equals_its_steps(untidy, rows):
     cols = ["station_id", "ts", *POLLUTANTS]
     want = cleaning.enforce_schema(cleaning.clip_outliers(filled))
     assert rows(cleaning.clean_store(untidy, POLLUTANTS, ["id"]), *cols) == rows(want, *cols)
+    fences = cleaning.quartile_fences(filled, POLLUTANTS)
+    joined = filled.join(fences, "station_id", "left")
+    audit = {r["column"]: (r.duplicates_removed, r.nulls_left, r.values_clipped) for r in cleaning.cleaning_audit(untidy, ["id"]).collect()}
+    for p in POLLUTANTS:
+        r = joined.agg(F.count("*").alias("n"), F.count_if(c(p).isNull()).alias("nulls"),
+                       F.count_if((c(p) < c(f"lower_{p}")) | (c(p) > c(f"upper_{p}"))).alias("clipped")).first()
+        assert audit[p] == (untidy.count() - r.n, r.nulls, r.clipped)
 
 
 def test_rows_of_small_stations_meet_once(spark, untidy, tmp_path):
-    """One shuffle of the rows for all steps of the store and carried values, with no sketches in it."""
+    """One shuffle of the rows for all steps of the store, the audit and carried values, with no sketches in it."""
     untidy.write.parquet(str(tmp_path / "rows"))
     df = spark.read.parquet(str(tmp_path / "rows"))
 
     def shuffles(out):
         return out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert shuffles(cleaning.clean_store(df, POLLUTANTS, ["id"])) == 1
+    assert shuffles(cleaning.cleaning_audit(df, ["id"])) == 1
     assert shuffles(cleaning.carry_forward_hours(df, ["pm25"])) == 1
     assert shuffles(cleaning.fill_gaps(df, ["pm25"])) == 1
     # with stations in pieces one more for those, and none for joins with the few states, medians and fences
