@@ -22,6 +22,8 @@ from hazegrid.session import cut_lineage
 FEATURES = ["pm25_lag1", "pm25_lag24", "pm25_roll24", "hour", "dow", "month", "season_code"]
 WEATHER_FEATURES = ["temperature", "humidity", "wind_speed", "blh_m"]
 BASELINE = "Persistence (naive)"
+# Stations of a forecast that one task takes. Their states are few bytes and much work, so sizes in bytes would put all into one task.
+STATIONS = 100
 
 
 # ---- features ---------------------------------------------------------------------------
@@ -64,8 +66,10 @@ def chronological_split(features: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def training_table(df: DataFrame, weather: bool = True, share: float = 0.8) -> DataFrame:
-    """Features with the training flag, written to the shared folder, because every fit reads them many times. Runs jobs."""
-    return cut_lineage(chronological_split(feature_frame(df, weather), share), "split")
+    """Features with the training flag, written to the shared folder, because every fit reads them many times. So are the rows with a value
+    before, because sorting them into ranges reads them twice, and `df` is often a join. Runs jobs."""
+    known = cut_lineage(df.where(F.col("pm25").isNotNull()), "known")
+    return cut_lineage(chronological_split(feature_frame(known, weather), share), "split")
 
 
 # ---- evaluation -------------------------------------------------------------------------
@@ -252,9 +256,12 @@ def day_ahead_model(
 
     `state` has station_id, ts, the three lag columns and the weather features, which `weather` replaces hour by hour where it
     knows them. The model is evaluated inside one fold over the coming hours, so a station's path is made in one stage, in one row.
-    A row of `fit_linear` needs its `features` named.
+    A row of `fit_linear` needs its `features` named. The states are written to the shared folder and counted, because a fold over trees is long
+    and the rows are small: a task makes the paths of about `STATIONS` stations. Runs these jobs.
     """
     names = ["temperature", "humidity", "wind_speed"]
+    state = cut_lineage(state, "state")
+    parts = math.ceil(state.count() / STATIONS)
     row, make = predictor(model, features)
 
     def known(h: Column) -> dict[str, Column]:
@@ -277,7 +284,7 @@ def day_ahead_model(
         return F.transform(once, lambda p: F.struct(
             p.alias("lag1"), (acc["roll"] * 0.95 + p * 0.05).alias("roll"), F.array_append(acc["path"], p).alias("path")))[0]
 
-    ready = with_row(steps, row, "_model")
+    ready = with_row(steps.repartition(parts, "station_id") if parts > 1 else steps, row, "_model")
     predict = make(F.col("_model"))
     path = F.aggregate("_steps", start, step, lambda acc: acc["path"])
     return ready.select("station_id", "ts", F.posexplode(path).alias("step", "pm25")).select(

@@ -217,6 +217,22 @@ def test_day_ahead_by_trees_is_one_fold(spark, linear, ensembles):
         roll = 0.95 * roll + 0.05 * lag
 
 
+def test_many_stations_are_forecast_in_many_tasks(spark, linear, ensembles, rows):
+    """The states of 250 stations are small enough for one task by their bytes, but not by the work of the fold."""
+    state = spark.range(250).select(
+        F.concat(F.lit("S"), "id").alias("station_id"), F.expr("timestamp_ntz'2024-01-31 22:00:00' + make_dt_interval(0, cast(id % 3 as int))").alias("ts"),
+        (c("id") % 40 + 10.0).alias("pm25_lag1"), F.lit(20.0).alias("pm25_lag24"), (c("id") % 7 + 20.0).alias("pm25_roll24"),
+        F.lit(20.0).alias("temperature"), F.lit(50.0).alias("humidity"), F.lit(2.0).alias("wind_speed"))
+    weather = state.select("station_id", F.expr("date_trunc('hour', ts) + interval 1 hour").cast("timestamp_ntz").alias("ts_hour"),
+                           F.lit(25.0).alias("temperature"), F.lit(40.0).alias("humidity"), F.lit(1.0).alias("wind_speed"))
+    out = forecast.day_ahead_model(state, ensembles["forest"], weather, hours=4)
+    got = rows(out)
+    assert len(got) == 1000
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() == 3
+    some = state.where("station_id in ('S0', 'S101', 'S249')")
+    assert rows(forecast.day_ahead_model(some, ensembles["forest"], weather, hours=4)) == [r for r in got if r[0] in ("S0", "S101", "S249")]
+
+
 def test_peak_takes_the_first_hour(spark):
     df = spark.createDataFrame([("A", 0, 5.0), ("A", 1, 9.0), ("A", 2, 9.0)], "station_id string, step int, pm25 double")
     r = forecast.peak(df).first()
